@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import re
 import sys
 from array import array
 from itertools import chain
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import id_text, python_stage, table
 
-#: Pre-tokens that a worker remembers before it starts afresh.
-MEMO = 400_000
+#: Pre-tokens, and chunks of them, that a worker remembers before it starts afresh.
+MEMO = 500_000
 
 
 class PerfectHash:
@@ -34,7 +35,7 @@ class PerfectHash:
         import xxhash
 
         self.hash, n = xxhash.xxh3_64_intdigest, max(1, len(items))
-        self.n, self.m = n, max(1, n // 3)
+        self.n = self.m = n  # a bucket a key: most buckets hold one key or two, so few displacements are tried
         self.shift, buckets = [0] * self.m, [[] for _ in range(self.m)]
         for key, value in items:
             h = self.hash(key)
@@ -73,16 +74,16 @@ class PerfectHash:
         return self.values[s] if self.keys[s] == key else -1
 
 
-def merge_bytes(piece: bytes, rank) -> list[int]:
-    """Ids of a piece; ``rank(bytes)`` is -1 for what is no vocabulary entry."""
-    n = len(piece)
+def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a piece by merges of ascending rank."""
+    n, rank = len(piece), ranks.get
     if n == 1:
-        return [rank(piece)]
+        return [ranks[piece]]
     # a node is the offset where its bytes begin; end[i] is where they stop
     before, end = list(range(-1, n - 1)), list(range(1, n + 1))
     heap = []
     for i in range(n - 1):
-        if (r := rank(piece[i : i + 2])) >= 0:
+        if (r := rank(piece[i : i + 2])) is not None:
             heap.append((r, i, i + 1, i + 2))
     heapq.heapify(heap)
     alive = [True] * n
@@ -93,19 +94,29 @@ def merge_bytes(piece: bytes, rank) -> list[int]:
         end[i], alive[mid] = stop, False
         if stop < n:
             before[stop] = i
-            if (r := rank(piece[i : end[stop]])) >= 0:
+            if (r := rank(piece[i : end[stop]])) is not None:
                 heapq.heappush(heap, (r, i, stop, end[stop]))
-        if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) >= 0:
+        if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) is not None:
             heapq.heappush(heap, (r, p, i, stop))
     ids, i = [], 0
     while i < n:
-        ids.append(rank(piece[i : end[i]]))
+        ids.append(ranks[piece[i : end[i]]])
         i = end[i]
     return ids
 
 
+def public_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 class Codec(dict):
-    """pre-token -> ids, filled on a miss."""
+    """Ids of a space with the characters up to the next single space, filled on a miss.
+
+    In the public pattern a space between two other characters begins a match, so a text may be cut
+    there and its parts be split and remembered alone.  Other patterns split the whole text.
+    """
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -116,20 +127,37 @@ class Codec(dict):
         self.bytes_of = [b""] * (1 + max(i for _, i in items))
         for key, i in items:
             self.bytes_of[i] = key
+        self.ranks = dict(items)
         self.split = regex.compile(pattern).findall
+        # text where a single space between two other characters always begins a match
+        self.cut = re.compile(r"(?<=\S) (?=\S)").split if pattern == public_pattern() else lambda text: [text]
+        self.tokens: dict[str, tuple[int, ...]] = {}
+
+    def token(self, token: str) -> tuple[int, ...]:
+        if (ids := self.tokens.get(token)) is None:
+            piece = token.encode()
+            whole = self.vocab.get(piece)
+            ids = (whole,) if whole >= 0 else tuple(merge_bytes(piece, self.ranks))
+            if len(self.tokens) >= MEMO:
+                self.tokens.clear()
+            if len(token) <= 64:
+                self.tokens[token] = ids
+        return ids
+
+    def chunk(self, chunk: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.token, self.split(chunk))))
 
-    def __missing__(self, token: str):
-        piece = token.encode()
-        whole = self.vocab.get(piece)
-        ids = (whole,) if whole >= 0 else tuple(merge_bytes(piece, self.vocab.get))
+    def __missing__(self, chunk: str):
+        ids = self.chunk(" " + chunk)
         if len(self) >= MEMO:
             self.clear()
-        if len(token) <= 64:
-            self[token] = ids
+        if len(chunk) <= 64:
+            self[chunk] = ids
         return ids
 
     def encode(self, text: str) -> array:
-        return array("I", chain.from_iterable(map(self.__getitem__, self.split(text))))
+        first, *rest = self.cut(text)
+        return array("I", chain(self.chunk(first), chain.from_iterable(map(self.__getitem__, rest))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
