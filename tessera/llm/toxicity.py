@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are character 5-grams inside words, hashed.  A bounded sample of labelled documents is the
+Terms are character n-grams inside words, hashed.  A bounded sample of labelled documents is the
 example set; the vocabulary is the terms that the sample ties to the toxic label.  Examples lie in
 blocks of an inverted index that also stores, for each term and block, the largest weight.  A query
 bounds every block from these maxima, visits blocks from the highest bound down and stops when no
@@ -25,30 +25,47 @@ from tessera.llm.common import python_stage, table
 from tessera.llm.language_id import fold
 
 #: Labelled documents taken of each class (about: chosen by a hash of doc_id against this bound).
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 2000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 4000
 NEIGHBOURS, BLOCK, BITS = 15, 64, 20
+#: Lengths of the n-grams.
+GRAMS = (5, 6, 7, 8)
 #: The vote of the base rate, as a cosine.
 BACKGROUND = 0.5
 #: Terms must occur in so many toxic examples, and so many times likelier in them than in clean ones.
 SUPPORT, LIFT = 5, 12.0
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Distinct words whose columns a task remembers before it starts afresh.
+MEMO = 500_000
 
+_WORD = re.compile(r"[^\W\d_]+")
 
-def terms(text: str | None):
-    """Hashed 5-grams of the text's words, boundaries included; one entry an occurrence."""
+
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+def grams_of(words: list[str]):
+    """(hashed n-gram, index of its word) of all occurrences in ``words``, boundaries included."""
     import numpy as np
 
-    clean = _NOT_LETTERS.sub(" ", f" {(text or '').lower()} ")
-    codes = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(codes) < 5:
-        return np.zeros(0, np.int64)
-    mix = codes[:-4].copy()
-    for k in range(1, 5):
-        mix = mix * np.uint64(0x100000001B3) + codes[k : len(codes) - 4 + k]
-    inside = (codes[1:-3] != 32) & (codes[2:-2] != 32) & (codes[3:-1] != 32)
-    mix = (mix[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
-    return mix.astype(np.int64)
+    codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    breaks, found, owner = np.concatenate(([0], np.cumsum(codes == 32))), [], []
+    for n in GRAMS:
+        m = len(codes) - n + 1
+        if m <= 0:
+            continue
+        mix = codes[:m] + np.uint64(n << 32)
+        for k in range(1, n):
+            mix = mix * np.uint64(0x100000001B3) + codes[k : m + k]
+        at = np.flatnonzero(breaks[n - 1 : m + n - 1] == breaks[1 : m + 1])  # a space at the ends only
+        found.append((mix[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS))
+        owner.append(breaks[at + 1] - 1)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(found).astype(np.int64), np.concatenate(owner)) if found else (none, none)
+
+
+def terms(text: str | None):
+    return grams_of(words_of(text))[0]
 
 
 @dataclass
@@ -66,12 +83,27 @@ class Index:
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, found):
-        """Columns and unit weights of a document's terms."""
+    def columns(self, found):
+        """Columns of the terms that the vocabulary has, one an occurrence."""
+        cols = self.place[found]
+        return cols[cols >= 0]
+
+    def learn(self, words: set[str], known: dict[str, tuple[int, ...]]) -> None:
+        """Adds the columns of new words to ``known``."""
         import numpy as np
 
+        new = [w for w in words if w not in known]
+        known.update(dict.fromkeys(new, ()))
+        found, owner = grams_of(new)
         cols = self.place[found]
-        cols, tf = np.unique(cols[cols >= 0], return_counts=True)
+        for i in np.flatnonzero(cols >= 0):
+            known[new[owner[i]]] += (int(cols[i]),)
+
+    def vector(self, cols):
+        """Columns and unit weights of a document's column occurrences."""
+        import numpy as np
+
+        cols, tf = np.unique(np.asarray(cols, np.int64), return_counts=True)
         w = (1 + np.log(tf)) * self.idf[cols]
         return cols, w / (np.sqrt((w * w).sum()) or 1.0)
 
@@ -99,11 +131,11 @@ class Index:
         total = BACKGROUND + sum(s for _, s in neighbours)
         return (BACKGROUND * self.base + sum(s * self.labels[r] for r, s in neighbours)) / total
 
-    def score(self, found):
-        """(calibrated score, neighbours)."""
+    def score(self, cols):
+        """(calibrated score, neighbours) of column occurrences."""
         import math
 
-        cols, w = self.vector(found)
+        cols, w = self.vector(cols)
         near = self.nearest(cols, w) if len(cols) else []
         return 1 / (1 + math.exp(-(self.slope * self.vote(near) + self.shift))), near
 
@@ -125,7 +157,7 @@ def build(examples: list[tuple[int, object]]) -> Index | None:
     place[chosen] = np.arange(len(chosen))
     idf = np.log(1 + len(labels) / (1 + df[:, chosen].sum(axis=0)))
     index = Index(place, idf, labels, None, None, None, None, base=n1 / (n0 + n1))
-    vectors = [index.vector(found) for _, found in examples]
+    vectors = [index.vector(index.columns(found)) for _, found in examples]
     col = np.concatenate([c for c, _ in vectors])
     row = np.repeat(np.arange(len(vectors)), [len(c) for c, _ in vectors])
     weight = np.concatenate([w for _, w in vectors])
@@ -168,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean: in
     part = F.when(F.col("toxic") == 1, min(1.0, toxic / max(1, sizes.get(1, 0)))).otherwise(min(1.0, clean / max(1, sizes.get(0, 0))))
     taken = known.filter(dice < part)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(taken), "doc_id").select("toxic", "text")  # about 3,000 ids are sent
+    rows = texts.join(F.broadcast(taken), "doc_id").select("toxic", "text")  # about 5,000 ids are sent
     got = sorted((r[0], bytes(r[1])) for r in python_stage(rows, "tessera.llm.toxicity:_terms", "toxic int, found binary").collect())
     return build([(y, np.frombuffer(raw, np.uint32).astype(np.int64)) for y, raw in got])
 
@@ -176,18 +208,23 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean: in
 def _score(batches, sent):
     import pyarrow as pa
 
-    index = sent.value
-    none = {"score": 0.0, "near": []}
+    from itertools import chain
+
+    index, known = sent.value, {}
     for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            if index is None:
-                out.append((0.0, []))
-            else:
-                out.append(index.score(terms(text)))
+        words = [words_of(t) for t in batch.column("text").to_pylist()]
+        if index is None:
+            out = [(0.0, []) for _ in words]
+        else:
+            if len(known) > MEMO:
+                known.clear()
+            index.learn(set(chain.from_iterable(words)), known)
+            columns = [list(chain.from_iterable(map(known.__getitem__, own))) for own in words]
+            nothing = index.score([])
+            out = [index.score(own) if own else nothing for own in columns]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array([len(near) for _, near in out], pa.int32()),
-             pa.array([near[0][1] if near else none["score"] for _, near in out], pa.float64())],
+             pa.array([near[0][1] if near else 0.0 for _, near in out], pa.float64())],
             names=["doc_id", "score", "n_neighbours", "best_cosine"],
         )
 
