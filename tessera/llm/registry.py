@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, language_id, sharding, token_counts, toxicity, url_filters
+from tessera.llm import bpe, decontaminate, fingerprints, language_id, ngram_join, sharding, token_counts, toxicity, url_filters
 
 QUERIES = {
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_url_filters": url_filters.op3_url_filters,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_sharding": sharding.op5_sharding,
     "op6_bpe": bpe.op6_bpe,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_language_id": language_id.op10_language_id,
