@@ -110,11 +110,12 @@ def _identify(batches, raw, langs):
             else:
                 top, score, parts = infer(grams, model)
                 found.append((langs[top], score, sorted(((langs[i], s) for i, s in parts.items()), key=lambda x: (-x[1], x[0]))))
+        kept = [n for n in batch.schema.names if n.startswith("kept_")]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
              pa.array([[{"lang": a, "share": b} for a, b in x[2]] for x in found], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))],
             names=["doc_id", "lang_pred", "score", "languages"],
-        )
+        ) if not kept else pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), *[batch.column(n) for n in kept]], names=["doc_id", "lang_pred", *kept])
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE):
@@ -151,6 +152,18 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     return python_stage(rows, "tessera.llm.language_id:_identify", f"doc_id {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>", raw, langs)
 
 
+def tagged(docs: DataFrame, model) -> DataFrame:
+    """``docs`` with a column lang_pred; all columns pass through the stage, none is joined back."""
+    import zlib
+
+    langs, probs = model
+    raw = docs.sparkSession.sparkContext.broadcast(zlib.compress(probs.tobytes(), 1))
+    rows = docs.select("doc_id", "text", *[F.col(c).alias(f"kept_{c}") for c in docs.columns])
+    kinds = ", ".join(f"`kept_{c}` {kind}" for c, kind in docs.dtypes)
+    out = python_stage(rows, "tessera.llm.language_id:_identify", f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, {kinds}", raw, langs)
+    return out.select(*[F.col(f"`kept_{c}`").alias(c) for c in docs.columns], "lang_pred")
+
+
 def fold(id_col="doc_id", n: int = 4):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 

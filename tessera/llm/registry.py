@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, fingerprints, language_id, ngram_join, sharding, token_counts, toxicity, url_filters
+from tessera.llm import bpe, decontaminate, fingerprints, language_id, ngram_join, sharding, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_fingerprints": fingerprints.op4_fingerprints,
