@@ -16,6 +16,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: Rows in one Arrow batch of a Python stage; bounds a worker's memory when texts are long.
 BATCH_ROWS = 256
 
+#: Rows of one key beyond which a Python stage over sorted rows takes them in parts.
+MANY = 1 << 16
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,3 +89,26 @@ def python_stage(df: DataFrame, target: str, schema: str, *args) -> DataFrame:
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text (null: empty) alone; other columns, whatever their names, are left out."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def runs_of_equal(batches, key):
+    """Arrow tables that hold whole runs of equal ``key``, but for runs longer than MANY rows, which
+    come in parts; yields (table, part of a longer run)."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+        keys = held.column(key).to_numpy()
+        cut = int(keys.searchsorted(keys[-1]))
+        if cut:
+            yield held.slice(0, cut), False
+            held = held.slice(cut)
+        if held.num_rows > MANY:
+            yield held, True
+            held = held.slice(0, 0)
+    if held is not None and held.num_rows:
+        yield held, False

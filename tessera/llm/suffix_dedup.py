@@ -9,11 +9,13 @@ more than one place.  What the digits are is chosen so that little has to move:
    neighbouring suffixes with the same one in the same place form a run, one row instead of many.
 2. Second digit: all bytes that a run's suffixes cover.  Runs that agree on it are repeats as a
    whole; of each such group one goes on, and only where its first digit has another group.
-3. Last digit: the LENGTH bytes of every single suffix of the runs that went on.
+3. Last digit: the LENGTH bytes of every single suffix of the runs that went on.  Up to ``GROUPS``
+   distinct runs with one first digit are sorted together in a task; a first digit with more of them
+   is counted suffix by suffix over all tasks.
 
-Digits are compared by hashes (the last two by 64 bits of a cryptographic hash on top of 64 bits of
-the first digit).  All passes are counts that combine before the shuffle, so a string that fills a
-third of all rows is no hot key for any task; the texts move twice, compressed.
+Digits are compared by hashes: 64 bits of each digit on top of 64 bits of the first one.  The first
+two passes are counts that combine before the shuffle, so a string that fills a third of all rows is
+no hot key for any task; the texts move twice, compressed.
 
 Bytes covered by a repeated string go, also those of its first copy.  Null texts are empty; texts
 shorter than LENGTH keep all bytes.  Rows that repeat, doc_id included, are copies of each other.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Stage, id_text, python_stage, table
 
 LENGTH, GRAM = 400, 48
+#: Distinct runs with one first digit that one task sorts.
+GROUPS = 2000
 #: Bytes of a long text that are hashed at a time.
 PIECE = 1 << 20
 
@@ -84,24 +88,69 @@ def _packed(batches):
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "packed": pa.array(packed, pa.binary())})
 
 
-def _last_digits(batches, length):
-    import hashlib
-
+def _units(batches, length):
+    """The runs that go on, each with the bytes that its suffixes cover."""
     import numpy as np
     import pyarrow as pa
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        for i, (packed, runs) in enumerate(zip(batch.column("packed").to_pylist(), batch.column("runs").to_pylist())):
+        rows, runs, covered = [], [], []
+        for i, (packed, own) in enumerate(zip(batch.column("packed").to_pylist(), batch.column("runs").to_pylist())):
             data = unpack(packed)
-            for lo in range(0, len(runs), 256):
-                part = runs[lo : lo + 256]
-                at = [s for r in part for s in range(r["start"], r["start"] + r["suffixes"])]
-                d3 = np.frombuffer(b"".join([hashlib.blake2b(data[s : s + length], digest_size=8).digest() for s in at]), np.int64)
-                size = [r["suffixes"] for r in part]
-                one = pa.array(np.full(len(at), i))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(one), batch.column("key").take(one), pa.array(np.array(at, np.int32)), pa.array(np.repeat([r["d1"] for r in part], size)), pa.array(d3), pa.array(np.repeat([r["whole"] for r in part], size))], names=["doc_id", "key", "start", "d1", "d3", "whole"])
+            rows += [i] * len(own)
+            runs += own
+            covered += [data[r["start"] : r["start"] + r["suffixes"] + length - 1] for r in own]
+        at = pa.array(np.array(rows, np.int64))
+        columns = {k: pa.array([r[k] for r in runs], kind) for k, kind in (("start", pa.int32()), ("suffixes", pa.int32()), ("d1", pa.int64()), ("whole", pa.bool_()), ("groups", pa.int64()))}
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(at), "key": batch.column("key").take(at), **columns, "covered": pa.array(covered, pa.binary())})
+
+
+def _suffixes(rows, length):
+    """Of a table of units: the unit and start of every suffix, and its last digit."""
+    import numpy as np
+
+    from tessera.llm.rolling import hashes, sums
+
+    covered = rows.column("covered").to_pylist()
+    size = rows.column("suffixes").to_numpy().astype(np.int64)
+    offset = np.concatenate(([0], np.cumsum([len(c) for c in covered])))[:-1]
+    unit = np.repeat(np.arange(len(size)), size)
+    inside = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
+    at = offset[unit] + inside
+    return unit, rows.column("start").to_numpy()[unit] + inside, hashes(sums(np.frombuffer(b"".join(covered), np.uint8)), at, at + length).view(np.int64)
+
+
+def _last_digits(batches, length):
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if rows.num_rows:
+            unit, start, d3 = _suffixes(rows, length)
+            at = pa.array(unit)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(at), "key": batch.column("key").take(at), "start": pa.array(start, pa.int32()), "d1": batch.column("d1").take(at), "d3": pa.array(d3), "whole": batch.column("whole").take(at)})
+
+
+def _sort_groups(batches, length):
+    """Of units sorted by first digit: byte ranges of the suffixes with equal last digits."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.common import runs_of_equal
+
+    for rows, _ in runs_of_equal(batches, "d1"):
+        unit, start, d3 = _suffixes(rows, length)
+        pair = np.stack([rows.column("d1").to_numpy()[unit], d3], axis=1).view([("d1", np.int64), ("d3", np.int64)]).ravel()
+        _, group, count = np.unique(pair, return_inverse=True, return_counts=True)
+        again = (count[group] > 1) & ~rows.column("whole").to_numpy(zero_copy_only=False)[unit]
+        # neighbouring suffixes of a unit make one range
+        begins = np.flatnonzero(again & np.concatenate(([True], ~again[:-1] | (unit[1:] != unit[:-1]))))
+        ends = np.flatnonzero(again & np.concatenate((~again[1:] | (unit[1:] != unit[:-1]), [True])))
+        if len(begins):
+            at = pa.array(unit[begins])
+            yield pa.RecordBatch.from_arrays([rows.column(k).combine_chunks().take(at) for k in ("doc_id", "key")] + [pa.array(start[begins], pa.int32()), pa.array(start[ends] + length, pa.int32())], names=["doc_id", "key", "a", "b"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -150,18 +199,21 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, as_text: bool = False, id
     groups = runs.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("run").alias("one"))
     others = groups.groupBy("d1").agg(F.count("*").alias("groups"), F.sum("n").alias("all")).filter("all > 1")
     left = groups.join(others.select("d1", "groups"), "d1").select("d1", "d2", "n", "one", "groups")  # first digits with one run end here
-    more = stage.keep(runs.join(left, ["d1", "d2"]).select("doc_id", "key", "start", "suffixes", "d1", (F.col("n") > 1).alias("whole"), ((F.col("run") == F.col("one")) & (F.col("groups") > 1)).alias("goes_on")), "more")
+    more = stage.keep(runs.join(left, ["d1", "d2"]).select("doc_id", "key", "start", "suffixes", "d1", (F.col("n") > 1).alias("whole"), ((F.col("run") == F.col("one")) & (F.col("groups") > 1)).alias("goes_on"), "groups"), "more")
     stage.drop("runs")
 
     texts = python_stage(rows, here + "_packed", f"{ids}, packed binary")
-    by_doc = more.filter("goes_on").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "suffixes", "d1", "whole")).alias("runs"))  # the runs of one text
+    by_doc = more.filter("goes_on").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "suffixes", "d1", "whole", "groups")).alias("runs"))  # the runs of one text
     by_doc = by_doc.withColumnRenamed("doc_id", "own").withColumnRenamed("key", "own_key")
     same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key"))
-    going = texts.join(by_doc, same).select("doc_id", "key", "packed", "runs")
-    last = stage.keep(python_stage(going, here + "_last_digits", f"{ids}, start int, d1 long, d3 long, whole boolean", length), "last")
-    place = F.xxhash64("doc_id", "key", "start")  # the same for rows that repeat: those don't count as two places here
-    again = last.groupBy("d1", "d3").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("d1", "d3")
-    single = last.filter("not whole").join(again, ["d1", "d3"]).select("doc_id", "key", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
+    units = stage.keep(python_stage(texts.join(by_doc, same).select("doc_id", "key", "packed", "runs"), here + "_units", f"{ids}, start int, suffixes int, d1 long, whole boolean, groups long, covered binary", length), "units")
+    few = units.filter(F.col("groups") <= GROUPS).repartition("d1").sortWithinPartitions("d1")
+    single = python_stage(few, here + "_sort_groups", f"{ids}, a int, b int", length)
+    if not (many := units.filter(F.col("groups") > GROUPS)).isEmpty():
+        last = stage.keep(python_stage(many, here + "_last_digits", f"{ids}, start int, d1 long, d3 long, whole boolean", length), "last")
+        place = F.xxhash64("doc_id", "key", "start")  # the same for rows that repeat: those don't count as two places here
+        again = last.groupBy("d1", "d3").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("d1", "d3")
+        single = single.union(last.filter("not whole").join(again, ["d1", "d3"]).select("doc_id", "key", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
     full = more.filter("whole").select("doc_id", "key", F.col("start").alias("a"), (F.col("start") + F.col("suffixes") + (length - 1)).alias("b"))
     spans = full.union(single).groupBy(F.col("doc_id").alias("own"), F.col("key").alias("own_key")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     cut = texts.join(spans, same, "left").select("doc_id", "key", "packed", "spans")
