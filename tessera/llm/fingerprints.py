@@ -76,8 +76,8 @@ def _sample(k: int):
     b = h.bitwiseAND(F.lit(0xFFFF)) / 65536.0
     t = F.when(F.col("w") == 1, F.lit(0.0)).otherwise(F.floor(F.log(F.col("w")) / r + b).cast("double"))
     ln_a = F.log(c) - r * (t - b) - r
-    place = ((F.least(F.greatest(ln_a, F.lit(-500.0)), F.lit(500.0)) + 512.0) * float(1 << 24)).cast("long")
-    return F.when(F.col("s").isNotNull(), place * F.lit(1 << 26) + g.bitwiseXOR(t.cast("long")).bitwiseAND(F.lit((1 << 26) - 1)))
+    place = ((ln_a + 128.0) * float(1 << 24)).cast("long")  # ln a lies between -128 and 4
+    return F.when(F.col("s").isNotNull(), F.shiftleft(place, 26).bitwiseOR(g.bitwiseXOR(t.cast("long")).bitwiseAND(F.lit((1 << 26) - 1))))
 
 
 def signatures(rows: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
