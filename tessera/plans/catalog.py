@@ -1,4 +1,381 @@
-"""The queries of the library and their SQL."""
+"""The queries of the library and their SQL for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import columns as C
+from tessera.functions import patterns as P
+from tessera.operators import links, records
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def has(col: str, pattern: str) -> str:
+    return f"regexp_matches({col}, {quoted('(?i)' + pattern)})"
+
+
+def sql_steps(col: str, steps) -> str:
+    for pattern, by in steps:
+        by = by.replace("$1", "\\1").replace("$2", "\\2")
+        col = f"regexp_replace({col}, {quoted(pattern)}, {quoted(by)}, 'g')"
+    return col
+
+
+def sql_trim(col: str) -> str:
+    return f"regexp_replace({col}, {quoted(f'^{C.BLANK}+|{C.BLANK}+$')}, '', 'g')"
+
+
+def sql_squeeze(col: str) -> str:
+    return sql_trim(f"regexp_replace({col}, {quoted(C.BLANK + '+')}, ' ', 'g')")
+
+
+def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+
+
+# ---- page texts
+
+@query(f"SELECT page_id, {sql_squeeze(chr(114) + 'egexp_extract(html, ' + quoted('(?is)<title[^>]*>(.*?)</title>') + ', 1)')} AS title FROM pages")
+def page_title(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", C.page_title(F.col("html")).alias("title"))
+
+
+@query(f"SELECT page_id, {sql_steps('html', P.SANITIZE)} AS clean FROM pages")
+def html_sanitize(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", C.sanitize_html(F.col("html")).alias("clean"))
+
+
+MD = sql_trim(sql_steps("html", P.SANITIZE + P.MARKDOWN))
+
+
+@query(f"SELECT page_id, {MD} AS markdown FROM pages")
+def html_to_markdown(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", C.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query(f"SELECT page_id, len(regexp_split_to_array({MD}, {quoted(C.BLANK + '+')})) AS n_tokens FROM pages")
+def token_count(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", C.token_count(C.html_to_markdown(F.col("html"))).alias("n_tokens"))
+
+
+@query("SELECT doc_id, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", C.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(f"""WITH m AS (SELECT page_id, {MD} AS md, {sql_squeeze("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM pages),
+c AS (SELECT page_id, {sql_trim("regexp_extract(md, '(?m)^#\\s+(.+)$', 1)")} AS h1, {sql_trim("regexp_extract(title, '^([^|–—-]*)', 1)")} AS t FROM m)
+SELECT page_id, CASE WHEN h1 <> '' THEN h1 ELSE t END AS company,
+  CASE WHEN h1 = '' AND t = '' THEN 'low' WHEN length(h1) > 3 THEN 'high' WHEN length(CASE WHEN h1 <> '' THEN h1 ELSE t END) > 8 THEN 'medium' ELSE 'low' END AS confidence,
+  {has("CASE WHEN h1 <> '' THEN h1 ELSE t END", P.LEGAL_FORM)} AS is_legal_name FROM c""")
+def company_extract(spark, sf_dir):
+    html = F.col("html")
+    rows = read(spark, sf_dir, "pages").select("page_id", C.trimmed(F.regexp_extract(C.html_to_markdown(html), r"(?m)^#\s+(.+)$", 1)).alias("h1"), C.trimmed(F.regexp_extract(C.page_title(html), "^([^|–—-]*)", 1)).alias("t"))
+    name = F.when(F.col("h1") != "", F.col("h1")).otherwise(F.col("t"))
+    sure = F.when(name == "", "low").when(F.length("h1") > 3, "high").when(F.length(name) > 8, "medium").otherwise("low")
+    return rows.select("page_id", name.alias("company"), sure.alias("confidence"), C.matches(name, P.LEGAL_FORM).alias("is_legal_name"))
+
+
+_BORING = "cookie|copyright|rights reserved|privacy"
+_GREETING = r"(?i)^(Welcome to\s+|At\s+[^,]+,\s*)"
+
+
+@query(f"""WITH m AS (SELECT page_id, unnest(string_split({MD}, chr(10))) AS line, generate_subscripts(string_split({MD}, chr(10)), 1) AS pos FROM pages),
+l AS (SELECT page_id, pos, {sql_trim('line')} AS line FROM m),
+ok AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM l WHERE length(line) > 50 AND NOT regexp_matches(line, '^(#|-|Address:|Contact:)') AND NOT {has('line', _BORING)})
+SELECT page_id, substr({sql_trim(f"regexp_replace(line, {quoted(_GREETING)}, '')")}, 1, 320) AS description FROM ok WHERE n = 1""")
+def description_extract(spark, sf_dir):
+    lines = F.transform(F.split(C.html_to_markdown(F.col("html")), "\n"), C.trimmed)
+    good = F.filter(lines, lambda s: (F.length(s) > 50) & ~s.rlike("^(#|-|Address:|Contact:)") & ~C.matches(s, _BORING))
+    rows = read(spark, sf_dir, "pages").select("page_id", F.get(good, 0).alias("line")).filter("line is not null")
+    return rows.select("page_id", F.substring(C.trimmed(F.regexp_replace("line", _GREETING, "")), 1, 320).alias("description"))
+
+
+@query(f"""WITH c AS (SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, page_id, url, substr({MD}, 1, 12000) AS body FROM pages)
+SELECT lower(site) AS site, string_agg('--- ' || url || ' ---' || chr(10) || array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), chr(10)), chr(10) || '=' || chr(10) ORDER BY page_id) AS context FROM c GROUP BY lower(site)""")
+def context_concat(spark, sf_dir):
+    body = F.substring(C.html_to_markdown(F.col("html")), 1, 12000)
+    kept = F.array_join(F.filter(F.transform(F.split(body, "\n"), lambda s: F.regexp_replace(s, r"^[ \t\r]+|[ \t\r]+$", "")), lambda s: s != ""), "\n")
+    rows = read(spark, sf_dir, "pages").select(C.url_origin(F.col("url")).alias("site"), "page_id", F.concat(F.lit("--- "), "url", F.lit(" ---\n"), kept).alias("part"))
+    parts = F.array_sort(F.collect_list(F.struct("page_id", "part")))
+    return rows.groupBy("site").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n=\n").alias("context"))
+
+
+# ---- URLs and links
+
+@query("SELECT page_id, lower(regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1)) AS origin FROM pages")
+def url_origin(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", C.url_origin(F.col("url")).alias("origin"))
+
+
+@query("""SELECT page_id, lower(printf('%x', list_reduce(list_transform(string_split(url, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)))) AS hash FROM pages""")
+def url_hash(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", C.fnv1a(F.col("url")).alias("hash"))
+
+
+def sql_canonical(url: str) -> str:
+    """A scalar subquery; ``url`` must be an absolute URL column."""
+    assets, tracking = ", ".join(map(quoted, P.ASSETS)), ", ".join(map(quoted, P.TRACKING))
+    return f"""(SELECT CASE WHEN o <> '' AND CASE WHEN contains(coalesce(segs[-1], ''), '.') THEN string_split(segs[-1], '.')[-1] ELSE '' END NOT IN ({assets})
+ AND NOT {has('path', P.PATH_TRAP)} AND NOT (len(segs) > 3 AND len(list_distinct(segs)) < len(segs) / 1.5)
+ THEN regexp_replace(o || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END, '/+$', '') END
+ FROM (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM (SELECT lower(regexp_extract({url}, '(?i)^(https?://[^/?#]+)', 1)) AS o, lower(regexp_extract({url}, '(?i)^https?://[^/?#]+([^?#]*)', 1)) AS path,
+ array_to_string(list_filter(string_split(regexp_extract({url}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda kv: kv <> '' AND lower(string_split(kv, '=')[1]) NOT IN ({tracking})), '&') AS kept)))"""
+
+
+@query(f"SELECT page_id, {sql_canonical('url')} AS canonical FROM pages")
+def url_canonical(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", C.canonical_url(F.col("url")).alias("canonical"))
+
+
+LINKS = f"""raw AS (SELECT page_id, url, unnest(regexp_extract_all(html, {quoted(P.ANCHOR)}, 1)) AS href, unnest(regexp_extract_all(html, {quoted(P.ANCHOR)}, 2)) AS text, generate_subscripts(regexp_extract_all(html, {quoted(P.ANCHOR)}, 1), 1) - 1 AS pos FROM pages),
+links AS (SELECT page_id, url, pos, {sql_trim('href')} AS href, {sql_squeeze("regexp_replace(text, '<[^>]+>', '', 'g')")} AS text FROM raw WHERE {sql_trim('href')} <> '' AND NOT starts_with({sql_trim('href')}, 'javascript:') AND NOT starts_with({sql_trim('href')}, '#'))"""
+
+
+@query(f"WITH {LINKS} SELECT page_id, pos, href, text FROM links")
+def links_extract(spark, sf_dir):
+    return links.extract(read(spark, sf_dir, "pages")).select("page_id", "pos", "href", "text")
+
+
+ABSOLUTE = r"""CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '(?i)^(https?:)', 1) || href
+ WHEN starts_with(href, '/') THEN lower(regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1)) || href WHEN starts_with(href, '?') THEN regexp_extract(url, '^([^?#]*)', 1) || href
+ ELSE rtrim(regexp_extract(url, '(?i)^(https?://[^/?#]+(?:/[^?#]*/|/)?)', 1), '/') || '/' || href END"""
+_TAX = " ".join(f"WHEN {has('hay', p)} THEN {{}}".format(repr(w)) for _, w, p in P.TAXONOMY)
+_WHY = " ".join(f"WHEN {has('hay', p)} THEN {quoted('zero-shot · ' + n)}" for n, _, p in P.TAXONOMY)
+SCORED = f"""{LINKS}, a AS (SELECT *, {ABSOLUTE} AS absolute FROM links), b AS (SELECT *, {sql_canonical('absolute')} AS canon FROM a),
+c AS (SELECT *, coalesce(canon, absolute) AS abs FROM b), d AS (SELECT *, row_number() OVER (PARTITION BY page_id, abs ORDER BY pos) AS n, text || ' ' || href || ' ' || abs AS hay FROM c),
+e AS (SELECT *, {has('abs', P.LINK_TRAP)} OR ({has('abs', P.LEGAL_TRAP)} AND NOT {has('abs', P.LEGAL_ALLOWED)}) OR {has('hay', P.TEXT_TRAP)} OR {has('abs', P.PATH_TRAP)} AS trap FROM d WHERE n = 1),
+scored AS (SELECT page_id, pos, abs, text, CAST(CASE WHEN trap THEN 0.01 {_TAX} ELSE 0.05 END AS DOUBLE) AS score, CASE WHEN trap THEN 'trap · ignored' {_WHY} ELSE 'unclassified' END AS reason FROM e)"""
+
+
+@query(f"WITH {SCORED} SELECT * FROM scored")
+def links_score(spark, sf_dir):
+    return links.score(links.extract(read(spark, sf_dir, "pages")))
+
+
+@query(f"WITH {SCORED} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rank FROM scored WHERE score >= 0.7) WHERE rank <= 4")
+def frontier_topk(spark, sf_dir):
+    return links.top_k(links.score(links.extract(read(spark, sf_dir, "pages"))), 4)
+
+
+@query(f"WITH {SCORED}, pages2 AS (SELECT DISTINCT {sql_canonical('url')} AS canon FROM pages) SELECT page_id, pos, abs FROM scored WHERE abs NOT IN (SELECT canon FROM pages2 WHERE canon IS NOT NULL)")
+def frontier_anti(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    visited = pages.select(C.canonical_url(F.col("url")).alias("abs")).filter("abs is not null").distinct()
+    return links.score(links.extract(pages)).join(visited, "abs", "left_anti").select("page_id", "pos", "abs")
+
+
+def sql_frontier(missing=()):
+    terms = " + ".join(f"CASE WHEN {has('hay', p)} THEN {b + (0.35 if missing else 0.0)}::DOUBLE ELSE 0.0::DOUBLE END" for k, b, p in P.INTENTS if not missing or k in missing)
+    return f"""WITH {LINKS}, a AS (SELECT *, {ABSOLUTE} AS absolute, lower(regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1)) AS origin FROM links), b AS (SELECT *, {sql_canonical('absolute')} AS canon FROM a),
+c AS (SELECT *, lower(text || ' ' || CASE WHEN starts_with(canon, origin) THEN substr(canon, length(origin) + 1) ELSE canon END) AS hay, len(list_filter(string_split(regexp_extract(canon, '(?i)^https?://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> '')) AS depth FROM b WHERE canon IS NOT NULL)
+SELECT page_id, pos, canon, text, least(0.99::DOUBLE, greatest(0.01::DOUBLE, round(0.22::DOUBLE - least(0.20::DOUBLE, depth * 0.04::DOUBLE) + {terms} + CASE WHEN length(text) > 2 AND NOT {has('text', '^(click|here|more|link|read|view)$')} THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END, 3))) AS score FROM c"""
+
+
+@query(sql_frontier())
+def frontier_score(spark, sf_dir):
+    return links.frontier_score(links.extract(read(spark, sf_dir, "pages")))
+
+
+@query(sql_frontier(("emails", "executives")))
+def frontier_score_deficit(spark, sf_dir):
+    return links.frontier_score(links.extract(read(spark, sf_dir, "pages")), ["email", "executives"])
+
+
+@query(f"WITH {LINKS} SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_targets FROM links GROUP BY page_id")
+def link_graph_degree(spark, sf_dir):
+    return links.extract(read(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count("*").alias("n_links"), F.countDistinct("href").alias("n_targets"))
+
+
+# ---- languages and contacts
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(text, '[぀-ヿ一-龯]') THEN 'ja' WHEN regexp_matches(text, '[äöüßÄÖÜ]') OR {has('text', P.GERMAN)} THEN 'de' ELSE 'en' END AS detected FROM documents")
+def lang_detect(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", C.detect_language(F.lit("und"), F.col("text")).alias("detected"))
+
+
+_NAMES = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in P.LANGUAGE_NAMES.items())
+
+
+@query(f"SELECT doc_id, coalesce(CASE lower(string_split(coalesce(lang, 'en'), '-')[1]) {_NAMES} END, nullif(lang, ''), 'English') AS language FROM documents")
+def language_name(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", C.language_name(F.col("lang")).alias("language"))
+
+
+@query(f"SELECT doc_id, lower(regexp_extract(text, {quoted(P.EMAIL)})) AS email FROM documents WHERE regexp_matches(text, {quoted(P.EMAIL)})")
+def emails_first(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.lower(F.regexp_extract("text", P.EMAIL, 0)).alias("email"))
+    return rows.filter("email <> ''")
+
+
+_DEPT = " ".join(f"WHEN {has('u', p)} THEN {quoted(n)}" for n, p in P.DEPARTMENTS)
+_PLACEHOLDER = r"^(?:email|yourname|name|test|user)@(example|domain|placeholder|yourcompany)\.com$"
+
+
+@query(f"""WITH e AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, {quoted(P.EMAIL)}))) AS email FROM documents),
+d AS (SELECT DISTINCT doc_id, email, string_split(email, '@')[1] AS u FROM e WHERE NOT {has('email', 'noreply|no-reply|donotreply')} AND NOT {has('email', _PLACEHOLDER)})
+SELECT doc_id, email, CASE {_DEPT} ELSE 'general' END AS department FROM d""")
+def emails_aggregate(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(P.EMAIL), F.lit(0)), lambda e: F.lower(e)))).alias("email"))
+    return rows.filter(C.valid_email(F.col("email"))).select("doc_id", "email", C.email_department(F.col("email")).alias("department"))
+
+
+@query(f"SELECT doc_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, {quoted(P.PHONE)}), lambda p: {sql_trim('p')}), lambda p: length(p) >= 7))) AS phone FROM documents")
+def phones_extract(spark, sf_dir):
+    found = F.filter(F.transform(F.regexp_extract_all("text", F.lit(P.PHONE), F.lit(0)), C.trimmed), lambda p: F.length(p) >= 7)
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(found)).alias("phone"))
+
+
+PHONES = "(1, '+1 (415) 555-0199'), (2, '030-123456'), (3, '+1.415.555.0199'), (4, '+1 415 555 0199 ext. 102'), (5, '+44 20 7946 0958'), (6, '123'), (7, '415-555-0199 x 7')"
+_DIGITS = r"regexp_replace(string_split_regex(trim(raw), '(?i)\b(?:ext|extension|x)\b')[1], '\D', '', 'g')"
+
+
+@query(f"SELECT pos, raw, CASE WHEN starts_with(trim(raw), '+') THEN '+' ELSE '' END || d AS clean, right(d, 8) AS footprint FROM (SELECT *, {_DIGITS} AS d FROM (VALUES {PHONES}) t(pos, raw)) WHERE length(d) BETWEEN 7 AND 15")
+def phone_normalize(spark, sf_dir):
+    rows = values(spark, PHONES, "pos, raw").withColumn("d", C.phone_digits(F.col("raw"))).filter("d is not null")
+    return rows.select("pos", "raw", F.concat(F.when(F.startswith(F.trim("raw"), F.lit("+")), "+").otherwise(""), "d").alias("clean"), F.right("d", F.lit(8)).alias("footprint"))
+
+
+@query(f"""WITH p AS (SELECT pos, raw, right(d, 8) AS footprint FROM (SELECT *, {_DIGITS} AS d FROM (VALUES {PHONES}) t(pos, raw)) WHERE length(d) BETWEEN 7 AND 15)
+SELECT footprint, min(pos) AS pos, list_reduce(list(raw ORDER BY pos), lambda cur, x: CASE WHEN length(x) > length(cur) OR (starts_with(x, '+') AND NOT starts_with(cur, '+')) THEN x ELSE cur END) AS phone FROM p GROUP BY footprint""")
+def phones_dedup(spark, sf_dir):
+    seen = F.array_sort(F.collect_list(F.struct("pos", "raw")))
+    best = F.aggregate(seen, F.lit(""), lambda cur, x: F.when((F.length(x["raw"]) > F.length(cur)) | (x["raw"].startswith("+") & ~cur.startswith("+")), x["raw"]).otherwise(cur))
+    return phone_normalize(spark, sf_dir).groupBy("footprint").agg(F.min("pos").alias("pos"), best.alias("phone"))
+
+
+@query(f"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(P.EMAIL)})) AS email FROM documents)
+SELECT doc_id, left(email, 1) || '•••@' || string_split(email, '@')[2] AS masked FROM e""")
+def pii_mask(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.EMAIL), F.lit(0))).alias("email"))
+    return rows.select("doc_id", C.mask_email(F.col("email")).alias("masked"))
+
+
+@query(f"SELECT lang, count(*) FILTER (regexp_matches(text, {quoted(P.EMAIL)})) AS with_email, count(*) FILTER (regexp_matches(text, {quoted(P.PHONE)})) AS with_phone, count(*) AS n FROM documents GROUP BY lang")
+def pii_by_lang(spark, sf_dir):
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(t.rlike(P.EMAIL)).alias("with_email"), F.count_if(t.rlike(P.PHONE)).alias("with_phone"), F.count("*").alias("n"))
+
+
+ADDRESSES = "(1, '500 Howard Street, San Francisco, CA 94105'), (2, '500 Howard St, San Francisco CA 94105, USA'), (3, 'Friedrichstraße 123, 10117 Berlin'), (4, 'Tokyo 1-2-3')"
+_TOKENS = r"list_distinct(list_filter(string_split_regex(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda t: length(t) > 1))"
+
+
+@query(f"SELECT id, array_to_string(list_sort({_TOKENS.format('address')}), ' ') AS tokens FROM (VALUES {ADDRESSES}) t(id, address)")
+def address_tokens(spark, sf_dir):
+    return values(spark, ADDRESSES, "id, address").select("id", F.array_join(F.array_sort(C.address_tokens(F.col("address"))), " ").alias("tokens"))
+
+
+@query(f"""WITH a AS (SELECT id, {_TOKENS.format('address')} AS t FROM (VALUES {ADDRESSES}) t(id, address))
+SELECT x.id AS a, y.id AS b, CAST(len(list_intersect(x.t, y.t)) AS DOUBLE) / len(list_distinct(list_concat(x.t, y.t))) AS similarity FROM a x JOIN a y ON x.id < y.id""")
+def address_jaccard(spark, sf_dir):
+    a = values(spark, ADDRESSES, "id, address").select("id", C.address_tokens(F.col("address")).alias("t"))
+    x, y = a.select(F.col("id").alias("a"), F.col("t").alias("s")), a.select(F.col("id").alias("b"), "t")
+    return x.join(y, F.col("a") < F.col("b")).select("a", "b", C.jaccard(F.col("s"), F.col("t")).alias("similarity"))
+
+
+# ---- records, cache, history
+
+OBS = "('s1', 'company_name', 1, 'A', 'low', false, false), ('s1', 'company_name', 2, 'A', 'high', false, false), ('s1', 'company_name', 3, 'B', 'medium', false, false), ('s1', 'email', 1, 'x@acme.example', 'high', true, false), ('s1', 'email', 2, 'y@acme.example', 'high', false, false), ('s2', 'phone', 1, '', 'low', false, false), ('s2', 'phone', 2, '123', 'low', false, false)"
+_RANK = "CASE {} WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
+_FOLD = f"""SELECT site, key, list_reduce(list({{'value': value, 'confidence': confidence, 'locked': dirty OR verified, 'conflicts': CAST([] AS VARCHAR[])}} ORDER BY pos),
+ lambda acc, x: CASE WHEN x.value = '' OR x.value = acc.value THEN acc WHEN acc.value = '' THEN {{'value': x.value, 'confidence': x.confidence, 'locked': x.locked, 'conflicts': acc.conflicts}}
+ WHEN acc.locked THEN {{'value': acc.value, 'confidence': acc.confidence, 'locked': acc.locked, 'conflicts': list_append(acc.conflicts, x.value)}}
+ WHEN {_RANK.format('x.confidence')} > {_RANK.format('acc.confidence')} THEN {{'value': x.value, 'confidence': x.confidence, 'locked': x.locked, 'conflicts': acc.conflicts}} ELSE acc END) AS m
+ FROM (VALUES {OBS}) t(site, key, pos, value, confidence, dirty, verified) GROUP BY site, key"""
+
+
+def _observations(spark):
+    return values(spark, OBS, "site, key, pos, value, confidence, dirty, verified")
+
+
+@query(f"SELECT site, key, m.value AS value, m.confidence AS confidence FROM ({_FOLD})")
+def record_merge(spark, sf_dir):
+    return records.merge(_observations(spark)).select("site", "key", "value", "confidence")
+
+
+@query(f"SELECT site, key, m.value AS current, unnest(m.conflicts) AS incoming FROM ({_FOLD})")
+def merge_conflicts(spark, sf_dir):
+    return records.merge(_observations(spark)).select("site", "key", F.col("value").alias("current"), F.explode("conflicts").alias("incoming"))
+
+
+FIELDS = "(1, 'Acme', 'Main St', 'a@b.co', 1), (2, '', 'Main St', 'a@b.co', 1), (3, 'Acme', '', '', 0), (4, 'Acme', 'x', 'y', 0)"
+
+
+@query(f"SELECT id, company <> '' AND address <> '' AND email <> '' AND n_exec > 0 AS complete, concat_ws(',', CASE WHEN company = '' THEN 'company_name' END, CASE WHEN address = '' THEN 'address' END, CASE WHEN email = '' THEN 'email' END, CASE WHEN n_exec = 0 THEN 'executives' END) AS missing FROM (VALUES {FIELDS}) t(id, company, address, email, n_exec)")
+def completeness(spark, sf_dir):
+    missing = records.missing_fields({"company_name": F.col("company") == "", "address": F.col("address") == "", "email": F.col("email") == "", "executives": F.col("n_exec") == 0})
+    return values(spark, FIELDS, "id, company, address, email, n_exec").select("id", (F.size(missing) == 0).alias("complete"), F.array_join(missing, ",").alias("missing"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 20")
+def history_clip(spark, sf_dir):
+    return records.keep_last(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 20).select("user_id", "event_id")
+
+
+@query("SELECT event_id, TIMESTAMP '2024-01-15 00:00:00' - ts <= INTERVAL 7 DAY AS fresh FROM events")
+def cache_fresh(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", (F.expr("TIMESTAMP '2024-01-15 00:00:00' - ts") <= F.expr("INTERVAL 7 DAY")).alias("fresh"))
+
+
+NUMBERS = "(1, 1.2D), (2, 2.5D), (3, 999.4D), (4, 4321.0D), (5, 65432.1D), (6, -3.0D)"
+_NUM_SQL = NUMBERS.replace("D)", "::DOUBLE)")
+
+
+@query(f"SELECT id, CAST(least(6, greatest(2, floor(n + 0.5))) AS INT) AS cap FROM (VALUES {_NUM_SQL}) t(id, n)")
+def page_cap(spark, sf_dir):
+    return values(spark, NUMBERS, "id, n").select("id", F.least(F.lit(6), F.greatest(F.lit(2), F.floor(F.col("n") + 0.5))).cast("int").alias("cap"))
+
+
+@query(f"SELECT id, CASE WHEN n < 0 THEN '' WHEN n < 1000 THEN CAST(CAST(floor(n + 0.5) AS BIGINT) AS VARCHAR) || ' ms' WHEN n >= 10000 THEN printf('%.1f s', n / 1000) ELSE printf('%.2f s', n / 1000) END AS shown FROM (VALUES {_NUM_SQL}) t(id, n)")
+def fmt_duration(spark, sf_dir):
+    return values(spark, NUMBERS, "id, n").select("id", C.duration(F.col("n")).alias("shown"))
+
+
+@query("SELECT CAST(range AS INT) AS attempt, 250 * pow(2, range - 1) AS delay_ms FROM range(1, 4)")
+def backoff_schedule(spark, sf_dir):
+    return spark.range(1, 4).select(F.col("id").cast("int").alias("attempt"), (F.lit(250) * F.pow(F.lit(2), F.col("id") - 1)).alias("delay_ms"))
+
+
+PEOPLE = "(1, 'Jane Doe', 'CEO', 'j@acme.example'), (2, 'Max \"M\" Roe', 'Head, Sales', '')"
+
+
+@query(f"""SELECT pos, concat_ws(',', CASE WHEN regexp_matches(name, '[",\\n\\r]') THEN '"' || replace(name, '"', '""') || '"' ELSE name END, CASE WHEN regexp_matches(role, '[",\\n\\r]') THEN '"' || replace(role, '"', '""') || '"' ELSE role END, email) AS line FROM (VALUES {PEOPLE}) t(pos, name, role, email)""")
+def export_csv(spark, sf_dir):
+    def cell(c):
+        return F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+    return values(spark, PEOPLE, "pos, name, role, email").select("pos", F.concat_ws(",", *[cell(F.col(c)) for c in ("name", "role", "email")]).alias("line"))
+
+
+# ---- roll-ups
+
+@query("SELECT lower(regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1)) AS site, count(*) AS n_pages, CAST(sum(length(html)) AS BIGINT) AS n_chars FROM pages GROUP BY 1")
+def site_rollup(spark, sf_dir):
+    return read(spark, sf_dir, "pages").groupBy(C.url_origin(F.col("url")).alias("site")).agg(F.count("*").alias("n_pages"), F.sum(F.length("html")).alias("n_chars"))
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def events_window(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
