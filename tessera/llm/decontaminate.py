@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import Stage, let, table
 
 MASKS = ("11011011", "111001011", "1011001101")
 WINDOW, SHARE = 13, 0.8
@@ -52,7 +52,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null and doc_id is not null")
     known = items.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("tokens"))
     seeds = _seeds(_runs(known, ["item_id"]), ["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "seed")
-    n_seeds = seeds.count()
+    n_seeds, stage = seeds.count(), Stage(docs.sparkSession)
     send = F.broadcast if n_seeds <= MAX_SENT else (lambda x: x)
     runs = _runs(texts.select("doc_id", tokens(F.col("text")).alias("tokens")), ["doc_id"])
     keys = seeds.select("seed").distinct()
@@ -60,18 +60,29 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
         for m in range(len(MASKS)):
             runs = runs.join(F.broadcast(keys.select(F.col("seed").alias(f"seed{m}"), F.lit(1).alias(f"hit{m}"))), f"seed{m}", "left")
         runs = runs.filter(F.coalesce(*[f"hit{m}" for m in range(len(MASKS))]).isNotNull())
+    # a table of its own: it is small, and one generated method for all joins would be too long to be compiled
+    runs = stage.keep(runs.select("doc_id", "pos", *[f"seed{m}" for m in range(len(MASKS))]), "hits")
     hits = _seeds(runs, ["doc_id"]).join(send(seeds), "seed")
     lines = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset")).groupBy("doc_id", "item_id", "offset").agg(F.count("*").alias("hits"))
     lines = lines.join(send(known), "item_id").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "offset", "tokens")).alias("lines"))  # at most the lines of one document
-    own = texts.join(lines, "doc_id").select("doc_id", tokens(F.col("text")).alias("own"), F.explode("lines").alias("line")).select("doc_id", "own", "line.*")
-    agree = F.transform("tokens", lambda t, j: F.coalesce((F.get(F.col("own"), j + F.col("offset")) == t) & (j + F.col("offset") >= 0), F.lit(False)).cast("int"))
-    m = F.size("tokens")
-    width = F.least(m, F.lit(WINDOW))
-    rows = own.select("doc_id", "item_id", "offset", agree.alias("agree"), m.alias("m"), width.alias("width"), F.least(m, F.size("own") - F.col("offset")).alias("stop"))
-    sums = F.transform(F.sequence(F.lit(1), F.col("m") - F.col("width") + 1), lambda i: F.aggregate(F.slice(F.col("agree"), i, F.col("width")), F.lit(0), lambda a, x: a + x))
-    kept = rows.filter(F.array_max(sums) >= F.ceil(F.col("width") * SHARE))
-    matched = F.aggregate("agree", F.lit(0), lambda a, x: a + x)
-    best = kept.select("doc_id", "item_id", F.struct(matched.alias("matched"), (F.col("stop") - F.greatest(-F.col("offset"), F.lit(0))).alias("aligned"), F.col("offset")).alias("line"))
+
+    def compared(own):
+        def line(x):
+            m = F.size(x["tokens"])
+            width = F.least(m, F.lit(WINDOW))
+            agree = F.transform(x["tokens"], lambda t, j: F.coalesce((F.get(own, j + x["offset"]) == t) & (j + x["offset"] >= 0), F.lit(False)).cast("int"))
+
+            def judged(a):
+                sums = F.transform(F.sequence(F.lit(1), m - width + 1), lambda i: F.aggregate(F.slice(a, i, width), F.lit(0), lambda s, v: s + v))
+                inside = F.least(m, F.size(own) - x["offset"]) - F.greatest(-x["offset"], F.lit(0))
+                return F.struct(x["item_id"].alias("item_id"), (F.array_max(sums) >= F.ceil(width * SHARE)).alias("held"), F.aggregate(a, F.lit(0), lambda s, v: s + v).alias("matched"), inside.alias("aligned"), x["offset"].alias("offset"))
+
+            return let(agree, judged)
+
+        return F.transform(F.col("lines"), line)
+
+    found = texts.join(lines, "doc_id").select("doc_id", F.explode(let(tokens(F.col("text")), compared)).alias("line")).filter("line.held")
+    best = found.select("doc_id", "line.item_id", F.struct("line.matched", "line.aligned", "line.offset").alias("line"))
     return best.groupBy("doc_id", "item_id").agg(F.max("line").alias("line")).select("doc_id", "item_id", "line.matched", "line.aligned", "line.offset")
 
 

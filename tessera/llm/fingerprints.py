@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_text, table
+from tessera.llm.common import id_text, let, table
 
 SAMPLES, WORDS = 16, 5
 #: Documents in a range of ids, and the most ranges; a range is one window partition.
@@ -33,11 +33,6 @@ def words(text):
     return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
-def let(value, body):
-    """``body`` of a value that is computed once; lambdas would else compute it at every use."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _shingles(own, size: int):
     def many(h):
         parts = [F.slice(h, k + 1, F.size(h) - (size - 1)).alias(f"h{k}") for k in range(size)]
