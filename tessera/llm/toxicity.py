@@ -27,6 +27,8 @@ from tessera.llm.language_id import fold
 #: Labelled documents taken of each class (about: chosen by a hash of doc_id against this bound).
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 4000
 NEIGHBOURS, BLOCK, BITS = 15, 64, 20
+#: Blocks visited at once at first; each further visit takes twice as many.
+VISIT = 8
 #: Lengths of the n-grams.
 GRAMS = (5, 6, 7, 8)
 #: The vote of the base rate, as a cosine.
@@ -75,7 +77,7 @@ class Index:
     place: object  # term -> column, -1: not in the vocabulary
     idf: object
     labels: object
-    starts: object  # postings of column c: starts[c]:starts[c + 1]
+    starts: object  # postings of a cell (column * blocks + block): starts[cell]:starts[cell + 1]
     rows: object
     weights: object
     maxima: object  # columns x blocks
@@ -112,20 +114,24 @@ class Index:
         import numpy as np
 
         bound = w @ self.maxima[cols]
-        best: list[tuple[float, int]] = []
-        spans = [(self.starts[c], self.starts[c + 1]) for c in cols]
-        rows = [self.rows[a:b] for a, b in spans]
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for (a, _), own, x in zip(spans, rows, w):
-                i, j = np.searchsorted(own, (b * BLOCK, (b + 1) * BLOCK))
-                if j > i:
-                    scores[own[i:j] - b * BLOCK] += x * self.weights[a + i : a + j]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best, best_rows, at, step = np.zeros(0), np.zeros(0, np.int64), 0, VISIT
+        while at < len(order) and (len(best) < k or bound[order[at]] >= best[-1] - 1e-12):
+            blocks = order[at : at + step]
+            at, step = at + step, step * 2
+            cells = (cols[:, None] * self.maxima.shape[1] + blocks).ravel()
+            first, n = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
+            own = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())  # postings of all these cells
+            place = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(cols)), n) + self.rows[own] % BLOCK
+            scores = np.bincount(place, np.repeat(np.repeat(w, len(blocks)), n) * self.weights[own], len(blocks) * BLOCK)
             hits = np.flatnonzero(scores > 0)
-            best = sorted(best + [(float(scores[h]), int(b * BLOCK + h)) for h in hits if b * BLOCK + h != but], key=lambda s: (-s[0], s[1]))[:k]
-        return [(row, min(1.0, s)) for s, row in best]
+            rows = blocks[hits // BLOCK] * BLOCK + hits % BLOCK
+            other = rows != but
+            best, best_rows = np.concatenate((best, scores[hits[other]])), np.concatenate((best_rows, rows[other]))
+            top = np.lexsort((best_rows, -best))[:k]
+            best, best_rows = best[top], best_rows[top]
+        return [(int(row), min(1.0, float(s))) for row, s in zip(best_rows, best)]
 
     def vote(self, neighbours) -> float:
         total = BACKGROUND + sum(s for _, s in neighbours)
@@ -163,8 +169,9 @@ def build(examples: list[tuple[int, object]]) -> Index | None:
     weight = np.concatenate([w for _, w in vectors])
     order = np.lexsort((row, col))
     col, index.rows, index.weights = col[order], row[order], weight[order]
-    index.starts = np.searchsorted(col, np.arange(len(chosen) + 1))
-    index.maxima = np.zeros((len(chosen), len(labels) // BLOCK + 1))
+    blocks = len(labels) // BLOCK + 1
+    index.starts = np.searchsorted(col * blocks + index.rows // BLOCK, np.arange(len(chosen) * blocks + 1))
+    index.maxima = np.zeros((len(chosen), blocks))
     np.maximum.at(index.maxima, (col, index.rows // BLOCK), index.weights)
     votes = np.array([index.vote(index.nearest(c, w, but=i) if len(c) else []) for i, (c, w) in enumerate(vectors)])
     slope, shift = 4.0, -2.0  # logistic fit of label on vote, with a little shrinkage
