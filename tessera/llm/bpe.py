@@ -79,25 +79,32 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n, rank = len(piece), ranks.get
     if n == 1:
         return [ranks[piece]]
-    # a node is the offset where its bytes begin; end[i] is where they stop
+    # a node is the offset where its bytes begin; end[i] is where they stop, pair[i] the rank of its merge with the next node
     before, end = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = []
-    for i in range(n - 1):
-        if (r := rank(piece[i : i + 2])) is not None:
-            heap.append((r, i, i + 1, i + 2))
+    pair = [rank(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
+    shift = n.bit_length()
+    low = (1 << shift) - 1
+    heap = [r << shift | i for i, r in enumerate(pair) if r >= 0]  # by rank, then from the left
     heapq.heapify(heap)
-    alive = [True] * n
     while heap:
-        _, i, mid, stop = heapq.heappop(heap)
-        if not alive[i] or end[i] != mid or mid >= n or not alive[mid] or end[mid] != stop:
+        top = heapq.heappop(heap)
+        i = top & low
+        if pair[i] != top >> shift:
             continue  # one of the two has merged since
-        end[i], alive[mid] = stop, False
+        mid = end[i]
+        end[i] = stop = end[mid]
+        pair[mid] = -1
         if stop < n:
             before[stop] = i
-            if (r := rank(piece[i : end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, stop, end[stop]))
-        if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) is not None:
-            heapq.heappush(heap, (r, p, i, stop))
+            pair[i] = r = rank(piece[i : end[stop]], -1)
+            if r >= 0:
+                heapq.heappush(heap, r << shift | i)
+        else:
+            pair[i] = -1
+        if (p := before[i]) >= 0:
+            pair[p] = r = rank(piece[p:stop], -1)
+            if r >= 0:
+                heapq.heappush(heap, r << shift | p)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -148,7 +155,8 @@ class Codec(dict):
         return tuple(chain.from_iterable(map(self.token, self.split(chunk))))
 
     def __missing__(self, chunk: str):
-        ids = self.chunk(" " + chunk)
+        # a space and ASCII letters are one match of the public pattern
+        ids = self.token(" " + chunk) if chunk.isascii() and chunk.isalpha() else self.chunk(" " + chunk)
         if len(self) >= MEMO:
             self.clear()
         if len(chunk) <= 64:
