@@ -122,19 +122,27 @@ def _shared(batches, counted):
 
 
 def _prefixes(batches):
-    """Of shared tokens sorted by c, df and token: (token, c) of the prefixes by rarity."""
+    """Of shared tokens sorted by c, then by df and token downwards: (token, c) of the prefixes by rarity.
+
+    The tokens that no one shares come first in the order of rarity and take their places of the
+    prefix, which ends ceil(0.8 n) - 1 tokens before the end of the set.  Counted from that end, the
+    place alone decides, so a class may come in any number of batches.
+    """
     import numpy as np
     import pyarrow as pa
 
-    for rows, _ in runs_of_equal(batches, "c"):
-        c, n, token = (rows.column(k).to_numpy() for k in ("c", "n", "token"))
+    own, seen = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c, n, token = (batch.column(k).to_numpy() for k in ("c", "n", "token"))
         begins = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-        shared = np.diff(np.append(begins, len(c)))
-        size = n[begins].astype(np.int64)
-        # the tokens that no one shares come first in the order and take their places of the prefix
-        prefix = (size - (PERCENT * size + 99) // 100 + 1) - (size - shared)
-        place = np.arange(len(c)) - np.repeat(begins, shared)
-        at = np.flatnonzero(place < np.repeat(prefix, shared))
+        sizes = np.diff(np.append(begins, len(c)))
+        before = np.zeros(len(begins), np.int64)
+        before[0] = seen if c[0] == own else 0
+        place = np.arange(len(c)) - np.repeat(begins - before, sizes)
+        own, seen = c[-1], place[-1] + 1
+        at = np.flatnonzero(place >= (PERCENT * n.astype(np.int64) + 99) // 100 - 1)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(c[at])], names=["token", "c"])
 
@@ -215,7 +223,7 @@ def _verify(batches):
     yield close()
 
 
-def _sorted(df: DataFrame, key: str, *then: str) -> DataFrame:
+def _sorted(df: DataFrame, key: str, *then) -> DataFrame:
     return df.repartition(F.col(key)).sortWithinPartitions(key, *then)
 
 
@@ -241,7 +249,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     entries = python_stage(whole, here + "_explode", "token long, c long, n int")
     shared = python_stage(_sorted(entries, "token", "c"), here + "_shared", "c long, n int, token long, df int", True)
-    chosen = python_stage(_sorted(shared, "c", "df", "token"), here + "_prefixes", "token long, c long")
+    chosen = python_stage(_sorted(shared, "c", F.desc("df"), F.desc("token")), here + "_prefixes", "token long, c long")
     edges = stage.keep(python_stage(_sorted(chosen, "token", "c"), here + "_stars", "a long, b long"), "stars")
     buckets = components(edges, stage, "buckets")
     stage.drop("stars")

@@ -84,6 +84,30 @@ def test_ngram_join_in_blocks(docs, monkeypatch):
     assert [tuple(r)[1:] for r in out] == brute_components(TEXTS)
 
 
+def test_ngram_join_of_very_long_texts(spark):
+    own = [f"w{i}" for i in range(ngram_join.MANY + 30000)]  # more shared shingles than one run may hold
+    near = own[:50000] + [f"v{i}" for i in range(2000)] + own[52000:]
+    held = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(near)), (3, " ".join(own[:40000]))], "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in ngram_join.link(held).collect()}
+    assert out == {1: 1, 2: 1, 3: 3}
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_ngram_join_prefixes_in_parts(monkeypatch, rows):
+    import pyarrow as pa
+
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "MANY", 4)
+    sizes = {5: (100, 90), 6: (100, 79), 7: (10, 10), 8: (50, 45)}  # class: tokens, shared ones
+    held = [(c, n, 1000 * c + k, k // 2) for c, (n, shared) in sizes.items() for k in range(shared)]
+    held.sort(key=lambda r: (r[0], -r[3], -r[2]))
+    table = pa.table(dict(zip(("c", "n", "token", "df"), map(list, zip(*held)))))
+    got = {t for b in ngram_join._prefixes(table.to_batches(max_chunksize=rows)) for t in zip(b.column("c").to_pylist(), b.column("token").to_pylist())}
+    # the rarest n - ceil(0.8 n) + 1 tokens, less the unshared ones in front
+    assert got == {(c, 1000 * c + k) for c, (n, shared) in sizes.items() for k in range(n - -(-8 * n // 10) + 1 - (n - shared))}
+
+
 def test_bpe(docs, none):
     import base64
 
