@@ -17,13 +17,15 @@ numbered inside their range of ids.  A single document is its own next one.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_text, let, table
 
-SAMPLES, WORDS = 16, 5
+SAMPLES, WORDS = 64, 5
 #: Documents in a range of ids, and the most ranges; a range is one window partition.
 RANGE_ROWS, MAX_RANGES = 1000, 100_000
 EMPTY = -1
@@ -62,11 +64,15 @@ def weighted(terms):
     return let(terms, pick)
 
 
+def _salt(i: int) -> int:
+    return int.from_bytes(hashlib.blake2b(b"%d" % i, digest_size=8).digest(), "little", signed=True)
+
+
 def _sample(k: int):
     def uniform(h, shift):
         return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0xFFFFFF)) + 0.5) / float(1 << 24)
 
-    h, g = F.xxhash64("s", F.lit(2 * k)), F.xxhash64("s", F.lit(2 * k + 1))
+    h, g = (F.xxhash64(F.col("s").bitwiseXOR(F.lit(_salt(i)))) for i in (2 * k, 2 * k + 1))  # s is a hash already
     r, c = -F.log(uniform(h, 40) * uniform(h, 16)), -F.log(uniform(g, 40) * uniform(g, 16))
     b = h.bitwiseAND(F.lit(0xFFFF)) / 65536.0
     t = F.when(F.col("w") == 1, F.lit(0.0)).otherwise(F.floor(F.log(F.col("w")) / r + b).cast("double"))
@@ -87,12 +93,12 @@ def likeness(a, b, samples: int = SAMPLES):
     return sum((F.get(a, k) == F.get(b, k)).cast("int") for k in range(samples)) / float(samples)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (zone, place, doc_id, text) in the order of doc_id, with next_text and the next row's
-    next_zone and next_place; after the last comes the first.
+def with_next(docs: DataFrame, copies: bool = False) -> DataFrame:
+    """Rows (zone, place, copy, doc_id, text, next_text) in the order of doc_id; after the last comes the first.
 
     Ids are cut into ranges; each range also gets a copy of the first row of the next range that
-    has rows, so that no window spans more than one range.
+    has rows, so that no window spans more than one range.  ``copies`` returns these rows as well
+    (copy = 1): the row after any own one is then at the next place of its zone.
     """
     spark = docs.sparkSession
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
@@ -109,23 +115,20 @@ def with_next(docs: DataFrame) -> DataFrame:
     after = spark.createDataFrame(follow, f"zone int, next_zone int, head {kind}")
     heads_of = rows.select("doc_id", "text").join(F.broadcast(after.withColumnRenamed("zone", "own")), F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("own").alias("zone"), "doc_id", "text", F.lit(1).alias("copy"))
     order = W.partitionBy("zone").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
-    placed = rows.withColumn("copy", F.lit(0)).unionByName(heads_of).select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"), F.lead("copy").over(order).alias("next_copy"))
-    own = placed.filter("copy = 0").join(F.broadcast(after.select("zone", "next_zone")), "zone")
-    inside = F.col("next_copy") == 0
-    return own.select("zone", "place", "doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"), F.when(inside, F.col("zone")).otherwise(F.col("next_zone")).alias("next_zone"), F.when(inside, F.col("place") + 1).otherwise(F.lit(1)).alias("next_place"))
+    placed = rows.withColumn("copy", F.lit(0)).unionByName(heads_of).select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
+    return (placed if copies else placed.filter("copy = 0")).select("zone", "place", "copy", "doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(id_text(table(spark, sf_dir, "documents")))
+    rows = with_next(id_text(table(spark, sf_dir, "documents")), copies=True)
+    own = signatures(rows, ["zone", "place", "copy"])
+    own = own.withColumn("next_signature", F.lead("signature").over(W.partitionBy("zone").orderBy("place"))).filter("copy = 0").drop("copy")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.select("*", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
-    both = rows.select("zone", "place", F.explode(F.array(F.struct(F.lit(0).alias("edit"), F.col("text").alias("body")), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("body")))).alias("v")).select("zone", "place", "v.edit", F.col("v.body").alias("text"))
-    prints = signatures(both, ["zone", "place", "edit"])
-    own, edited = prints.filter("edit = 0").select("zone", "place", "signature"), prints.filter("edit = 1").select("zone", "place", F.col("signature").alias("edited_signature"))
-    after = own.select(F.col("zone").alias("next_zone"), F.col("place").alias("next_place"), F.col("signature").alias("next_signature"))
-    meta = rows.select("zone", "place", "next_zone", "next_place", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    out = meta.join(own, ["zone", "place"]).join(edited, ["zone", "place"]).join(after, ["next_zone", "next_place"])
+    rows = rows.filter("copy = 0").select("*", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
+    edited = signatures(rows, ["zone", "place"], "edited").withColumnRenamed("signature", "edited_signature")
+    meta = rows.select("zone", "place", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    out = meta.join(own, ["zone", "place"]).join(edited, ["zone", "place"])
 
     def shown(signature):
         return F.concat_ws("", *[F.lpad(F.hex(F.get(signature, k)), 16, "0") for k in range(SAMPLES)])

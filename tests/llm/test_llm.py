@@ -179,6 +179,26 @@ def test_fingerprints(docs, none):
     assert fingerprints.with_next(none.selectExpr("doc_id", "text")).count() == 0
 
 
+def test_fingerprints_of_the_query_are_close(spark, tmp_path):
+    texts = [prose(37 * i, 40 + i) + " a b c d e f" * (i % 5) for i in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in fingerprints.op4_fingerprints(spark, str(tmp_path)).collect()}
+
+    def exact(a, b):
+        a, b = (collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (a.split(), b.split()))
+        return sum((a & b).values()) / sum((a | b).values())
+
+    errors = []
+    for i, t in enumerate(texts):
+        after, half = (i + 1) % len(texts), len(t) // 2
+        edited = t[: len(t) - half] + texts[after][:half]
+        assert out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        errors += [out[i].near_edited - exact(t, edited), out[i].near_next - exact(t, texts[after])]
+        mine, other = ([out[k].fingerprint[j : j + 16] for j in range(0, len(out[k].fingerprint), 16)] for k in (i, after))
+        assert out[i].near_next == sum(x == y for x, y in zip(mine, other)) / len(mine)
+    assert max(map(abs, errors)) < 0.2 and (sum(e * e for e in errors[::2]) / len(texts)) ** 0.5 < 0.08
+
+
 def test_decontamination(spark, docs, none):
     item = prose(3000, 40)
     swapped = item.split()
