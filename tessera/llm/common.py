@@ -6,6 +6,7 @@ import atexit
 import importlib
 import os
 import sys
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-#: Rows in one Arrow batch of a Python stage; bounds a worker's memory when texts are long.
-BATCH_ROWS = 256
+#: Bytes that a Python stage takes at a time of an Arrow batch (which Spark bounds by 64 MB); one row at least.
+BATCH_BYTES = 4 << 20
 
 #: Rows of one key beyond which a Python stage over sorted rows takes them in parts.
 MANY = 1 << 16
@@ -25,12 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(os.environ.get("TESSERA_CHECKPOINT_DIR", "/tmp/checkpoints"), "tessera")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir, or the one set by setCheckpointDir.
+
+    Where neither is set, a local master (tests, one machine) gets a temporary folder of its own; on a
+    cluster that folder would not be shared, so an error is raised instead.
+    """
+    context = spark.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    master = context.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -68,6 +79,14 @@ class Stage:
         self.drop(*list(self.paths))
 
 
+def slices(batches):
+    """The rows of Arrow batches, BATCH_BYTES at a time."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def python_stage(df: DataFrame, target: str, schema: str, *args) -> DataFrame:
     """mapInArrow with the function named ``module:function`` of this package.
 
@@ -79,10 +98,9 @@ def python_stage(df: DataFrame, target: str, schema: str, *args) -> DataFrame:
         if root not in sys.path:
             sys.path.append(root)
         module, name = target.split(":")
-        yield from getattr(importlib.import_module(module), name)(batches, *args)
+        cut = importlib.import_module("tessera.llm.common").slices
+        yield from getattr(importlib.import_module(module), name)(cut(batches), *args)
 
-    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(call, schema)
 
 

@@ -34,10 +34,10 @@ def _powers(n: int) -> None:
 
 
 def sums(data: np.ndarray) -> np.ndarray:
-    """Running sums of a uint8 array, one longer than it."""
+    """Running sums, one longer than the data: of a uint8 array, or of uint64 codes as they are."""
     _powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTES[data] * _pow[: len(data)], dtype=np.uint64, out=out[1:])
+    np.cumsum((BYTES[data] if data.dtype == np.uint8 else data) * _pow[: len(data)], dtype=np.uint64, out=out[1:])
     return out
 
 

@@ -1,24 +1,26 @@
 """Suffix-array deduplication by depth-limited radix sort.
 
-The suffixes of all texts are ordered only through ``LENGTH`` bytes, by passes that start from the
-most significant digit.  After a pass only groups of equal digits with more than one member go on,
-so the groups left after the last digit are exactly the strings of ``LENGTH`` bytes that start in
-more than one place.  What the digits are is chosen so that little has to move:
-
-1. First digit: the ``GRAM`` bytes with the least hash inside the suffix's first LENGTH bytes.  All
-   neighbouring suffixes with the same one in the same place form a run, one row instead of many.
-2. Second digit: all bytes that a run's suffixes cover.  Runs that agree on it are repeats as a
-   whole; of each such group one goes on, and only where its first digit has another group.
-3. Last digit: the LENGTH bytes of every single suffix of the runs that went on.  Up to ``GROUPS``
-   distinct runs with one first digit are sorted together in a task; a first digit with more of them
-   is counted suffix by suffix over all tasks.
-
-Digits are compared by hashes: 64 bits of each digit on top of 64 bits of the first one.  The first
-two passes are counts that combine before the shuffle, so a string that fills a third of all rows is
-no hot key for any task; the texts move twice, compressed.
-
-Bytes covered by a repeated string go, also those of its first copy.  Null texts are empty; texts
-shorter than LENGTH keep all bytes.  Rows that repeat, doc_id included, are copies of each other.
+The suffixes of all texts are ordered only through ``length`` tokens (bytes, or words), by passes
+that start from the most significant digit.  After a pass only groups of equal digits with more than
+one member go on, so the groups left after the last digit are exactly the strings of ``length``
+tokens that start in more than one place.  What the digits are is chosen so that little has to move,
+and suffixes stay ranges throughout:
+
+1. First digit: the ``gram`` tokens with the least hash inside the suffix's first ``length`` tokens,
+   its anchor.  All neighbouring suffixes with the same anchor form a run, one row instead of many.
+2. Further digits: a run is cut where the anchor's offset inside the suffix passes a multiple of a
+   width (48, then 6, then 1).  All suffixes of such a piece have the tokens in common that any
+   suffix with an offset in that range covers: these are the digit.  The narrower the pieces, the
+   longer the digit; at width 1 it is the whole suffix.
+
+In every pass, pieces that agree on all bytes that their suffixes cover are repeats as a whole; of
+such a set one goes on, and only where its digit has another set.  Every pass is a count that
+combines before the shuffle, at every size, so neither a string that fills a third of all rows nor an
+anchor in very many surroundings is a hot key for any task.  Texts move twice, compressed.
+
+Tokens covered by a repeated string go, also those of its first copy.  Null texts are empty; texts
+shorter than ``length`` keep everything.  Rows that repeat, doc_id included, are copies of each other.
+Anchors and digits are known by 64-bit hashes each.
 """
 
 from __future__ import annotations
@@ -29,53 +31,76 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Stage, id_text, python_stage, table
 
 LENGTH, GRAM = 400, 48
-#: Distinct runs with one first digit that one task sorts.
-GROUPS = 2000
-#: Bytes of a long text that are hashed at a time.
+#: For lengths in words.
+WORD_GRAM = 6
+#: Widths of the pieces, each a multiple of the next; those that a run can't reach are left out.
+WIDTHS = (48, 6, 1)
+#: Tokens of a long text that are hashed at a time.
 PIECE = 1 << 20
 
 
-def runs_of(data: bytes, length: int = LENGTH, gram: int = GRAM):
-    """(start, suffixes, first digit, second digit) of the runs of a text, as arrays."""
+def words_of(data: bytes):
+    """(codes, starts, stops) of the words of UTF-8 bytes; ASCII white space parts words."""
+    import numpy as np
+
+    from tessera.llm.rolling import hashes, sums
+
+    raw = np.frombuffer(data, np.uint8)
+    inner = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], inner.astype(np.int8), [0]))))
+    starts, stops = edge[::2], edge[1::2]
+    return hashes(sums(raw), starts, stops), starts, stops
+
+
+def tokens_of(data: bytes, words: bool):
+    import numpy as np
+
+    return words_of(data)[0] if words else np.frombuffer(data, np.uint8)
+
+
+def runs_of(tokens, length: int = LENGTH, gram: int = GRAM):
+    """(start, suffixes, anchor's offset in the first suffix, first digit, hash of all tokens covered) of the runs, as arrays."""
     import hashlib
 
     import numpy as np
 
     from tessera.llm.rolling import hashes, sliding_min, sums
 
-    starts, counts, firsts, seconds = [], [], [], []
-    bytes_, low = np.frombuffer(data, np.uint8), np.uint64(0xFFFFFFFF)
-    for base in range(0, len(data) - length + 1, PIECE):
-        part = bytes_[base : base + PIECE + length - 1]
+    starts, counts, anchors, firsts = [], [], [], []
+    low = np.uint64(0xFFFFFFFF)
+    for base in range(0, len(tokens) - length + 1, PIECE):
+        part = tokens[base : base + PIECE + length - 1]
         total = sums(part)
         n = len(part) - gram + 1
         h = hashes(total, slice(0, n), slice(gram, gram + n))
         least = sliding_min((h & ~low) | np.arange(n, dtype=np.uint64), length - gram + 1) & low
         begins = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        size = np.diff(np.append(begins, len(least)))
+        at = least[begins].astype(np.int64)
         starts.append(begins + base)
-        counts.append(size)
-        firsts.append(h[least[begins].astype(np.int64)].view(np.int64))
+        counts.append(np.diff(np.append(begins, len(least))))
+        anchors.append(at - begins)
+        firsts.append(h[at].view(np.int64))
     start, count = np.concatenate(starts), np.concatenate(counts)
-    digest = b"".join([hashlib.blake2b(data[a : a + k + length - 1], digest_size=8).digest() for a, k in zip(start.tolist(), count.tolist())])
-    return start, count, np.concatenate(firsts), np.frombuffer(digest, np.int64)
+    data, size = tokens.tobytes(), tokens.itemsize
+    digest = b"".join([hashlib.blake2b(data[a * size : (a + k + length - 1) * size], digest_size=8).digest() for a, k in zip(start.tolist(), count.tolist())])
+    return start, count, np.concatenate(anchors), np.concatenate(firsts), np.frombuffer(digest, np.int64)
 
 
-def _runs(batches, length, gram):
+def _runs(batches, length, gram, words):
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
         rows, parts = [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
-            data = text.encode("utf-8", "surrogatepass")
-            if len(data) >= length:
-                parts.append(runs_of(data, length, gram))
+            tokens = tokens_of(text.encode("utf-8", "surrogatepass"), words)
+            if len(tokens) >= length:
+                parts.append(runs_of(tokens, length, gram))
                 rows.append(np.full(len(parts[-1][0]), i))
         if rows:
             at = pa.array(np.concatenate(rows))
-            start, count, first, second = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(first), pa.array(second)], names=["doc_id", "key", "start", "suffixes", "d1", "d2"])
+            start, count, anchor, first, whole = (np.concatenate([p[k] for p in parts]) for k in range(5))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(first), pa.array(whole)], names=["doc_id", "key", "start", "suffixes", "anchor", "d1", "covered"])
 
 
 def _packed(batches):
@@ -88,8 +113,11 @@ def _packed(batches):
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "packed": pa.array(packed, pa.binary())})
 
 
-def _units(batches, length):
-    """The runs that go on, each with the bytes that its suffixes cover."""
+_RUN = {"id": "int64", "start": "int32", "suffixes": "int32", "anchor": "int32", "d1": "int64", "known": "bool_"}
+
+
+def _units(batches, length, words):
+    """The runs that go on, each with the tokens that its suffixes cover."""
     import numpy as np
     import pyarrow as pa
     import zstandard
@@ -98,59 +126,53 @@ def _units(batches, length):
     for batch in batches:
         rows, runs, covered = [], [], []
         for i, (packed, own) in enumerate(zip(batch.column("packed").to_pylist(), batch.column("runs").to_pylist())):
-            data = unpack(packed)
+            tokens = tokens_of(unpack(packed), words)
             rows += [i] * len(own)
             runs += own
-            covered += [data[r["start"] : r["start"] + r["suffixes"] + length - 1] for r in own]
+            covered += [tokens[r["start"] : r["start"] + r["suffixes"] + length - 1].tobytes() for r in own]
         at = pa.array(np.array(rows, np.int64))
-        columns = {k: pa.array([r[k] for r in runs], kind) for k, kind in (("start", pa.int32()), ("suffixes", pa.int32()), ("d1", pa.int64()), ("whole", pa.bool_()), ("groups", pa.int64()))}
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(at), "key": batch.column("key").take(at), **columns, "covered": pa.array(covered, pa.binary())})
-
+        columns = {k: pa.array([r[k] for r in runs], getattr(pa, kind)()) for k, kind in _RUN.items()}
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(at), "key": batch.column("key").take(at), **columns, "tokens": pa.array(covered, pa.binary())})
 
-def _suffixes(rows, length):
-    """Of a table of units: the unit and start of every suffix, and its last digit."""
-    import numpy as np
-
-    from tessera.llm.rolling import hashes, sums
-
-    covered = rows.column("covered").to_pylist()
-    size = rows.column("suffixes").to_numpy().astype(np.int64)
-    offset = np.concatenate(([0], np.cumsum([len(c) for c in covered])))[:-1]
-    unit = np.repeat(np.arange(len(size)), size)
-    inside = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
-    at = offset[unit] + inside
-    return unit, rows.column("start").to_numpy()[unit] + inside, hashes(sums(np.frombuffer(b"".join(covered), np.uint8)), at, at + length).view(np.int64)
-
-
-def _last_digits(batches, length):
-    import pyarrow as pa
 
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if rows.num_rows:
-            unit, start, d3 = _suffixes(rows, length)
-            at = pa.array(unit)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(at), "key": batch.column("key").take(at), "start": pa.array(start, pa.int32()), "d1": batch.column("d1").take(at), "d3": pa.array(d3), "whole": batch.column("whole").take(at)})
-
-
-def _sort_groups(batches, length):
-    """Of units sorted by first digit: byte ranges of the suffixes with equal last digits."""
+def _pieces(batches, length, gram, width, words):
+    """The parts of units, cut at multiples of ``width`` of the anchor's offset, with their digits."""
     import numpy as np
     import pyarrow as pa
 
-    from tessera.llm.common import runs_of_equal
+    from tessera.llm.rolling import hashes, mixed, sums
 
-    for rows, _ in runs_of_equal(batches, "d1"):
-        unit, start, d3 = _suffixes(rows, length)
-        pair = np.stack([rows.column("d1").to_numpy()[unit], d3], axis=1).view([("d1", np.int64), ("d3", np.int64)]).ravel()
-        _, group, count = np.unique(pair, return_inverse=True, return_counts=True)
-        again = (count[group] > 1) & ~rows.column("whole").to_numpy(zero_copy_only=False)[unit]
-        # neighbouring suffixes of a unit make one range
-        begins = np.flatnonzero(again & np.concatenate(([True], ~again[:-1] | (unit[1:] != unit[:-1]))))
-        ends = np.flatnonzero(again & np.concatenate((~again[1:] | (unit[1:] != unit[:-1]), [True])))
-        if len(begins):
-            at = pa.array(unit[begins])
-            yield pa.RecordBatch.from_arrays([rows.column(k).combine_chunks().take(at) for k in ("doc_id", "key")] + [pa.array(start[begins], pa.int32()), pa.array(start[ends] + length, pa.int32())], names=["doc_id", "key", "a", "b"])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = batch.column("tokens").to_pylist()
+        size = np.array([len(t) for t in held], np.int64) // (8 if words else 1)
+        total = sums(np.frombuffer(b"".join(held), np.uint64 if words else np.uint8))
+        offset = np.cumsum(size) - size
+        parts = batch.column("parts")
+        unit = np.repeat(np.arange(batch.num_rows), parts.value_lengths().to_numpy())
+        parts = parts.flatten()
+        start, n, known = (parts.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+        base, anchor = batch.column("start").to_numpy().astype(np.int64)[unit], batch.column("anchor").to_numpy().astype(np.int64)[unit]
+        high = anchor - (start - base)  # offsets of the anchor inside the part's first and last suffix
+        low = high - n + 1
+        cells = high // width - low // width + 1
+        part = np.repeat(np.arange(len(unit)), cells)
+        cell = low[part] // width + np.arange(len(part)) - np.repeat(np.cumsum(cells) - cells, cells)
+        last = np.minimum(high[part], cell * width + width - 1)  # the first suffix has the largest offset
+        first = np.maximum(low[part], cell * width)
+        place = (offset[unit] + anchor)[part]  # of the anchor among all tokens held
+        common = hashes(total, place - cell * width, place - np.minimum(cell * width + width - 1, length - gram) + length)
+        digit = mixed(common + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        covered = hashes(total, place - last, place - first + length)
+        at = pa.array(unit[part])
+        yield pa.RecordBatch.from_pydict(
+            {
+                **{k: batch.column(k).take(at) for k in ("id", "doc_id", "key", "d1")},
+                "start": pa.array((base + anchor)[part] - last, pa.int32()), "suffixes": pa.array(last - first + 1, pa.int32()),
+                "known": pa.array(known[part].astype(bool)), "digit": pa.array(digit.view(np.int64)), "covered": pa.array(covered.view(np.int64)),
+            }
+        )
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -164,7 +186,7 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _cut(batches, as_text):
+def _cut(batches, as_text, words):
     import pyarrow as pa
     import zstandard
 
@@ -174,6 +196,9 @@ def _cut(batches, as_text):
         for packed, found in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist()):
             data = unpack(packed)
             gone = merged([(s["a"], s["b"]) for s in found or ()])
+            if words and gone:
+                _, starts, stops = words_of(data)
+                gone = [[int(starts[a]), int(stops[b - 1])] for a, b in gone]
             at, parts = 0, []
             for a, b in gone:
                 parts.append(data[at:a])
@@ -186,38 +211,65 @@ def _cut(batches, as_text):
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), "kept": pa.array(kept, pa.string() if as_text else pa.binary())})
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, as_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _pass(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One digit: ``rows`` of groups of equal ``keys`` with more than one member, and of each what is
+    settled: found (a repeat as a whole, not known before), known, and whether it goes on."""
+    sets = rows.groupBy(*keys, "covered").agg(F.count("*").alias("n"), F.min("row").alias("one"))
+    groups = sets.groupBy(*keys).agg(F.count("*").alias("sets"), F.sum("n").alias("all")).filter("all > 1")
+    left = sets.join(groups, keys).select(*keys, "covered", "n", "one", "sets")  # groups of one end here
+    on = (F.col("row") == F.col("one")) & (F.col("sets") > 1)
+    judged = rows.join(left, [*keys, "covered"]).withColumns({"found": (F.col("n") > 1) & ~F.col("known"), "goes_on": on})
+    return judged.withColumn("known", (F.col("n") > 1) | F.col("known")).filter("found or goes_on").drop("n", "one", "sets", "row", "covered")
+
+
+def deduplicate(docs: DataFrame, length: int | None = None, as_text: bool = False, unit: str = "bytes", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (hash of the text), n_bytes, n_removed, spans (removed byte ranges) and kept
-    (the bytes that stay) of every row; ``as_text`` gives kept as a string without cut characters."""
-    here, gram = "tessera.llm.suffix_dedup:", min(GRAM, length)
-    stage = Stage(docs.sparkSession)
+    (the bytes that stay) of every row; ``as_text`` gives kept as a string without cut characters.
+
+    ``length`` counts bytes, or words with ``unit="words"`` (then white space plays no part in the
+    comparison, and a span reaches from its first word's first byte to its last word's last).
+    """
+    if unit not in ("bytes", "words"):
+        raise ValueError("unit is bytes or words")
+    words = unit == "words"
+    length = length or LENGTH
+    gram = min(WORD_GRAM if words else GRAM, length)
+    here, stage = "tessera.llm.suffix_dedup:", Stage(docs.sparkSession)
     rows = id_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    ids = f"doc_id {kind}, key long"
-    runs = stage.keep(python_stage(rows, here + "_runs", f"{ids}, start int, suffixes int, d1 long, d2 long", length, gram).withColumn("run", F.monotonically_increasing_id()), "runs")
-
-    groups = runs.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("run").alias("one"))
-    others = groups.groupBy("d1").agg(F.count("*").alias("groups"), F.sum("n").alias("all")).filter("all > 1")
-    left = groups.join(others.select("d1", "groups"), "d1").select("d1", "d2", "n", "one", "groups")  # first digits with one run end here
-    more = stage.keep(runs.join(left, ["d1", "d2"]).select("doc_id", "key", "start", "suffixes", "d1", (F.col("n") > 1).alias("whole"), ((F.col("run") == F.col("one")) & (F.col("groups") > 1)).alias("goes_on"), "groups"), "more")
+    ids = f"doc_id {dict(rows.dtypes)['doc_id']}, key long"
+    span = (F.col("start").alias("a"), (F.col("start") + F.col("suffixes") + (length - 1)).alias("b"))
+
+    runs = python_stage(rows, here + "_runs", f"{ids}, start int, suffixes int, anchor int, d1 long, covered long", length, gram, words)
+    runs = stage.keep(runs.withColumns({"row": F.monotonically_increasing_id(), "known": F.lit(False)}), "runs")
+    judged = stage.keep(_pass(runs.withColumn("id", F.col("row")), ["d1"]), "pass-1")
     stage.drop("runs")
+    found, on = [judged.filter("found").select("doc_id", "key", *span)], judged.filter("goes_on")
 
     texts = python_stage(rows, here + "_packed", f"{ids}, packed binary")
-    by_doc = more.filter("goes_on").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "suffixes", "d1", "whole", "groups")).alias("runs"))  # the runs of one text
+    by_doc = on.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*_RUN)).alias("runs"))  # the runs of one text
     by_doc = by_doc.withColumnRenamed("doc_id", "own").withColumnRenamed("key", "own_key")
     same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key"))
-    units = stage.keep(python_stage(texts.join(by_doc, same).select("doc_id", "key", "packed", "runs"), here + "_units", f"{ids}, start int, suffixes int, d1 long, whole boolean, groups long, covered binary", length), "units")
-    few = units.filter(F.col("groups") <= GROUPS).repartition("d1").sortWithinPartitions("d1")
-    single = python_stage(few, here + "_sort_groups", f"{ids}, a int, b int", length)
-    if not (many := units.filter(F.col("groups") > GROUPS)).isEmpty():
-        last = stage.keep(python_stage(many, here + "_last_digits", f"{ids}, start int, d1 long, d3 long, whole boolean", length), "last")
-        place = F.xxhash64("doc_id", "key", "start")  # the same for rows that repeat: those don't count as two places here
-        again = last.groupBy("d1", "d3").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("d1", "d3")
-        single = single.union(last.filter("not whole").join(again, ["d1", "d3"]).select("doc_id", "key", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
-    full = more.filter("whole").select("doc_id", "key", F.col("start").alias("a"), (F.col("start") + F.col("suffixes") + (length - 1)).alias("b"))
-    spans = full.union(single).groupBy(F.col("doc_id").alias("own"), F.col("key").alias("own_key")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    kinds = f"{ids}, id long, start int, suffixes int, anchor int, d1 long, known boolean, tokens binary"
+    units = stage.keep(python_stage(texts.join(by_doc, same).select("doc_id", "key", "packed", "runs"), here + "_units", kinds, length, words), "units")
+
+    parts = units.withColumn("parts", F.array(F.struct("start", "suffixes", "known")))
+    for width in (w for w in WIDTHS if w == 1 or 4 * w <= length - gram):
+        cut = python_stage(parts.select("id", "doc_id", "key", "start", "anchor", "d1", "tokens", "parts"), here + "_pieces", f"id long, {ids}, d1 long, start int, suffixes int, known boolean, digit long, covered long", length, gram, width, words)
+        pieces = stage.keep(cut.withColumn("row", F.monotonically_increasing_id()), f"pieces-{width}")
+        judged = stage.keep(_pass(pieces, ["d1", "digit"]), f"digit-{width}")
+        stage.drop(f"pieces-{width}")
+        found.append(judged.filter("found").select("doc_id", "key", *span))
+        if width > 1:
+            own = judged.filter("goes_on").groupBy("id").agg(F.collect_list(F.struct("start", "suffixes", "known")).alias("parts"))  # pieces of one run
+            parts = units.drop("known", "suffixes").join(own, "id")
+
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    spans = stage.keep(every.groupBy(F.col("doc_id").alias("own"), F.col("key").alias("own_key")).agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    stage.drop(*[name for name in stage.paths if name != "spans"])
     cut = texts.join(spans, same, "left").select("doc_id", "key", "packed", "spans")
-    return python_stage(cut, here + "_cut", f"{ids}, n_bytes long, n_removed long, spans array<struct<a:int,b:int>>, kept " + ("string" if as_text else "binary"), as_text)
+    return python_stage(cut, here + "_cut", f"{ids}, n_bytes long, n_removed long, spans array<struct<a:int,b:int>>, kept " + ("string" if as_text else "binary"), as_text, words)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

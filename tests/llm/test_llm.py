@@ -48,16 +48,75 @@ def brute_cut(texts, length):
     return out
 
 
-@pytest.mark.parametrize("groups", [2000, 1])
-def test_suffix_dedup(docs, none, monkeypatch, groups):
+def cut_of(spark, texts, **how):
+    from pyspark.sql import functions as F
+
+    held = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = suffix_dedup.deduplicate(held, **how).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+    return [tuple(r)[1:] for r in sorted(out)]
+
+
+def test_suffix_dedup(docs, none):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(suffix_dedup, "GROUPS", groups)
     out = suffix_dedup.deduplicate(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
     assert [tuple(r)[1:] for r in sorted(out)] == brute_cut(TEXTS, 400)
     assert suffix_dedup.deduplicate(none).count() == 0
 
 
+def test_suffix_dedup_of_odd_texts(spark):
+    import random
+
+    dice = random.Random(5)
+    few = ["".join(dice.choice("ab") for _ in range(dice.randrange(30))) * dice.randrange(1, 9) for _ in range(60)]
+    many = ["".join(dice.choice("abcd ") for _ in range(dice.randrange(120))) for _ in range(40)]
+    shared = "".join(dice.choice("abcdefgh ") for _ in range(60))
+    # one passage in many surroundings: a first digit with very many runs, at all distances from the edge
+    around = [a[: dice.randrange(40)] + shared[: dice.randrange(45, 61)] + b[: dice.randrange(40)] for a, b in zip(many * 3, many[::-1] * 3)]
+    for texts, length in ((few + many, 7), (around, 50), (few + around, 55)):
+        assert cut_of(spark, texts, length=length) == brute_cut(texts, length)
+
+
+def test_suffix_dedup_of_a_common_passage_and_a_long_text(spark):
+    import random
+
+    dice = random.Random(7)
+    noise = lambda n: "".join(dice.choice("abcdefghijklmnop  ") for _ in range(n))
+    passage, long_text = noise(420), noise(suffix_dedup.PIECE + 5000)
+    border = long_text[suffix_dedup.PIECE - 250 : suffix_dedup.PIECE + 350]  # a repeat across the pieces of the long text
+    texts = [noise(dice.randrange(400)) + passage[dice.randrange(40) :] + noise(dice.randrange(400)) for _ in range(2300)] + [long_text, border, "é" * 300, "è" * 200 + "é" * 250]
+    data = [t.encode() for t in texts]
+    seen = collections.Counter(hash(b[s : s + 400]) for b in data for s in range(len(b) - 399))
+    expected = []
+    for b in data:
+        gone = bytearray(len(b))
+        for s in range(len(b) - 399):
+            if seen[hash(b[s : s + 400])] > 1:
+                gone[s : s + 400] = b"\1" * 400
+        spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
+        expected.append((len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+    assert cut_of(spark, texts) == expected
+
+
+def test_suffix_dedup_by_words(spark):
+    near = prose(100, 70)
+    texts = [prose(0, 300), "lead in " + "\n".join(prose(40, 51).split()) + " lead out", near, near.upper(), prose(900, 49), "x y " + prose(900, 49), None, "", " \t ", "so " * 120]
+    words = [(t or "").split() for t in texts]
+    seen = collections.Counter(tuple(w[s : s + 50]) for w in words for s in range(len(w) - 49))
+    out = sorted(suffix_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 50, True, "words").select("doc_id", "kept").collect())
+    for r, own in zip(out, words):
+        gone = {k for s in range(len(own) - 49) if seen[tuple(own[s : s + 50])] > 1 for k in range(s, s + 50)}
+        assert r.kept.split() == [w for k, w in enumerate(own) if k not in gone]
+    assert out[1].kept == "lead in  lead out" and out[4].kept == texts[4]
+
+
+def test_suffix_dedup_of_rows_that_repeat(spark):
+    held = spark.createDataFrame([(1, prose(0, 100), 5), (1, prose(0, 100), 6), (None, prose(200, 90), 7), (None, prose(400, 90), 8), (2, prose(0, 20), 9)], "doc_id long, text string, key int")
+    out = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.deduplicate(held).collect())
+    size = [len(prose(*x)) for x in ((0, 100), (200, 90), (400, 90), (0, 20))]
+    assert out == sorted([(0, size[1], 0), (0, size[2], 0), (1, size[0], size[0]), (1, size[0], size[0]), (2, size[3], 0)])
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
