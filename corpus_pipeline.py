@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, decontaminate, language_id, ngram_join, suffix_dedup
 from tessera.llm.common import Stage, table
 
+#: Words from which on a repeated passage goes.
+PASSAGE = 50
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -38,10 +40,10 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out all bytes of passages of 400 bytes or more that occur more than once."""
+    """Takes out all passages of PASSAGE words or more that occur more than once."""
     meta = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "lang", "source").dropDuplicates(["doc_id", "key"])
     meta = meta.withColumnRenamed("doc_id", "own").withColumnRenamed("key", "own_key")
-    cut = suffix_dedup.deduplicate(docs, as_text=True)
+    cut = suffix_dedup.deduplicate(docs, PASSAGE, as_text=True, unit="words")
     out = cut.join(meta, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key")))
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
 
