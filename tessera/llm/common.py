@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-#: Bytes that a Python stage takes at a time of an Arrow batch (which Spark bounds by 64 MB); one row at least.
-BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch of a Python stage, which bounds a worker's memory whatever the length of texts; one row at least.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Rows of one key beyond which a Python stage over sorted rows takes them in parts.
 MANY = 1 << 16
@@ -79,6 +80,13 @@ class Stage:
         self.drop(*list(self.paths))
 
 
+def _size(text: str) -> int:
+    """Bytes of a size such as 67108864b or 64m; without a bound a very large number."""
+    number, unit = text.rstrip("bBkKmMgG"), text.lower().rstrip("b")[-1:]
+    n = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
+    return n if n > 0 else 1 << 62
+
+
 def slices(batches):
     """The rows of Arrow batches, BATCH_BYTES at a time."""
     for batch in batches:
@@ -90,7 +98,9 @@ def slices(batches):
 def python_stage(df: DataFrame, target: str, schema: str, *args) -> DataFrame:
     """mapInArrow with the function named ``module:function`` of this package.
 
-    Only the name travels, so executors keep one copy of the module and its tables for all tasks.
+    Only the name travels, so executors keep one copy of the module and its tables for all tasks.  A
+    session whose Arrow batches may be larger than BATCH_BYTES is set to that size: Spark has no such
+    setting for one query, and several tasks of an executor would else hold 64 MB each more than once.
     """
     root = ROOT
 
@@ -101,6 +111,9 @@ def python_stage(df: DataFrame, target: str, schema: str, *args) -> DataFrame:
         cut = importlib.import_module("tessera.llm.common").slices
         yield from getattr(importlib.import_module(module), name)(cut(batches), *args)
 
+    conf = df.sparkSession.conf
+    if _size(conf.get(_BATCH)) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(call, schema)
 
 
