@@ -9,6 +9,15 @@ from tessera.functions import patterns as P
 BLANK = "[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
+def let(value, body):
+    """``body`` of a value that is computed once; named expressions would be computed at every use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def text(col):
+    return F.coalesce(col, F.lit(""))
+
+
 def matches(col, pattern: str):
     return F.coalesce(col.rlike(P.java(pattern)), F.lit(False))
 
@@ -35,6 +44,19 @@ def html_to_markdown(col):
     return trimmed(replaced(sanitize_html(col), P.MARKDOWN))
 
 
+def sanitize_dom(html):
+    """As sanitize_html, and without video, audio and meta elements and images of up to two pixels."""
+    return replaced(html, P.SANITIZE_DOM)
+
+
+def serialized(html):
+    """(title, lang, markdown) of a page: the first body, main or article element, 200,000 characters at most."""
+    root = F.regexp_extract(html, P.ROOT, 1)
+    lang = F.regexp_extract(html, P.LANG_ATTRIBUTE, 1)
+    text = trimmed(replaced(sanitize_dom(F.when(root != "", root).otherwise(html)), P.MARKDOWN))
+    return page_title(html), F.when(lang != "", lang).otherwise("en"), F.substring(text, 1, 200_000)
+
+
 def page_title(html):
     return squeezed(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
@@ -47,6 +69,15 @@ def token_count(col):
     return F.size(F.split(col, f"{BLANK}+")).cast("long")
 
 
+def description(markdown):
+    """The first line of over 50 characters that is prose, without a greeting in front; null without one."""
+    def good(s):
+        return (F.length(s) > 50) & ~s.rlike("^(#|-|Address:|Contact:)") & ~matches(s, P.BORING)
+
+    line = F.get(F.filter(F.transform(F.split(markdown, "\n"), trimmed), good), 0)
+    return let(line, lambda s: F.substring(trimmed(F.regexp_replace(s, "(?i)" + P.GREETING, "")), 1, 320))
+
+
 def detect_language(attr, text):
     asian, umlaut = text.rlike("[\u3040-\u30ff\u4e00-\u9faf]"), text.rlike("[äöüßÄÖÜ]") | matches(text, P.GERMAN)
     return F.when((attr != "") & (attr != "und"), F.substring_index(attr, "-", 1)).when(asian, "ja").when(umlaut, "de").otherwise("en")
@@ -59,16 +90,39 @@ def language_name(code):
 
 
 def url_origin(url):
-    return F.lower(F.regexp_extract(url, r"(?i)^(https?://[^/?#]+)", 1))
+    """scheme://host of a web URL in lower case, without user and default port; else empty."""
+    def of(u):
+        scheme = F.lower(F.regexp_extract(u, r"(?i)^(https?)://", 1))
+        host = F.lower(F.regexp_extract(u, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#]+)", 1))
+        host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
+        return let(host, lambda h: F.when((scheme != "") & (h != ""), F.concat(scheme, F.lit("://"), h)).otherwise(""))
+
+    return let(url, of)
+
+
+def undotted(path):
+    """A path without . and .. segments."""
+    def step(held, s):
+        return F.when(s == ".", held).when(s == "..", F.when(F.size(held) > 1, F.slice(held, 1, F.size(held) - 1)).otherwise(held)).otherwise(F.concat(held, F.array(s)))
+
+    def of(p):
+        tail = F.when(p.rlike(r"/\.{1,2}$"), "/").otherwise("")
+        joined = F.concat(F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/"), tail)
+        return F.when(p.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), joined).otherwise(p)
+
+    return let(path, of)
 
 
 def resolve(href, base):
     """Absolute form of an href: absolute, //host, /path, ?query or relative to the base's folder."""
-    origin, folder = url_origin(base), F.regexp_extract(base, r"(?i)^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
-    page = F.regexp_extract(base, r"^([^?#]*)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    return (F.when(href.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"(?i)^(https?:)", 1), href))
-            .when(href.startswith("/"), F.concat(origin, href)).when(href.startswith("?"), F.concat(page, href)).otherwise(F.concat(folder, href)))
+    def of(x):
+        h, b = x["href"], x["base"]
+        folder = F.regexp_extract(b, r"(?i)^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
+        folder = let(folder, lambda f: F.when(f.endswith("/"), f).otherwise(F.concat(f, F.lit("/"))))
+        return (F.when(h.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.regexp_extract(b, r"(?i)^(https?:)", 1), h))
+                .when(h.startswith("/"), F.concat(url_origin(b), h)).when(h.startswith("?"), F.concat(F.regexp_extract(b, r"^([^?#]*)", 1), h)).otherwise(F.concat(folder, h)))
+
+    return let(F.struct(href.alias("href"), base.alias("base")), of)
 
 
 def url_path(url):
@@ -77,22 +131,35 @@ def url_path(url):
 
 def canonical_url(url):
     """The URL without tracking parameters, fragment and trailing slash; null for what isn't a page."""
-    path = F.lower(url_path(url))
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    last = F.coalesce(F.element_at(F.when(F.size(segments) > 0, segments), -1), F.lit(""))
-    extension = F.when(last.contains("."), F.substring_index(last, ".", -1)).otherwise("")
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda kv: (kv != "") & ~F.lower(F.substring_index(kv, "=", 1)).isin(P.TRACKING)), "&")
-    cyclic = (F.size(segments) > 3) & (F.size(F.array_distinct(segments)) < F.size(segments) / 1.5)
-    clean = F.regexp_replace(F.concat(url_origin(url), F.when(path == "", "/").otherwise(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")), "/+$", "")
-    return F.when((url_origin(url) != "") & ~extension.isin(P.ASSETS) & ~matches(path, P.PATH_TRAP) & ~cyclic, clean)
+    def of(u):
+        query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
+        kept = F.array_join(F.filter(F.split(query, "&"), lambda kv: (kv != "") & ~F.lower(F.substring_index(kv, "=", 1)).isin(*P.TRACKING)), "&")
+        path = undotted(F.lower(url_path(u)))
+        return let(F.struct(url_origin(u).alias("origin"), path.alias("path"), kept.alias("kept")), judged)
+
+    def judged(x):
+        path, segments = x["path"], F.filter(F.split(x["path"], "/"), lambda s: s != "")
+
+        def page(own):
+            last = text(F.element_at(F.when(F.size(own) > 0, own), -1))
+            extension = F.when(last.contains("."), F.substring_index(last, ".", -1)).otherwise("")
+            cyclic = (F.size(own) > 3) & (F.size(F.array_distinct(own)) < F.size(own) / 1.5)
+            return ~extension.isin(*P.ASSETS) & ~matches(path, P.PATH_TRAP) & ~cyclic
+
+        clean = F.concat(x["origin"], F.when(path == "", "/").otherwise(path), F.when(x["kept"] != "", F.concat(F.lit("?"), x["kept"])).otherwise(""))
+        return F.when((x["origin"] != "") & let(segments, page), F.regexp_replace(clean, "/+$", ""))
+
+    return let(url, of)
 
 
 def fnv1a(col):
-    """32-bit FNV-1a over the characters, as hexadecimal."""
-    codes = F.transform(F.split(col, ""), lambda c: F.ascii(c).cast("long"))
-    codes = F.filter(codes, lambda c: c > 0)
-    return F.lower(F.hex(F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))))
+    """32-bit FNV-1a over UTF-16 code units, as hexadecimal."""
+    def folded(code):
+        units = F.transform(F.sequence(F.lit(1), F.length(code) - 3, F.lit(4)), lambda k: F.conv(F.substring(code, k, F.lit(4)), 16, 10).cast("long"))
+        units = F.when(F.length(code) > 0, units).otherwise(F.array().cast("array<bigint>"))
+        return F.lower(F.hex(F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))))
+
+    return let(F.hex(F.encode(col, "UTF-16BE")), folded)
 
 
 def email_department(email):
@@ -103,8 +170,7 @@ def email_department(email):
 
 
 def valid_email(email):
-    placeholder = r"^(?:email|yourname|name|test|user)@(example|domain|placeholder|yourcompany)\.com$"
-    return matches(email, f"^{P.EMAIL}$") & ~matches(email, "noreply|no-reply|donotreply") & ~matches(email, placeholder)
+    return matches(email, f"^{P.EMAIL}$") & ~matches(email, P.NO_REPLY) & ~matches(email, P.PLACEHOLDER)
 
 
 def phone_digits(raw):
@@ -135,4 +201,4 @@ def jaccard(a, b):
 
 def duration(ms):
     small = F.concat(F.floor(ms + 0.5).cast("long").cast("string"), F.lit(" ms"))
-    return F.when(ms.isNull() | (ms < 0), "").when(ms < 1000, small).when(ms >= 10000, F.concat(F.format_string("%.1f", ms / 1000), F.lit(" s"))).otherwise(F.concat(F.format_string("%.2f", ms / 1000), F.lit(" s")))
+    return F.when(ms.isNull() | F.isnan(ms) | (F.abs(ms) == float("inf")) | (ms < 0), "").when(ms < 1000, small).when(ms >= 10000, F.concat(F.format_string("%.1f", ms / 1000), F.lit(" s"))).otherwise(F.concat(F.format_string("%.2f", ms / 1000), F.lit(" s")))

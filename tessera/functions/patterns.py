@@ -10,6 +10,35 @@ PHONE = r"(?:\+|00)[\d\s().-]{8,22}|\(\d{3}\)\s?\d{3}[-.\s]?\d{4}|\d{3}[-.\s]\d{
 LINKEDIN = r"(?:https?://)?(?:www\.)?linkedin\.com/(?:in|company)/[A-Za-z0-9_-]+"
 XING = r"(?:https?://)?(?:www\.)?xing\.com/(?:profile|pages)/[A-Za-z0-9._-]+"
 WECHAT = r"(?:wechat|微信)[:\s]+([A-Za-z0-9_-]{4,20})"
+ROLE_HINTS = r"\b(chief|ceo|cto|cfo|coo|chairman|chairwoman|president|founder|director|vp|vice president|head of|managing director|board|officer|vorstand|vorsitzende[rn]?|geschäftsführer(?:in)?|geschäftsführung|代表取締役|取締役|執行役員|社長)\b"
+STAMP_ROLE_HINTS = r"\b(chief|ceo|cto|cfo|coo|chairman|chairwoman|president|founder|director|vp|vice president|head of|managing director|board|officer|vorstand|vorsitzende|geschäftsführer|代表取締役|取締役|執行役員|社長)\b"
+EXECUTIVE_TITLE = r"(?:\b(?:chief|ceo|cto|cfo|coo|cro|cmo|cpo|president|founder|co-founder|director|vp|vice president|head of|managing director|partner|general manager|principal|board member|officer)\b|vorstand|geschäftsführer(?:in)?|geschäftsführung|vorsitzende[rn]?|代表取締役|取締役|執行役員|社長|会長)"
+RECRUITING = r"\b(we're hiring|open positions?|apply now|view openings?|join (?:us|the team)|salary|full-time|part-time|remote)\b"
+BANNED_NAMES = [
+    "products", "product", "solutions", "solutions overview", "platform", "services", "pricing", "resources", "careers", "we are hiring", "jobs",
+    "company", "about", "about us", "leadership", "executive team", "contact", "contact us", "blog", "press", "media", "privacy", "terms", "cookie policy",
+    "security", "compliance", "login", "portal", "dashboard", "learn more", "get started", "read more", "whitepapers", "case studies", "faqs", "help center",
+    "customer stories", "integrations", "documentation", "api", "overview", "enterprise",
+]
+HEADER_WORD = r"^(address|contact|email|phone|impressum|leadership|team|about)$"
+NAME_WORDS = r"^[\p{L}\p{M}.·'’\-]+(?:\s+[\p{L}\p{M}.·'’\-]+)*$"
+NAME_WORDS_STRICT = r"^[\p{L}\p{M}.'’\-]+(?:\s+[\p{L}\p{M}.'’\-]+)*$"
+EXEC_BOLD = r"(?m)^[-*]\s+\*\*(.+?)\*\*\s+[—–-]\s+(.+?)(?:\s+[—–-]\s+(\S+@\S+))?$"
+EXEC_DASH = r"(?m)^(?:[-*]\s+)?([\p{L}\p{M}.·'’\-\s]{2,80}?)\s+[—–-]\s+([^\n@]+?)(?:\s+[—–-]\s+(\S+@\S+))?\s*$"
+EXEC_COMMA = r"(?m)^(?:[-*]\s+)?([\p{L}\p{M}.·'’\-\s]{2,80}),\s+([^\n,@]{2,80})$"
+ADDRESS_LABELLED = r"(?:(?:Primary\s+|Global\s+|Regional\s+|European\s+|Headquarters\s+|HQ\s+|Corporate\s+)?(?:Address|Headquarters|HQ|Office|Location|Standort|Anschrift|本社|支社)(?:\s+(?:Address|Location|Office|Standort))?[:\s]+)([^\n\r]+)"
+ADDRESS_POSTAL = r"(?:〒\s*\d{3}-?\d{4}[^\n\r]+|\d{4,5}\s+[A-ZÄÖÜ][a-zäöüß]+[^\n\r]+|\b\d{1,5}\s+[A-Za-z0-9\s.,-]+(?:Street|St|Avenue|Ave|Boulevard|Blvd|Road|Rd|Drive|Dr|Way|Lane|Ln|Square|Sq|Plaza|Friedrichstraße|Straße|str\.)[A-Za-z0-9\s.,\d-]*\b)"
+ADDRESS_FALLBACK = r"(?:〒\s*\d{3}-?\d{4}[^\n]+|\d{3,5}\s+[A-ZÄÖÜ][a-zäöüß]+[^\n]+|Address:\s*(.+)|Headquarters[:\s]+(.+))"
+NON_PERSON = r"^(products?|solutions?|about(\s+us)?|careers?|blog|faqs?|contact(\s+us)?|customers?|features?|pricing|services?|integrations?|resources?|documentation|docs|support|privacy(\s+policy)?|terms(\s+of\s+service)?|security|login|sign\s*in|sign\s*up|get\s*started|platform|overview|company)$"
+FEATURE_METRIC = r"\b(\d+%\s*(?:gain|increase|reduction|growth|efficiency)|payment\s+processing|automated\s+multi-currency|settlement)\b"
+NO_REPLY = r"noreply|no-reply|donotreply"
+PLACEHOLDER = r"^(?:email|yourname|name|test|user)@(example|domain|placeholder|yourcompany)\.com$"
+BORING = r"cookie|copyright|rights reserved|privacy"
+GREETING = r"^(Welcome to\s+|At\s+[^,]+,\s*)"
+FIELDS = {
+    "company_name": "Company", "legal_name": "Legal name", "industry": "Industry", "description": "Profile", "address": "Address", "email": "Email",
+    "phone": "Phone", "website": "Website", "linkedin": "LinkedIn", "xing": "Xing", "wechat": "WeChat",
+}
 LEGAL_FORM = r"gmbh|ag\b|inc\.|llc|ltd|株式会社"
 GERMAN = r"\b(und|für|gesellschaft|straße)\b"
 LANGUAGE_NAMES = {"en": "English", "de": "Deutsch", "ja": "日本語", "es": "Español", "fr": "Français", "zh": "中文", "ko": "한국어"}
@@ -40,8 +69,14 @@ DEPARTMENTS = [
     ("support", r"\b(support|help|service|care|customer-care|customercare)\b|support|helpdesk"),
     ("legal", r"\b(legal|privacy|compliance)\b"),
 ]
-ASSETS = "pdf doc docx xls xlsx ppt pptx zip tar gz 7z dmg iso png jpg jpeg gif svg webp ico mp3 mp4 wav avi mov webm css js json xml rss".split()
-TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content gclid fbclid msclkid mc_cid mc_eid ref source session_id sessionid sid phpsessid jsessionid".split()
+ASSETS = (
+    "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "tar", "gz", "7z", "dmg", "iso", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico",
+    "mp3", "mp4", "wav", "avi", "mov", "webm", "css", "js", "json", "xml", "rss",
+)
+TRACKING = (
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "msclkid", "mc_cid", "mc_eid", "ref", "source",
+    "session_id", "sessionid", "sid", "phpsessid", "jsessionid",
+)
 #: (pattern, replacement with $1, $2) in order
 SANITIZE = [
     *((rf"(?is)<{tag}.*?</{tag}>", "") for tag in ("script", "style", "noscript", "iframe", "svg", "canvas")),
@@ -57,6 +92,13 @@ MARKDOWN = [
     (r"(?i)</(?:p|div|section|article|header|footer|address)>", "\n\n"),
     (r"<[^>]+>", ""), (r"&amp;", "&"), (r"&nbsp;", " "), (r"\n{3,}", "\n\n"),
 ]
+SANITIZE_DOM = [
+    *((rf"(?is)<{tag}\b.*?</{tag}>", "") for tag in ("script", "style", "noscript", "iframe", "svg", "canvas", "video", "audio")),
+    (r"""(?is) on[a-z]+=(?:"[^"]*"|'[^']*')""", ""), (r"""(?is) style=(?:"[^"]*"|'[^']*')""", ""),
+    (r"""(?i)<img[^>]*\s(?:width|height)=["']?[12]["']?[^0-9a-z][^>]*>""", ""), (r"(?i)<(?:link|meta)[^>]*>", ""), (r"(?s)<!--.*?-->", ""),
+]
+ROOT = r"(?is)<(?:body|main|article)[^>]*>(.*)</(?:body|main|article)>"
+LANG_ATTRIBUTE = r"""(?is)<html[^>]*\slang=["']([^"']+)["']"""
 ANCHOR = r"""(?is)<a[^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 # End of fixed values
 

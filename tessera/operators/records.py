@@ -1,34 +1,78 @@
-"""Ordered folds over observations: merge with conflicts, phone dedup, keep-last-N."""
+"""Company records: merge of field observations with conflicts, unions in order, keep-last-N.
+
+Observations are long rows (site, key, pos, value, confidence, source_url, dirty, verified); those with
+the least pos of a site and key are the record that later ones are merged into, in the order of pos.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import columns as C
+from tessera.functions import patterns as P
+
+CELL = ["pos", "value", "confidence", "source_url"]
+
 
 def _rank(conf):
     return F.when(conf == "high", 2).when(conf == "medium", 1).otherwise(0)
 
 
 def merge(observations: DataFrame) -> DataFrame:
-    """(site, key, pos, value, confidence, dirty, verified) -> one value for each site and key, and its conflicts.
+    """(site, key, pos, value, confidence, source_url, dirty, verified): the cell of every site and key.
 
-    In order of pos: an empty value is skipped; the first value is taken; an equal one changes
-    nothing; a dirty or verified value stays and the other is a conflict; else a higher confidence wins.
+    An empty cell takes the first value and keeps its own verified mark; an equal value changes
+    nothing; a dirty or verified cell stays; else a higher confidence replaces the cell.  As there
+    are three confidences, a cell is taken or replaced three times at most.  Each of these steps
+    finds the first observation that can do so, an aggregate that combines before the shuffle, so no
+    site is gathered in one place, however many pages it has.
     """
-    seen = F.array_sort(F.collect_list(F.struct("pos", "value", "confidence", "dirty", "verified")))
-    zero = F.struct(F.lit("").alias("value"), F.lit("low").alias("confidence"), F.lit(False).alias("locked"), F.array().cast("array<string>").alias("conflicts"))
+    keys = ["site", "key"]
+    seen = observations.withColumn("value", C.text(F.col("value")))
+    cell = seen.groupBy(*keys).agg(F.min_by(F.struct(*CELL, "dirty", "verified"), "pos").alias("cell"))
+    for _ in range(3):
+        now = seen.join(cell, keys)
+        open_ = ~F.col("cell.dirty") & ~F.col("cell.verified") & (_rank(F.col("confidence")) > _rank(F.col("cell.confidence")))
+        takes = (F.col("pos") > F.col("cell.pos")) & (F.col("value") != "") & (F.col("value") != F.col("cell.value")) & ((F.col("cell.value") == "") | open_)
+        kept = (F.col("cell.value") == "") & F.col("cell.verified")
+        new = F.struct(*CELL, F.lit(False).alias("dirty"), kept.alias("verified"))
+        step = now.filter(takes).groupBy(*keys).agg(F.min_by(new, "pos").alias("new"))
+        cell = cell.join(step, keys, "left").select(*keys, F.coalesce("new", "cell").alias("cell"))
+    return cell.select(*keys, "cell.*")
+
+
+def conflicts(observations: DataFrame) -> DataFrame:
+    """One row for each later value that a dirty or verified cell turned down."""
+    cell = merge(observations).filter("dirty or verified").select("site", "key", F.col("value").alias("current"), F.col("pos").alias("since"))
+    late = observations.filter("coalesce(value, '') <> ''").join(cell, ["site", "key"]).filter("pos > since and value <> current")
+    labels = F.create_map(*[F.lit(x) for pair in P.FIELDS.items() for x in pair])
+    return late.select("site", "key", F.try_element_at(labels, F.col("key")).alias("label"), "pos", "current", F.col("value").alias("incoming"), "source_url")
+
+
+def resolved(cells: DataFrame, taken: DataFrame) -> DataFrame:
+    """Cells with the incoming value of each conflict (site, key, pos, incoming) taken; the last one counts."""
+    last = taken.groupBy("site", "key").agg(F.max_by("incoming", "pos").alias("incoming"))
+    value, dirty = F.coalesce("incoming", "value"), F.when(F.col("incoming").isNotNull(), False).otherwise(F.col("dirty"))
+    return cells.join(last, ["site", "key"], "left").select("site", "key", value.alias("value"), "confidence", dirty.alias("dirty"), "verified")
+
 
-    def step(acc, x):
-        def made(value, confidence, locked, conflicts):
-            return F.struct(value.alias("value"), confidence.alias("confidence"), locked.alias("locked"), conflicts.alias("conflicts"))
+def first_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of every key by an order column, as an aggregate that combines before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("first")).select(*keys, "first.*")
 
-        taken = made(x["value"], x["confidence"], x["dirty"] | x["verified"], acc["conflicts"])
-        clash = made(acc["value"], acc["confidence"], acc["locked"], F.concat(acc["conflicts"], F.array(x["value"])))
-        return (F.when((x["value"] == "") | (x["value"] == acc["value"]), acc).when(acc["value"] == "", taken)
-                .when(acc["locked"], clash).when(_rank(x["confidence"]) > _rank(acc["confidence"]), taken).otherwise(acc))
 
-    return observations.groupBy("site", "key").agg(F.aggregate(seen, zero, step).alias("m")).select("site", "key", "m.value", "m.confidence", "m.conflicts")
+def last_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("last")).select(*keys, "last.*")
+
+
+def visited(pages: DataFrame) -> DataFrame:
+    """(site, pos, url, title): the first visit of every URL; those after the site's first page have the role heal."""
+    once = first_of_each(pages.select("site", "url", "pos", "title"), ["site", "url"], "pos")
+    start = pages.groupBy("site").agg(F.min("pos").alias("start"))
+    return once.join(start, "site").select("site", "pos", "url", "title", F.when(F.col("pos") == F.col("start"), "primary").otherwise("heal").alias("role"))
 
 
 def keep_last(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -39,3 +83,23 @@ def keep_last(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
 def missing_fields(row_fields: dict):
     """Names of empty required fields, in order."""
     return F.filter(F.array(*[F.when(empty, F.lit(name)) for name, empty in row_fields.items()]), lambda k: k.isNotNull())
+
+
+def running(rows: DataFrame, key: str, order: str, value, name: str, width: int = 4096) -> DataFrame:
+    """``rows`` with the sum of ``value`` over a key's rows up to their own, by a whole-number order column.
+
+    Sums are taken in ranges of the order column and shifted by what the ranges before hold, so one
+    key with very many rows is many tasks' work.
+    """
+    ranged = rows.withColumn("__range", F.floor(F.col(order) / width)).withColumn("__value", value)
+    sums = ranged.groupBy(key, "__range").agg(F.sum("__value").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(key).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col(key).alias("__key"), F.col("__range").alias("__at"), before.alias("__before"))
+    own = F.sum("__value").over(W.partitionBy(key, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col("__range").eqNullSafe(F.col("__at"))
+    return ranged.withColumn("__own", own).join(sums, same).withColumn(name, F.col("__own") + F.col("__before")).drop("__own", "__before", "__range", "__value", "__key", "__at")
+
+
+def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """``rows`` with their number inside each key, from 1."""
+    return running(rows, key, order, F.lit(1), "number")

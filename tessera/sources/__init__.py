@@ -1,0 +1,29 @@
+"""Where rows and work folders come from."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def pages_given(spark: SparkSession, pages: list[tuple] | DataFrame | None, path: str | None = None) -> DataFrame:
+    """Pages (page_id, url, html) that a caller hands over, else those of a table; neither is an error."""
+    if isinstance(pages, DataFrame):
+        return pages.select("page_id", "url", "html")
+    if pages:
+        return spark.createDataFrame(pages, "page_id long, url string, html string")
+    if path is None:
+        raise ValueError("pages or a path are needed")
+    return spark.read.parquet(path).select("page_id", "url", "html")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's tables, under spark.checkpoint.dir; where that is unset only a local master may go on."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

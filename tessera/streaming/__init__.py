@@ -1,0 +1,63 @@
+"""State over streams: kept tables that batches are merged into, and duplicates inside a watermark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators.records import keep_last
+
+
+def source(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
+    """The Parquet files of a path (a folder, a file or a pattern) as a stream with the schema that they have now."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def finish(query) -> None:
+    """Waits for a query with the trigger availableNow, and raises what it died of."""
+    query.awaitTermination()
+    if error := query.exception():
+        raise error
+
+
+def keep_last_n(stream: DataFrame, folder: str, key: str, order: list[str], n: int) -> str:
+    """Merges every micro-batch into a table of the last ``n`` rows of each key; returns the table's path.
+
+    A batch writes the next version of the table under its own number, so a batch that is run again
+    after a failure reads the same version as before and writes the same rows.  Keys that a batch
+    doesn't touch are carried over.
+    """
+    spark = stream.sparkSession
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch
+        if number:
+            rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/version={number - 1}").unionByName(batch)
+        keep_last(rows, key, order, n).write.mode("overwrite").parquet(f"{folder}/version={number}")
+
+    done = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
+    finish(done)
+    last = spark.read.parquet(folder).agg(F.max("version")).first()[0]  # one number
+    return f"{folder}/version={last}"
+
+
+def distinct_within(stream: DataFrame, folder: str, keys: list[str], at: str, horizon: str) -> str:
+    """Rows of which none with equal ``keys`` came before inside ``horizon`` of event time; returns the table's path.
+
+    What a key was seen is forgotten once the watermark has passed it, so the state doesn't grow with
+    the stream: the life of a cached entry.
+    """
+    rows = stream.withWatermark(at, horizon).dropDuplicatesWithinWatermark(keys)
+    done = rows.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
+    finish(done)
+    return folder
+
+
+def sessions(stream: DataFrame, folder: str, key: str, at: str, gap: str, horizon: str) -> str:
+    """(key, start, stop, n) of the sessions that the watermark has closed; returns the table's path."""
+    window = F.session_window(at, gap)
+    rows = stream.withWatermark(at, horizon).groupBy(key, window.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
+    done = rows.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
+    finish(done)
+    return folder
