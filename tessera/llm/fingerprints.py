@@ -18,6 +18,7 @@ numbered inside their range of ids.  A single document is its own next one.
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,7 +28,7 @@ from tessera.llm.common import id_text, let, table
 
 SAMPLES, WORDS = 64, 5
 #: Documents in a range of ids, and the most ranges; a range is one window partition.
-RANGE_ROWS, MAX_RANGES = 1000, 100_000
+RANGE_ROWS, MAX_RANGES = 1000, 20_000
 EMPTY = -1
 
 
@@ -93,20 +94,46 @@ def likeness(a, b, samples: int = SAMPLES):
     return sum((F.get(a, k) == F.get(b, k)).cast("int") for k in range(samples)) / float(samples)
 
 
+def _bounds(docs: DataFrame, ranges: int) -> list:
+    """Ascending ids that cut the table into about ``ranges`` parts of as many rows, however the ids lie."""
+    kind = dict(docs.dtypes)["doc_id"]
+    if ranges < 2:
+        return []
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10_000, 4 * ranges))).first()[0]
+    else:  # every m-th id by hash, about four a range
+        m = max(1, docs.count() // (4 * ranges))
+        held = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(m)) == 0)).distinct().sort("doc_id").collect()
+        cuts = [r[0] for r in held][::4]
+    return sorted(set(cuts or []))
+
+
+def _zone(bounds: list, kind: str):
+    """How many bounds an id reaches, by binary search (0 for null)."""
+    if not bounds:
+        return F.lit(0)
+    top = 1 << (len(bounds).bit_length() - 1)
+    steps = F.array(*[F.lit(top >> k) for k in range(top.bit_length())])
+    held = F.from_json(F.lit(json.dumps(bounds)), f"array<{kind}>")  # a constant, computed once
+
+    def search(own):
+        reach = lambda at, step: F.when(F.coalesce(F.get(own, at + step - 1) <= F.col("doc_id"), F.lit(False)), at + step).otherwise(at)
+        return F.aggregate(steps, F.lit(0), reach)
+
+    return let(held, search)
+
+
 def with_next(docs: DataFrame, copies: bool = False) -> DataFrame:
     """Rows (zone, place, copy, doc_id, text, next_text) in the order of doc_id; after the last comes the first.
 
-    Ids are cut into ranges; each range also gets a copy of the first row of the next range that
-    has rows, so that no window spans more than one range.  ``copies`` returns these rows as well
-    (copy = 1): the row after any own one is then at the next place of its zone.
+    Ids (of any type that has an order) are cut into ranges of about RANGE_ROWS rows each; each range
+    also gets a copy of the first row of the next range that has rows, so that no window spans more
+    than one range.  Null ids come first.  ``copies`` returns these rows as well (copy = 1): the row
+    after any own one is then at the next place of its zone.
     """
     spark = docs.sparkSession
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    if n and low is not None and high > low:
-        zone = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / (F.lit(float(high) - float(low) + 1.0)) * ranges).cast("int"), F.lit(0))
-    else:
-        zone = F.lit(0)
+    ranges = max(1, min(MAX_RANGES, docs.count() // RANGE_ROWS))
+    zone = _zone(_bounds(docs, ranges), dict(docs.dtypes)["doc_id"])
     rows = docs.select(zone.alias("zone"), "doc_id", "text")
     firsts = rows.select("zone", "doc_id").groupBy("zone").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null_first"))
     heads = [(z, None if nulls else first) for z, first, nulls in sorted(firsts.collect(), key=lambda r: r[0])]  # one a range

@@ -1,7 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are character n-grams inside words, hashed.  A bounded sample of labelled documents is the
-example set; the vocabulary is the terms that the sample ties to the toxic label.  Examples lie in
+example set; the vocabulary is the terms that the sample ties to the toxic label (a cosine over all
+terms was tried and finds fewer toxic texts, see README).  Document frequencies are summed by Spark,
+and of the examples only the vocabulary's terms reach the driver.  Examples lie in
 blocks of an inverted index that also stores, for each term and block, the largest weight.  A query
 bounds every block from these maxima, visits blocks from the highest bound down and stops when no
 block can beat its k-th best example, so the k neighbours are exact.  Votes weighted by cosine, with
@@ -9,8 +11,8 @@ a small constant vote for the base rate, are calibrated by a logistic fit on the
 one at a time.
 
 Null and empty texts, and texts without a vocabulary term, get the score of no evidence.  Without
-labelled examples of both classes every score is the base rate.  A document labelled twice counts
-with its highest label.
+labelled examples of both classes every score is the base rate (0 without any label).  A document
+labelled twice counts with its highest label; documents that share a doc_id are examples each.
 """
 
 from __future__ import annotations
@@ -105,7 +107,12 @@ class Index:
         """Columns and unit weights of a document's column occurrences."""
         import numpy as np
 
-        cols, tf = np.unique(np.asarray(cols, np.int64), return_counts=True)
+        return self.weighted(*np.unique(np.asarray(cols, np.int64), return_counts=True))
+
+    def weighted(self, cols, tf):
+        """Columns and unit weights of distinct columns and their counts."""
+        import numpy as np
+
         w = (1 + np.log(tf)) * self.idf[cols]
         return cols, w / (np.sqrt((w * w).sum()) or 1.0)
 
@@ -146,32 +153,56 @@ class Index:
         return 1 / (1 + math.exp(-(self.slope * self.vote(near) + self.shift))), near
 
 
-def build(examples: list[tuple[int, object]]) -> Index | None:
-    """``examples``: (label, term occurrences)."""
+def chosen_terms(terms, df, n: tuple[int, int]):
+    """Of terms with document frequencies (2 rows: clean, toxic) among ``n`` examples: the vocabulary and its idf."""
     import numpy as np
 
-    labels = np.array([y for y, _ in examples], np.int64)
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    if not n1 or not n0:
-        return None
+    lift = (df[1] / n[1]) / ((df[0] + 0.5) / n[0])
+    at = np.flatnonzero((df[1] >= min(SUPPORT, n[1])) & (lift >= LIFT))
+    return terms[at], np.log(1 + sum(n) / (1 + df[:, at].sum(axis=0)))
+
+
+def build(examples: list[tuple[int, object]]) -> Index | float:
+    """``examples``: (label, term occurrences); the index, or the base rate if there is only one class."""
+    import numpy as np
+
+    n1 = sum(y for y, _ in examples)
+    n = (len(examples) - n1, n1)
+    if not all(n):
+        return n1 / max(1, len(examples))
     df = np.zeros((2, 1 << BITS))
     for y, found in examples:
         df[y, np.unique(found)] += 1
-    lift = (df[1] / n1) / ((df[0] + 0.5) / n0)
-    chosen = np.flatnonzero((df[1] >= min(SUPPORT, n1)) & (lift >= LIFT))
+    terms, idf = chosen_terms(np.arange(1 << BITS), df, n)
+    place = placed(terms)
+    cols = [place[found] for _, found in examples]
+    return assembled(terms, idf, [(y, *np.unique(c[c >= 0], return_counts=True)) for (y, _), c in zip(examples, cols)])
+
+
+def placed(terms):
+    """term -> its column, -1 for those outside the vocabulary."""
+    import numpy as np
+
     place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    idf = np.log(1 + len(labels) / (1 + df[:, chosen].sum(axis=0)))
-    index = Index(place, idf, labels, None, None, None, None, base=n1 / (n0 + n1))
-    vectors = [index.vector(index.columns(found)) for _, found in examples]
+    place[terms] = np.arange(len(terms))
+    return place
+
+
+def assembled(terms, idf, examples) -> Index:
+    """The index of examples (label, columns, counts), calibrated on them."""
+    import numpy as np
+
+    labels = np.array([y for y, _, _ in examples], np.int64)
+    index = Index(placed(terms), idf, labels, None, None, None, None, base=float(labels.mean()))
+    vectors = [index.weighted(np.asarray(c, np.int64), np.asarray(tf)) for _, c, tf in examples]
     col = np.concatenate([c for c, _ in vectors])
     row = np.repeat(np.arange(len(vectors)), [len(c) for c, _ in vectors])
     weight = np.concatenate([w for _, w in vectors])
     order = np.lexsort((row, col))
     col, index.rows, index.weights = col[order], row[order], weight[order]
     blocks = len(labels) // BLOCK + 1
-    index.starts = np.searchsorted(col * blocks + index.rows // BLOCK, np.arange(len(chosen) * blocks + 1))
-    index.maxima = np.zeros((len(chosen), blocks))
+    index.starts = np.searchsorted(col * blocks + index.rows // BLOCK, np.arange(len(terms) * blocks + 1))
+    index.maxima = np.zeros((len(terms), blocks))
     np.maximum.at(index.maxima, (col, index.rows // BLOCK), index.weights)
     votes = np.array([index.vote(index.nearest(c, w, but=i) if len(c) else []) for i, (c, w) in enumerate(vectors)])
     slope, shift = 4.0, -2.0  # logistic fit of label on vote, with a little shrinkage
@@ -188,28 +219,54 @@ def build(examples: list[tuple[int, object]]) -> Index | None:
     return index
 
 
-def _terms(batches):
+def _frequencies(batches):
+    """(term, clean, toxic): documents with a term, summed over a task's rows; one row of term -1 counts documents."""
+    import numpy as np
+    import pyarrow as pa
+
+    df, n = np.zeros((2, 1 << BITS), np.int64), [0, 0]
+    for batch in batches:
+        for y, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+            df[y, np.unique(terms(text))] += 1
+            n[y] += 1
+    at = np.flatnonzero(df.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[0, at], n[0])), pa.array(np.append(df[1, at], n[1]))], names=["term", "clean", "toxic"])
+
+
+def _occurrences(batches, sent):
     import numpy as np
     import pyarrow as pa
 
+    place = placed(sent.value)
     for batch in batches:
-        out = [terms(t).astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "found": pa.array(out, pa.binary())})
+        cols = [place[terms(t)] for t in batch.column("text").to_pylist()]
+        found = [np.unique(c[c >= 0], return_counts=True) for c in cols]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([c.tolist() for c, _ in found], pa.list_(pa.int32())), pa.array([tf.tolist() for _, tf in found], pa.list_(pa.int32()))], names=["toxic", "cols", "tf"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE) -> Index | None:
-    """The index of a bounded sample of ``labels`` (doc_id, toxic) with the texts of ``docs``."""
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE) -> Index | float:
+    """The index of a bounded sample of ``labels`` (doc_id, toxic) with the texts of ``docs``; the base
+    rate where the sample has one class only."""
     import numpy as np
 
     known = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}  # two rows
     dice = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
     part = F.when(F.col("toxic") == 1, min(1.0, toxic / max(1, sizes.get(1, 0)))).otherwise(min(1.0, clean / max(1, sizes.get(0, 0))))
     taken = known.filter(dice < part)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(taken), "doc_id").select("toxic", "text")  # about 5,000 ids are sent
-    got = sorted((r[0], bytes(r[1])) for r in python_stage(rows, "tessera.llm.toxicity:_terms", "toxic int, found binary").collect())
-    return build([(y, np.frombuffer(raw, np.uint32).astype(np.int64)) for y, raw in got])
+    here = "tessera.llm.toxicity:"
+    df = python_stage(rows, here + "_frequencies", "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    n = df.filter("term = -1").first()
+    n = (n["clean"], n["toxic"]) if n else (0, 0)
+    if not all(n):
+        return n[1] / max(1, sum(n))
+    left = df.filter((F.col("term") >= 0) & (F.col("toxic") >= min(SUPPORT, n[1]))).sort("term").toPandas()  # terms of SUPPORT toxic examples, 2**BITS at most
+    vocabulary, idf = chosen_terms(left["term"].to_numpy(), left[["clean", "toxic"]].to_numpy(float).T, n)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    examples = python_stage(rows, here + "_occurrences", "toxic int, cols array<int>, tf array<int>", sent).collect()  # the sample's rows, the vocabulary's terms of each
+    return assembled(vocabulary, idf, sorted((r[0], r[1], r[2]) for r in examples))
 
 
 def _score(batches, sent):
@@ -220,8 +277,8 @@ def _score(batches, sent):
     index, known = sent.value, {}
     for batch in batches:
         words = [words_of(t) for t in batch.column("text").to_pylist()]
-        if index is None:
-            out = [(0.0, []) for _ in words]
+        if isinstance(index, float):
+            out = [(index, []) for _ in words]
         else:
             if len(known) > MEMO:
                 known.clear()
@@ -236,7 +293,7 @@ def _score(batches, sent):
         )
 
 
-def score(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, index: Index | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, and as evidence the number of neighbours and the best cosine."""
     sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

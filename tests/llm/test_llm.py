@@ -238,6 +238,17 @@ def test_fingerprints(docs, none):
     assert fingerprints.with_next(none.selectExpr("doc_id", "text")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_next_text_of_odd_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    ids = [-(2**63), 2**63 - 1, 0, None] + [k * k for k in range(2, 90)] if kind == "long" else [None, "", "é"] + [f"id{k}" for k in range(80)]
+    held = spark.createDataFrame([(i, f"text of {i}") for i in ids], f"doc_id {kind}, text string")
+    rows = fingerprints.with_next(held).collect()
+    order = sorted(ids, key=lambda i: (i is not None, i.encode() if isinstance(i, str) else i if i is not None else 0))
+    assert {r.doc_id: r.next_text for r in rows} == {i: f"text of {order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+    assert len({r.zone for r in rows}) > 3 and max(collections.Counter(r.zone for r in rows).values()) < 40
+
+
 def test_fingerprints_of_the_query_are_close(spark, tmp_path):
     texts = [prose(37 * i, 40 + i) + " a b c d e f" * (i % 5) for i in range(60)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
