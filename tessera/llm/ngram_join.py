@@ -10,11 +10,14 @@ that is one longer than that, whatever the order of all shingles:
    end here, and no pairs are formed.
 2. Order of rarity among the documents left (exact counts): classes that share a shingle of their
    prefixes fall into one bucket, a connected component of a graph with one edge an entry.
-3. Inside a bucket a pair must also share a shingle in the prefixes of ascending and of descending
-   hashes, and fit in size; then the sets are compared whole.  Pairs whose classes are connected
-   already are skipped: the components stay the same and large groups cost a few comparisons a member.
+3. Inside a bucket a pair must share a shingle in the prefixes of all three orders (rarity, ascending
+   and descending hashes) and fit in size; then the sets are compared whole.  Every such pair is
+   judged, so the number of links of each class is exact, but only counts and the edges of a spanning
+   forest leave the task, never all pairs.
 
-Buckets above ``BLOCK`` members are worked in pairs of blocks on many tasks and their trees joined.
+Buckets are worked in pairs of blocks on many tasks and their forests joined.  A bucket's members are
+sent to as many tasks as it has blocks, and the pairs in a bucket are as many as its members squared:
+that is the price of exact link counts in a group of near copies.
 
 Null texts and texts without words have an empty set and link with nothing; shorter texts are one
 shingle.  Rows with the same doc_id count as documents of their own that share a name.  Shingles are
@@ -34,8 +37,12 @@ from tessera.llm.components import components
 WORDS, PERCENT = 5, 80
 #: Part of a set by which the first prefix is longer than the bound asks for.
 EXTRA = 0.05
-#: Members of a bucket that one task compares.
-BLOCK = 4000
+#: Members of a block: an eighth of the bucket, but between these bounds.
+BLOCK, MOST = 250, 2000
+#: The side of a member in the unit of its own block.
+OWN = 2
+#: Distinct shingles that are compared at once where many pairs are.
+COLUMNS = 8192
 
 
 def lacking(n: int) -> int:
@@ -86,7 +93,7 @@ def _sets(batches, what):
             packed = [s[:k].tobytes() for s, k in zip(sets, sizes)]
         else:
             packed = [s.tobytes() for s in sets]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int32()), "c": pa.array([set_id(s) for s in sets], pa.int64()), "packed": pa.array(packed, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "n": pa.array([len(s) for s in sets], pa.int32()), "c": pa.array([set_id(s) for s in sets], pa.int64()), "packed": pa.array(packed, pa.binary())})
 
 
 def _explode(batches):
@@ -168,58 +175,117 @@ def _stars(batches):
             yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["a", "b"])
 
 
-def forest(ids, sets):
-    """Edges of a spanning forest of the links between sets."""
+def _common(sets, pairs):
+    """Sizes of the intersections of pairs (two index arrays) of sorted sets."""
     import numpy as np
 
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
-    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
     sizes = np.array([len(s) for s in sets])
-    known, df = np.unique(np.concatenate(sets), return_counts=True)
-    root, index, edges = np.arange(len(sets)), {}, []
-    for i, own in enumerate(sets):
-        cut = lacking(len(own)) + 1
-        at = np.searchsorted(known, own)
-        rare = at[np.argsort(df[at], kind="stable")[:cut]]
-        rare = rare[df[rare] > 1]
-        seen = [index[t] for t in rare.tolist() if t in index]
-        if seen:
-            near = np.unique(np.concatenate(seen))
-            near = near[sizes[near] * 100 >= PERCENT * len(own)]
-            while len(near := near[root[near] != root[i]]):
-                j, near = int(near[0]), near[1:]
-                other = sets[j]
-                back = lacking(len(other)) + 1
-                if not len(np.intersect1d(own[:cut], other[:back], True)) or not len(np.intersect1d(own[-cut:], other[-back:], True)):
-                    continue
-                both = len(np.intersect1d(own, other, True))
-                if 100 * both >= PERCENT * (len(own) + len(other) - both):
-                    edges.append((ids[j], ids[i]))
-                    root[root == root[i]] = root[j]
-        for t in rare.tolist():
-            index[t] = np.append(index[t], i) if t in index else np.array([i])
-    return edges
+    known, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = df > 1
+    n_shared = int(shared.sum())
+    if len(pairs[0]) * 1e4 < len(sets) ** 2 * n_shared * 0.05:  # few pairs: one by one
+        return np.array([len(np.intersect1d(sets[i], sets[j], True)) for i, j in zip(*(p.tolist() for p in pairs))], np.int64)
+    place = np.cumsum(shared) - 1  # many: as products of incidence matrices, some columns at a time
+    use = shared[column]
+    row, column = row[use], place[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, n_shared, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((len(sets), min(COLUMNS, n_shared - at)), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        both += part @ part.T
+    return both[pairs].astype(np.int64)
+
+
+def linked(ids, sets, side):
+    """Links between sets: (degree of each, edges of a spanning forest).
+
+    ``side`` is OWN for sets of one block, whose pairs are all judged, else 0 or 1: then only pairs of
+    unlike sides are.
+    """
+    import numpy as np
+
+    n, side = len(sets), np.asarray(side)
+    cross = side[0] != OWN
+    sizes = np.array([len(s) for s in sets])
+    known, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    cut = sizes - (PERCENT * sizes + 99) // 100 + 1
+    prefixes = []  # of each order: the columns of each set's prefix
+    for order in ("rarity", "ascending", "descending"):
+        own = []
+        for i in range(n):
+            c = column[bounds[i] : bounds[i + 1]]
+            c = c[np.lexsort((c, df[c]))][: cut[i]] if order == "rarity" else c[: cut[i]] if order == "ascending" else c[-cut[i] :]
+            own.append(c[df[c] > 1])
+        prefixes.append(own)
+    indexes = []
+    for own in prefixes:
+        at = np.concatenate(own)
+        who = np.repeat(np.arange(n), [len(c) for c in own])
+        order = np.argsort(at, kind="stable")
+        indexes.append((who[order], np.searchsorted(at[order], np.arange(len(known) + 1))))
+    left, right = [], []
+    for i in range(n):
+        may = (sizes[i + 1 :] * 100 >= PERCENT * sizes[i]) & (sizes[i] * 100 >= PERCENT * sizes[i + 1 :])
+        if cross:
+            may &= side[i + 1 :] != side[i]
+        for own, (who, start) in zip(prefixes, indexes):
+            if not may.any():
+                break
+            seen = np.zeros(n, bool)
+            for c in own[i].tolist():
+                seen[who[start[c] : start[c + 1]]] = True
+            may &= seen[i + 1 :]
+        at = np.flatnonzero(may)
+        left.append(np.full(len(at), i))
+        right.append(at + i + 1)
+    left, right = np.concatenate(left), np.concatenate(right)
+    if not len(left):
+        return np.zeros(n, np.int64), []
+    both = _common(sets, (left, right))
+    good = 100 * both >= PERCENT * (sizes[left] + sizes[right] - both)
+    left, right = left[good], right[good]
+    degree = np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
+    root, edges = list(range(n)), []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in zip(left.tolist(), right.tolist()):
+        a, b = find(i), find(j)
+        if a != b:
+            root[b] = a
+            edges.append((ids[i], ids[j]))
+    return degree, edges
 
 
 def _verify(batches):
-    """Of rows sorted by unit and c: spanning edges of the links inside each unit."""
+    """Of rows sorted by unit: (a, b) of spanning edges of the links inside each unit, and (a, null, links)."""
     import numpy as np
     import pyarrow as pa
 
-    unit, ids, sets = None, [], []
+    unit, ids, sets, side = None, [], [], []
 
     def close():
-        edges = forest(ids, sets) if len(ids) > 1 else []
-        return pa.RecordBatch.from_pydict({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+        degree, edges = linked(ids, sets, side) if len(ids) > 1 else ([], [])
+        own = [(c, int(n)) for c, n in zip(ids, degree) if n]
+        return pa.RecordBatch.from_pydict({"a": pa.array([e[0] for e in edges] + [c for c, _ in own], pa.int64()), "b": pa.array([e[1] for e in edges] + [None] * len(own), pa.int64()), "links": pa.array([None] * len(edges) + [n for _, n in own], pa.int64())})
 
     for batch in batches:
-        for u, c, packed in zip(batch.column("unit").to_pylist(), batch.column("c").to_pylist(), batch.column("packed").to_pylist()):
+        for u, c, s, packed in zip(*(batch.column(k).to_pylist() for k in ("unit", "c", "side", "packed"))):
             if u != unit:
                 yield close()
-                unit, ids, sets = u, [], []
-            if not ids or ids[-1] != c:
-                ids.append(c)
-                sets.append(np.frombuffer(packed, np.uint64))
+                unit, ids, sets, side = u, [], [], []
+            ids.append(c)
+            sets.append(np.frombuffer(packed, np.uint64))
+            side.append(s)
     yield close()
 
 
@@ -228,12 +294,13 @@ def _sorted(df: DataFrame, key: str, *then) -> DataFrame:
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach), component (a number of
-    the component's own; null for empty sets) and class_id (rows with equal sets) of every row."""
+    """doc_id, n_shingles, component_id (the least doc_id that links reach), component (a number of the
+    component's own; null for empty sets), class_id (rows with equal sets), n_links (other classes
+    that the row's class links with) and key (hash of the text) of every row."""
     here = "tessera.llm.ngram_join:"
-    stage, rows = Stage(docs.sparkSession), id_text(docs, id_col, text_col)
+    stage, rows = Stage(docs.sparkSession), id_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    sets = f"doc_id {kind}, n int, c long, packed binary"
+    sets = f"doc_id {kind}, key long, n int, c long, packed binary"
     first = stage.keep(python_stage(rows, here + "_sets", sets, "prefix"), "prefixes")
 
     entries = python_stage(first.filter("n > 0").select("c", "n", "packed"), here + "_explode", "token long, c long, n int")
@@ -243,7 +310,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     # the texts of one document for each class left
     one = first.select("c", "doc_id").join(live, "c").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    again = python_stage(rows.join(one.select(F.col("doc_id").alias("own")).distinct(), F.col("doc_id").eqNullSafe(F.col("own"))).select("doc_id", "text"), here + "_sets", sets, "whole")
+    again = python_stage(rows.join(one.select(F.col("doc_id").alias("own")).distinct(), F.col("doc_id").eqNullSafe(F.col("own"))).select("doc_id", "key", "text"), here + "_sets", sets, "whole")
     whole = stage.keep(again.join(live, "c").select("c", "n", "packed").dropDuplicates(["c"]), "whole")
     stage.drop("live")
 
@@ -255,19 +322,23 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     stage.drop("stars")
 
     sizes = buckets.groupBy("label").agg(F.count("*").alias("members"))
-    placed = buckets.join(sizes, "label").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a member of block i goes to the units {i, j} for all blocks j of its bucket; one unit where there is one block
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(" ", F.col("label"), F.least(F.col("block"), j), F.greatest(F.col("block"), j)))
-    units = placed.select(F.col("node").alias("c"), F.explode(pair).alias("unit"))
-    links = stage.keep(python_stage(_sorted(units.join(whole.select("c", "packed"), "c"), "unit", "c"), here + "_verify", "a long, b long"), "links")
-    joined = components(links, stage, "links")
+    per_block = F.least(F.greatest(F.ceil(F.col("members") / 8), F.lit(BLOCK)), F.lit(MOST))
+    placed = buckets.join(sizes, "label").withColumn("blocks", F.ceil(F.col("members") / per_block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a member of block i goes to the units {i, j} for all blocks j of its bucket; its own block's pairs are judged in {i, i}
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.concat_ws(" ", F.col("label"), F.least(F.col("block"), j), F.greatest(F.col("block"), j)).alias("unit"), F.when(F.col("block") == j, OWN).otherwise((F.col("block") > j).cast("int")).alias("side")))
+    units = placed.select(F.col("node").alias("c"), F.explode(pair).alias("u")).select("c", "u.unit", "u.side")
+    links = stage.keep(python_stage(_sorted(units.join(whole.select("c", "packed"), "c"), "unit", "c"), here + "_verify", "a long, b long, links long"), "links")
+    joined = components(links.filter("b is not null").select("a", "b"), stage, "links")
+    degrees = links.filter("b is null").groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("n_links"))
 
     classes = first.select("c", "doc_id").filter("c >= 0").groupBy("c").agg(F.min("doc_id").alias("least"))
     named = classes.join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    final = named.select("c", "label").join(names, "label").select("c", "label", "component_id")
-    return first.select("doc_id", "n", "c").join(final, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("label").alias("component"), F.col("c").alias("class_id"))
+    final = named.select("c", "label").join(names, "label").join(degrees, "c", "left").select("c", "label", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    final, first = stage.keep(final, "classes"), stage.keep(first.select("doc_id", "key", "n", "c"), "rows")
+    stage.drop(*[name for name in stage.paths if name not in ("classes", "rows")])
+    return first.join(final, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("label").alias("component"), F.col("c").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "key")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+    return link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")

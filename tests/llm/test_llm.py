@@ -131,16 +131,48 @@ def brute_components(texts):
     return [(len(s), r) for s, r in zip(sets, root)]
 
 
+def brute_links(texts):
+    """Of every text: the number of other sets that link with its own."""
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) else frozenset() for t in texts]
+    known = set(sets) - {frozenset()}
+    return [sum(100 * len(s & o) >= 80 * len(s | o) for o in known if o != s) if s else 0 for s in sets]
+
+
+def joined(docs):
+    return [tuple(r)[1:] for r in sorted(ngram_join.link(docs).select("doc_id", "n_shingles", "component_id", "n_links").collect())]
+
+
 def test_ngram_join(docs, none):
-    out = sorted(ngram_join.link(docs).select("doc_id", "n_shingles", "component_id").collect())
-    assert [tuple(r)[1:] for r in out] == brute_components(TEXTS)
+    assert joined(docs) == [(*a, b) for a, b in zip(brute_components(TEXTS), brute_links(TEXTS))]
     assert ngram_join.link(none).count() == 0
 
 
-def test_ngram_join_in_blocks(docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 1)
-    out = sorted(ngram_join.link(docs).select("doc_id", "n_shingles", "component_id").collect())
-    assert [tuple(r)[1:] for r in out] == brute_components(TEXTS)
+@pytest.mark.parametrize("block, most", [(1, 1), (3, 5), (250, 2000)])
+def test_ngram_join_in_blocks(spark, docs, monkeypatch, block, most):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "MOST", most)
+    words = prose(0, 120).split()
+    near = [" ".join(words[:i] + ["x"] + words[i + 1 :]) for i in range(0, 40)] + [" ".join(words[:i] + ["y", "z"] + words[i + 9 :]) for i in range(0, 40, 3)]
+    texts = TEXTS + near + [prose(3100 + k, 30) for k in range(0, 60, 1)]
+    held = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert joined(held) == [(*a, b) for a, b in zip(brute_components(texts), brute_links(texts))]
+
+
+def test_links_by_products_and_one_by_one(monkeypatch):
+    import numpy as np
+
+    dice = np.random.default_rng(3)
+    base = dice.integers(0, 1 << 62, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate((dice.choice(base, 360, False), dice.integers(0, 1 << 62, 10).astype(np.uint64)))) for _ in range(60)]
+    monkeypatch.setattr(ngram_join, "COLUMNS", 37)
+    every = np.triu_indices(60, 1)
+    exact = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(*every)]
+    assert ngram_join._common(sets, every).tolist() == exact
+    assert ngram_join._common(sets, (every[0][:2], every[1][:2])).tolist() == exact[:2]
+    good = np.array([100 * b >= 80 * (len(sets[i]) + len(sets[j]) - b) for i, j, b in zip(*every, exact)])
+    degree, edges = ngram_join.linked(list(range(60)), sets, [ngram_join.OWN] * 60)
+    assert degree.tolist() == (np.bincount(every[0][good], minlength=60) + np.bincount(every[1][good], minlength=60)).tolist()
+    assert len(edges) < 60
 
 
 def test_ngram_join_of_very_long_texts(spark):
