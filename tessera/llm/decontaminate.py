@@ -6,9 +6,14 @@ fixes an alignment of item and document.  Around it the aligned tokens are compa
 pair counts when some ``WINDOW`` consecutive item tokens (all of them for shorter items) agree on at
 least ``SHARE`` of their positions.
 
-Tokens are runs of letters and digits, lower-cased.  Null and empty texts match nothing; items with
-fewer tokens than the shortest mask can't be looked for.  Repeated rows with one doc_id give one
-result for the id.  The result has one row for each document and item that overlap.
+The masks leave no gap: whatever two tokens of a window are substituted, some seed of it survives.
+Items shorter than a window are cut into one part more than they may lose tokens; one of the parts
+stays whole, and its hash is their seed.
+
+Tokens are runs of letters and digits, lower-cased.  Null and empty texts match nothing, nor do items
+without a token.  Documents are told apart by doc_id, null or not, and by their text: rows that repeat
+both give one result, rows that repeat only the id one each.  The result has one row for each document
+and item that overlap, with key, the hash of the document's text.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Stage, let, table
 
-MASKS = ("11011011", "111001011", "1011001101")
+MASKS = ("11011011", "111001011", "1011001101", "111111")
 WINDOW, SHARE = 13, 0.8
 #: Benchmark seeds, counted first, up to which they are sent to all executors; beyond it the join shuffles.
 MAX_SENT = 1_000_000
@@ -29,62 +34,86 @@ def tokens(text):
     return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
-def _runs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each token position, with the next tokens and the hash under each mask (null past the end)."""
-    span = max(map(len, MASKS))
-    n = F.size("tokens")
-    parts = [F.slice(F.col("tokens"), k + 1, n).alias(f"t{k}") for k in range(span)]
-    at = rows.filter(n >= min(map(len, MASKS))).select(*keys, F.posexplode(F.arrays_zip(*parts)).alias("pos", "t"))
-    seeds = []
+def _seed_columns(lengths: list[int]) -> dict:
+    """name -> hash of the tokens t0, t1, ... of a position under each mask, and of the whole runs of ``lengths``."""
+    out = {}
     for m, mask in enumerate(MASKS):
         used = [F.col(f"t.t{k}") for k, bit in enumerate(mask) if bit == "1"]
-        seeds.append(F.when(used[-1].isNotNull(), F.xxhash64(F.lit(m), *used)).alias(f"seed{m}"))
-    return at.select(*keys, "pos", *seeds)
+        out[f"mask{m}"] = F.when(used[-1].isNotNull(), F.xxhash64(F.lit(m), *used))
+    for n in lengths:
+        out[f"run{n}"] = F.when(F.col(f"t.t{n - 1}").isNotNull(), F.xxhash64(F.lit(-n), F.array(*[f"t.t{k}" for k in range(n)])))
+    return out
+
+
+def _runs(rows: DataFrame, keys: list[str], lengths: list[int] = ()) -> DataFrame:
+    """One row for each token position, with its seeds (null past the end)."""
+    span = max([len(mask) for mask in MASKS] + list(lengths))
+    n = F.size("tokens")
+    parts = [F.slice(F.col("tokens"), k + 1, n).alias(f"t{k}") for k in range(span)]
+    at = rows.filter(n >= min([len(mask) for mask in MASKS] + list(lengths))).select(*keys, F.posexplode(F.arrays_zip(*parts)).alias("pos", "t"))
+    return at.select(*keys, "pos", *[c.alias(name) for name, c in _seed_columns(list(lengths)).items()])
 
 
-def _seeds(runs: DataFrame, keys: list[str]) -> DataFrame:
-    return runs.select(*keys, "pos", F.explode(F.array(*[f"seed{m}" for m in range(len(MASKS))])).alias("seed")).filter("seed is not null")
+def _item_seeds(known: DataFrame) -> DataFrame:
+    """(item_id, item_pos, seed, n): of windows the seeds under all masks, of shorter items those of their parts (n tokens)."""
+    long_items = _runs(known.filter(F.size("tokens") >= WINDOW), ["item_id"])
+    masked = long_items.select("item_id", F.col("pos").alias("item_pos"), F.explode(F.array(*[f"mask{m}" for m in range(len(MASKS))])).alias("seed"), F.lit(0).alias("n")).filter("seed is not null")
+    n = F.size("tokens")
+    cuts = n - F.ceil(n * SHARE).cast("int") + 1
+    begin = lambda k: F.floor(k * n / cuts).cast("int")
+    part = lambda k: F.struct(begin(k).alias("at"), F.slice(F.col("tokens"), begin(k) + 1, begin(k + 1) - begin(k)).alias("own"))
+    parts = known.filter((n > 0) & (n < WINDOW)).select("item_id", F.explode(F.transform(F.sequence(F.lit(0), cuts - 1), part)).alias("p"))
+    whole = parts.select("item_id", F.col("p.at").alias("item_pos"), F.xxhash64(-F.size("p.own"), F.col("p.own")).alias("seed"), F.size("p.own").alias("n"))
+    return masked.unionByName(whole)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, matched (agreeing tokens), aligned (item tokens inside the document), offset
+    """doc_id, key, item_id, matched (agreeing tokens), aligned (item tokens inside the document), offset
     (the document token where the item's first token lies) for every overlap."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null and doc_id is not null")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").withColumn("key", F.xxhash64("text"))
     known = items.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("tokens"))
-    seeds = _seeds(_runs(known, ["item_id"]), ["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "seed")
-    n_seeds, stage = seeds.count(), Stage(docs.sparkSession)
+    stage = Stage(docs.sparkSession)
+    seeds = stage.keep(_item_seeds(known), "seeds")
+    n_seeds, lengths = seeds.count(), sorted(r[0] for r in seeds.filter("n > 0").select("n").distinct().collect())  # lengths below WINDOW
+    names = [f"mask{m}" for m in range(len(MASKS))] + [f"run{n}" for n in lengths]
     send = F.broadcast if n_seeds <= MAX_SENT else (lambda x: x)
-    runs = _runs(texts.select("doc_id", tokens(F.col("text")).alias("tokens")), ["doc_id"])
-    keys = seeds.select("seed").distinct()
+    runs = _runs(texts.select("doc_id", "key", tokens(F.col("text")).alias("tokens")), ["doc_id", "key"], lengths)
     if n_seeds <= MAX_SENT:  # existence first, a probe for each mask in one pass over the positions
-        for m in range(len(MASKS)):
-            runs = runs.join(F.broadcast(keys.select(F.col("seed").alias(f"seed{m}"), F.lit(1).alias(f"hit{m}"))), f"seed{m}", "left")
-        runs = runs.filter(F.coalesce(*[f"hit{m}" for m in range(len(MASKS))]).isNotNull())
+        keys = seeds.select("seed").distinct()
+        for name in names:
+            runs = runs.join(F.broadcast(keys.select(F.col("seed").alias(name), F.lit(1).alias(f"hit_{name}"))), name, "left")
+        runs = runs.filter(F.coalesce(*[f"hit_{name}" for name in names]).isNotNull())
     # a table of its own: it is small, and one generated method for all joins would be too long to be compiled
-    runs = stage.keep(runs.select("doc_id", "pos", *[f"seed{m}" for m in range(len(MASKS))]), "hits")
-    hits = _seeds(runs, ["doc_id"]).join(send(seeds), "seed")
-    lines = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset")).groupBy("doc_id", "item_id", "offset").agg(F.count("*").alias("hits"))
-    lines = lines.join(send(known), "item_id").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "offset", "tokens")).alias("lines"))  # at most the lines of one document
-
-    def compared(own):
+    runs = stage.keep(runs.select("doc_id", "key", "pos", *names), "hits")
+    found = runs.select("doc_id", "key", "pos", F.explode(F.array(*names)).alias("seed")).filter("seed is not null")
+    hits = found.join(send(seeds.select("item_id", "item_pos", "seed")), "seed")
+    lines = hits.select("doc_id", "key", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
+    sizes = known.select("item_id", F.size("tokens").alias("m"))
+    own = lines.join(send(sizes), "item_id").groupBy(F.col("doc_id").alias("own"), F.col("key").alias("own_key")).agg(F.collect_list(F.struct("item_id", "offset", "m")).alias("lines"))  # numbers of one document's alignments
+    same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key"))
+
+    def aligned(all_):
+        """Each line with the document's tokens that lie along its item, the first of them at the item's token ``lead``."""
         def line(x):
-            m = F.size(x["tokens"])
-            width = F.least(m, F.lit(WINDOW))
-            agree = F.transform(x["tokens"], lambda t, j: F.coalesce((F.get(own, j + x["offset"]) == t) & (j + x["offset"] >= 0), F.lit(False)).cast("int"))
+            lead = F.greatest(-x["offset"], F.lit(0))
+            return F.struct(x["item_id"].alias("item_id"), x["offset"].alias("offset"), lead.alias("lead"), F.slice(all_, F.greatest(x["offset"], F.lit(0)) + 1, x["m"] - lead).alias("part"))
 
-            def judged(a):
-                sums = F.transform(F.sequence(F.lit(1), m - width + 1), lambda i: F.aggregate(F.slice(a, i, width), F.lit(0), lambda s, v: s + v))
-                inside = F.least(m, F.size(own) - x["offset"]) - F.greatest(-x["offset"], F.lit(0))
-                return F.struct(x["item_id"].alias("item_id"), (F.array_max(sums) >= F.ceil(width * SHARE)).alias("held"), F.aggregate(a, F.lit(0), lambda s, v: s + v).alias("matched"), inside.alias("aligned"), x["offset"].alias("offset"))
+        return F.transform(F.col("lines"), line)
 
-            return let(agree, judged)
+    rows = texts.join(own, same).select("doc_id", "key", F.explode(let(tokens(F.col("text")), aligned)).alias("x")).select("doc_id", "key", "x.*").join(send(known), "item_id")
 
-        return F.transform(F.col("lines"), line)
+    def judged(agree):
+        m = F.size("tokens")
+        width = F.least(m, F.lit(WINDOW))
+        sums = F.transform(F.sequence(F.lit(1), m - width + 1), lambda i: F.aggregate(F.slice(agree, i, width), F.lit(0), lambda s, v: s + v))
+        held = F.array_max(sums) >= F.ceil(width * SHARE)
+        return F.struct(held.alias("held"), F.aggregate(agree, F.lit(0), lambda s, v: s + v).alias("matched"), F.size("part").alias("aligned"), F.col("offset").alias("offset"))
 
-    found = texts.join(lines, "doc_id").select("doc_id", F.explode(let(tokens(F.col("text")), compared)).alias("line")).filter("line.held")
-    best = found.select("doc_id", "line.item_id", F.struct("line.matched", "line.aligned", "line.offset").alias("line"))
-    return best.groupBy("doc_id", "item_id").agg(F.max("line").alias("line")).select("doc_id", "item_id", "line.matched", "line.aligned", "line.offset")
+    agree = F.transform("tokens", lambda t, j: F.coalesce((j >= F.col("lead")) & (F.get("part", j - F.col("lead")) == t), F.lit(False)).cast("int"))
+    best = rows.select("doc_id", "key", "item_id", let(agree, judged).alias("line")).filter("line.held")
+    best = best.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("line.matched", "line.aligned", "line.offset")).alias("line"))
+    return best.select("doc_id", "key", "item_id", "line.matched", "line.aligned", "line.offset")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")

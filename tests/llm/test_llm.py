@@ -301,17 +301,64 @@ def test_fingerprints_of_the_query_are_close(spark, tmp_path):
     assert max(map(abs, errors)) < 0.2 and (sum(e * e for e in errors[::2]) / len(texts)) ** 0.5 < 0.08
 
 
-def test_decontamination(spark, docs, none):
+def brute_overlaps(docs, items):
+    split = lambda t: [w for w in re.split(r"[^\w]|_", (t or "").lower()) if w]
+    out = {}
+    for doc_id, text in docs:
+        d = split(text)
+        for item_id, item in items:
+            t = split(item)
+            m, width = len(t), min(len(t), 13)
+            need = -(-width * 8 // 10)
+            for offset in range(1 - m, len(d)):
+                agree = [0 <= j + offset < len(d) and d[j + offset] == t[j] for j in range(m)]
+                if m and max(sum(agree[i : i + width]) for i in range(m - width + 1)) >= need:
+                    best = (sum(agree), min(m, len(d) - max(offset, 0)) - max(-offset, 0) if offset < 0 else min(m, len(d) - offset), offset)
+                    out[doc_id, item_id] = max(out.get((doc_id, item_id), best), best)
+    return out
+
+
+def test_masks_leave_no_gap():
+    import itertools
+
+    w, lost = decontaminate.WINDOW, decontaminate.WINDOW - -(-decontaminate.WINDOW * 8 // 10)
+    for gone in itertools.combinations(range(w), lost):
+        assert any(not any(mask[g - at] == "1" for g in gone if 0 <= g - at < len(mask)) for mask in decontaminate.MASKS for at in range(w - len(mask) + 1))
+
+
+def test_decontamination_against_brute_force(spark, tmp_path):
+    import random
+
+    dice = random.Random(4)
+    vocabulary = [f"t{k}" for k in range(30)]
+    text = lambda n: " ".join(dice.choice(vocabulary) for _ in range(n))
+    items = [(k, text(n)) for k, n in enumerate([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 20, 40])] + [(50, None), (51, text(30)), (52, "Ünï-1 ß2, über")]
+    docs = [(k, text(dice.randrange(60))) for k in range(25)] + [(30, None), (31, ""), (32, "x ünï 1 ß2 über"), (33, text(3))]
+    for k, (_, own) in enumerate(items):  # each item with some of its tokens substituted, cut at the ends or inside other text
+        for cut in (0, 2):
+            words = (own or "").split()[cut:]
+            for at in dice.sample(range(len(words)), min(len(words), dice.randrange(4))):
+                words[at] = "zz"
+            docs.append((100 + 2 * k + cut // 2, text(dice.randrange(9)) + " " + " ".join(words).upper() + " , " + text(dice.randrange(9))))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.doc_id, r.item_id): (r.matched, r.aligned, r.offset) for r in decontaminate.op7_decontamination(spark, str(tmp_path)).collect()}
+    assert got == brute_overlaps(docs, items)
+
+
+def test_decontamination(spark, docs, none, monkeypatch):
     item = prose(3000, 40)
     swapped = item.split()
     for k in (4, 11, 19, 27, 35):
         swapped[k] = "zz"
-    held = spark.createDataFrame([(1, "a b c " + item.upper() + ", d"), (2, " ".join(swapped)), (3, prose(100, 400)), (4, None), (5, item.split()[0]), (6, "q " + prose(3010, 20) + " r")], "doc_id long, text string")
-    items = spark.createDataFrame([(9, item), (8, None), (7, "too short")], "item_id long, text string")
-    out = {(r.doc_id, r.item_id): r for r in decontaminate.overlaps(held, items).collect()}
-    assert set(out) == {(1, 9), (2, 9), (6, 9)}
-    assert (out[1, 9].matched, out[1, 9].offset) == (40, 3) and out[2, 9].matched == 35
-    assert decontaminate.overlaps(none, items).count() == 0
+    held = spark.createDataFrame([(1, "a b c " + item.upper() + ", d", 5), (2, " ".join(swapped), 5), (3, prose(100, 400), 5), (4, None, 5), (None, item, 5), (6, "q " + prose(3010, 20) + " r", 5), (6, "other text", 5), (1, "a b c " + item.upper() + ", d", 6)], "doc_id long, text string, key int")
+    items = spark.createDataFrame([(9, item), (8, None), (7, "")], "item_id long, text string")
+    for most in (1_000_000, 0):  # sent to all, or shuffled
+        monkeypatch.setattr(decontaminate, "MAX_SENT", most)
+        out = {(r.doc_id, r.item_id): r for r in decontaminate.overlaps(held, items).collect()}
+        assert set(out) == {(1, 9), (2, 9), (None, 9), (6, 9)}
+        assert (out[1, 9].matched, out[1, 9].offset) == (40, 3) and out[2, 9].matched == 35
+    assert decontaminate.overlaps(none, items).count() == decontaminate.overlaps(held, items.limit(0)).count() == 0
 
 
 def test_language_id(spark, docs, none):
