@@ -24,34 +24,37 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of every group of near copies, and all that have no words."""
-    groups = ngram_join.link(docs).select("doc_id", "component", "class_id", "n_shingles")
-    first = groups.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
-    stay = first.select(F.col("first.doc_id").alias("own")).distinct()
-    empty = groups.filter("component is null").select(F.col("doc_id").alias("own")).distinct()
-    stay = stay.union(empty).distinct()
-    kept = docs.select(*COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if _repeats(docs) else kept
+def _named(rows: DataFrame) -> DataFrame:
+    """``rows`` with name, which is never null and stands for doc_id, and key, the hash of the text."""
+    return rows.withColumns({"name": F.to_json(F.struct("doc_id")), "key": F.xxhash64(F.coalesce("text", F.lit("")))})
+
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least doc_id of every group of near copies, and all that have no words.
 
-def _repeats(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    Rows are told apart by doc_id and text: where an id repeats, only the row that is first of its group
+    stays, and of rows that repeat both one stays.
+    """
+    groups = ngram_join.link(docs).select(F.to_json(F.struct("doc_id")).alias("name"), "doc_id", "key", "component")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "name")
+    first = groups.filter("component is not null").groupBy("component").agg(F.min(order).alias("first")).select("first.name", "first.key")
+    stay = first.union(groups.filter("component is null").select("name", "key").distinct())
+    # one shuffle of the texts: what removes repeated rows is dealt out as the join was
+    return _named(docs.select(*COLUMNS)).join(stay, ["name", "key"], "left_semi").dropDuplicates(["name", "key"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out all passages of PASSAGE words or more that occur more than once."""
-    meta = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "lang", "source").dropDuplicates(["doc_id", "key"])
-    meta = meta.withColumnRenamed("doc_id", "own").withColumnRenamed("key", "own_key")
-    cut = suffix_dedup.deduplicate(docs, PASSAGE, as_text=True, unit="words")
-    out = cut.join(meta, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key")))
+    meta = _named(docs).select("name", "key", "lang", "source").dropDuplicates(["name", "key"])
+    cut = suffix_dedup.deduplicate(docs, PASSAGE, as_text=True, unit="words").withColumn("name", F.to_json(F.struct("doc_id")))
+    out = cut.join(meta, ["name", "key"])
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
 
 
 def benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a passage of a benchmark item."""
-    hit = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    hit = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.to_json(F.struct("doc_id")).alias("name"), "key").distinct()
+    return _named(docs.select(*COLUMNS)).join(hit, ["name", "key"], "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
