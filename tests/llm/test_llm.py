@@ -396,3 +396,274 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert out and len({r.doc_id for r in out}) == len(out)
     assert all(len(r.ids) == 4 * r.n_tokens for r in out)
+
+
+# ---- the queries themselves, on tables with odd rows
+
+LONG = "long " + " ".join(f"n{k}" for k in range(30000))
+ODD = [
+    (1, prose(0, 120), "en", "a"), (2, prose(0, 120), "en", "a"), (2, prose(0, 119) + " end", "en", "b"), (3, None, None, None), (4, "", "en", "a"), (5, " \t\n", "de", "a"), (6, LONG, "en", "hot"),
+    (7, LONG + " tail", "de", "hot"), (8, "É😀 ünï <s> <|endoftext|> " * 40, "de", "hot"), (1, prose(0, 120), "en", "a"), (None, "no id here at all", "en", "a"), (9, "12 34 !!", "en", "a"), (10, "awful horrid nasty words", "en", "a"),
+]
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, key int, c int, n int, zone int, place int, unit int, d1 int, start int, name int, token int, toxic int, label int, slot int, shard int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Folders with odd documents and with none; both have all tables."""
+    folder = tmp_path_factory.mktemp("odd")
+    pages = [(1, "http://A.example.com/en/7x?q", 1), (2, None, 1), (2, "no url", 1), (3, "x://net/de/81#f", 1), (3, "x://net/de/81#f", 1), (None, "ftp://sub.Org/es/", 1)]
+    labels = [(1, 0), (2, 1), (2, 0), (6, None), (None, 1), (99, 1), (10, 1)]
+    for name, rows in (("some", ODD), ("none", [])):
+        docs = [(*r, len(r[1] or ""), *([7] * 14)) for r in rows]
+        some = bool(rows)
+        spark.createDataFrame(docs, CLASH).repartition(3).write.parquet(f"{folder}/{name}/documents.parquet")
+        spark.createDataFrame(pages if some else [], "page_id long, url string, host int").write.parquet(f"{folder}/{name}/pages.parquet")
+        spark.createDataFrame(labels if some else [], "doc_id long, toxic int").write.parquet(f"{folder}/{name}/labels.parquet")
+        spark.createDataFrame([(1, prose(20, 30)), (2, None), (3, "")] if some else [], "item_id long, text string").write.parquet(f"{folder}/{name}/benchmark.parquet")
+    return folder
+
+
+def run(spark, odd, name, which="some"):
+    from tessera.llm import registry
+
+    return registry.QUERIES[name](spark, f"{odd}/{which}").collect()
+
+
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op2_ngram_join", "op3_url_filters", "op4_fingerprints", "op5_sharding", "op6_bpe", "op7_decontamination", "op8_token_counts", "op9_toxicity", "op10_language_id"])
+def test_queries_of_empty_tables(spark, odd, name):
+    assert run(spark, odd, name, "none") == []
+
+
+def matched(rows):
+    """Rows of a query by (doc_id, what tells repeated ids apart)."""
+    return sorted(rows, key=str)
+
+
+def test_op1(spark, odd):
+    brute = brute_cut([t for _, t, _, _ in ODD], 400)
+    assert matched((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run(spark, odd, "op1_suffix_dedup")) == matched((d[0], *b) for d, b in zip(ODD, brute))
+
+
+def test_op2(spark, odd):
+    texts, ids = [t for _, t, _, _ in ODD], [d for d, _, _, _ in ODD]
+    sizes, roots = zip(*brute_components(texts))
+    least = {k: min((ids[i] for i, r in enumerate(roots) if r == k and ids[i] is not None), default=None) for k in set(roots)}
+    expected = [(d, n, least[r] if n else d, k) for d, n, r, k in zip(ids, sizes, roots, brute_links(texts))]
+    assert matched((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in run(spark, odd, "op2_ngram_join")) == matched(expected)
+
+
+def test_op3(spark, odd):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create table pages (page_id bigint, url varchar, no int)")  # SQL takes a page of each id
+    for i, u in enumerate(["http://A.example.com/en/7x?q", None, "x://net/de/81#f", "x://example.net/de/8", "ftp://sub.Org/es/"]):
+        con.execute("insert into pages values (?, ?, 1)", [i, u])
+    from tessera.llm import registry
+
+    held = {r[0]: r[1:] for r in con.sql(f"select page_id, host, path, rule, verdict from ({registry.SQL['op3_url_filters']})").fetchall()}
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in run(spark, odd, "op3_url_filters")]
+    assert matched(got) == matched([(1, *held[0]), (2, *held[1]), (2, *held[1]), (3, *held[2]), (3, *held[2]), (None, *held[4])])
+
+
+def test_op4(spark, odd):
+    order = sorted(ODD, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
+    expected = []
+    for k, (i, text, _, _) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        expected.append((i, len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    got = run(spark, odd, "op4_fingerprints")
+    assert matched((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == matched(expected)
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.doc_id].add(r.fingerprint)
+        assert len(r.fingerprint) == 16 * fingerprints.SAMPLES and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert by[3] == by[4] == by[5] and len(by[1]) == 1 and by[1] <= by[2] and len(by[2]) == 2
+
+
+def test_op5(spark, odd, tmp_path):
+    got = run(spark, odd, "op5_sharding")
+    assert matched((r.doc_id, r["size"], r.text_crc32) for r in got) == matched((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _, _ in ODD)
+    assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None} and all(0 <= r.shard < 16 for r in got)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    spark.createDataFrame([(k, "x" * (k * 7919 % 500)) for k in range(20000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    load = collections.Counter()
+    for r in sharding.op5_sharding(spark, str(tmp_path)).collect():
+        load[r.shard] += r["size"]
+    assert len(load) == 16 and max(load.values()) < 1.01 * sum(load.values()) / 16
+
+
+def test_op6(spark, odd):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = []
+    for d, t, _, _ in ODD:
+        ids = enc.encode_ordinary(t or "")
+        expected.append((d, len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert matched((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in run(spark, odd, "op6_bpe")) == matched(expected)
+
+
+def test_op7(spark, odd):
+    texts = {}
+    for k, (d, t, _, _) in enumerate(ODD):
+        texts.setdefault((d, t), k)
+    held = brute_overlaps([(k, t if len(t or "") < 5000 else "") for (_, t), k in texts.items()], [(1, prose(20, 30))])
+    name = {k: d for (d, _), k in texts.items()}
+    assert matched((r.doc_id, r.item_id, r.matched, r.aligned, r.offset) for r in run(spark, odd, "op7_decontamination")) == matched((name[k], i, *v) for (k, i), v in held.items())
+
+
+def test_op8(spark, odd):
+    import public_tokenizers as P
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    expected = [(d, len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for d, t, _, _ in ODD]
+    assert matched((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in run(spark, odd, "op8_token_counts")) == matched(expected) and any(e[3] for e in expected)
+
+
+def test_prefix_counts_are_those_of_the_library(spark):
+    import random
+
+    import public_tokenizers as P
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    dice = random.Random(8)
+    parts = ["the", "ing", " ", "  ", "\n", "日本", "é", "😀", "ﬁ", "▁", "<s>", "0x", "A", "tion", "zq", "'", "\u0301"]
+    texts = ["".join(dice.choice(parts) for _ in range(dice.randrange(25))) for _ in range(60)] + ["noSpacesAtAll" * 30]
+    out = {r.doc_id: r.counts for r in token_counts.prefix_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    short = {r.doc_id: r.text for r in token_counts.truncated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 9).collect()}
+    for i, t in enumerate(texts):
+        exact = [len(model.encode(t[:k])) for k in range(1, len(t) + 1)]
+        assert out[i] == exact
+        assert len(short[i]) == max([k for k, n in enumerate(exact, 1) if n <= 9], default=0)
+
+
+def test_op9(spark, odd):
+    got = run(spark, odd, "op9_toxicity")
+    assert matched((r.doc_id, r.held_out) for r in got) == matched((d, zlib.crc32(str(d if d is not None else "").encode()) % 5 == 0) for d, _, _, _ in ODD)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+
+
+@pytest.mark.parametrize("toxic, expected", [(1, 1.0), (0, 0.0)])
+def test_toxicity_of_one_class_is_the_base_rate(spark, toxic, expected):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, toxic) for k in range(5)], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()} == {expected}
+
+
+def test_op9_against_brute_force(spark, tmp_path):
+    """The whole query against votes of the nearest examples over all pairs."""
+    import math
+    import random
+
+    import numpy as np
+
+    dice = random.Random(2)
+    bad, good = ["awful", "horrid", "nasty"], ["calm", "bright", "gentle", "river"]
+    rows = [(k, " ".join(dice.choice(good + bad * (k % 3 == 0)) for _ in range(12)) + f" w{k}") for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(150)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r for r in toxicity.op9_toxicity(spark, str(tmp_path)).collect()}
+    taught = [k for k in range(150) if zlib.crc32(str(k).encode()) % 5]
+    index = toxicity.build([(int(k % 3 == 0), toxicity.terms(rows[k][1])) for k in taught])
+    dense = np.zeros((len(taught), len(index.idf)))
+    for i, k in enumerate(taught):
+        c, w = index.vector(index.columns(toxicity.terms(rows[k][1])))
+        dense[i, c] = w
+    y = np.array([int(k % 3 == 0) for k in taught])
+    for k, text in rows:
+        c, w = index.vector(index.columns(toxicity.terms(text)))
+        q = np.zeros(len(index.idf))
+        q[c] = w
+        s = np.sort(dense @ q)[::-1][: toxicity.NEIGHBOURS]
+        assert abs(got[k].best_cosine - min(1, max(0, s[0]))) < 1e-9
+        if len(c) and len(set(np.round(np.sort(dense @ q)[::-1][toxicity.NEIGHBOURS - 1 : toxicity.NEIGHBOURS + 1], 12))) == 2:  # no tie at the border
+            near = np.argsort(-(dense @ q), kind="stable")[: toxicity.NEIGHBOURS]
+            near = near[(dense @ q)[near] > 0]
+            top = (dense @ q)[near]
+            vote = (toxicity.BACKGROUND * index.base + (top * y[near]).sum()) / (toxicity.BACKGROUND + top.sum())
+            assert abs(got[k].score - 1 / (1 + math.exp(-(index.slope * vote + index.shift)))) < 1e-6
+
+
+def test_op10(spark, odd):
+    got = run(spark, odd, "op10_language_id")
+    assert matched((r.doc_id, r.held_out) for r in got) == matched((d, zlib.crc32(str(d if d is not None else "").encode()) % 4 == 2) for d, _, _, _ in ODD)
+    assert all(0 <= r.score <= 1 and r.lang_pred in ("en", "de", "und") for r in got)
+    assert {r.doc_id for r in got if r.lang_pred == "und"} == {3, 4, 5, 9}
+
+
+def test_op10_held_out_accuracy(spark):
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    got = language_id.op10_language_id(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("lang is not null")
+    right, n = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 100 and right >= 0.97 * n
+
+
+def test_mixture_is_the_likeliest():
+    import numpy as np
+
+    dice = np.random.default_rng(1)
+    model = dice.dirichlet(np.full(50, 0.3), 3).T
+    counts = 400 * (model @ np.array([0.7, 0.3, 0.0]))
+    share, fit = language_id.mixture(model + 1e-9, counts, 400)
+    assert abs(share - [0.7, 0.3, 0.0]).max() < 0.02
+    grid = [(a, b, 1 - a - b) for a in np.linspace(0, 1, 41) for b in np.linspace(0, 1 - a, 41)]
+    assert fit >= max(counts @ np.log((model + 1e-9) @ np.array(g)) for g in grid) - 1e-6
+
+
+def test_pipeline_against_brute_force(spark, odd, tmp_path):
+    import base64
+
+    import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
+
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").filter("length(text) < 3000").limit(60).collect()
+    passage = prose(3000, 60)
+    more = [(900, source[0].text + " one more"), (901, source[1].text), (901, source[1].text), (902, source[2].text + " " + passage), (903, passage + " " + source[3].text), (904, prose(100, 30) + " " + prose(20, 30)), (None, source[4].text), (905, None), (906, "12 !"), (2, "another text of an id that repeats")]
+    rows = [tuple(r) for r in source] + [(d, t, "en", "s", len(t or "")) for d, t in more]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, prose(20, 30)), (2, "never seen words of no document whatever it may be in here at all")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+
+    docs = [(d, t) for d, t, *_ in rows if any(c.isalpha() for c in t or "")]
+    roots = [r for _, r in brute_components([t for _, t in docs])]
+    first = {r: min((d is None, d or 0, t) for (d, t), q in zip(docs, roots) if q == r) for r in set(roots)}
+    docs = sorted({(d, t) for (d, t), r in zip(docs, roots) if (d is None, d or 0) == first[r][:2]}, key=str)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t) for _, t in docs]
+    seen = collections.Counter(tuple(w[s : s + 50]) for w in words for s in range(len(w) - 49))
+    cut = []
+    for (d, t), w in zip(docs, words):
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        gone = sorted({k for s in range(len(w) - 49) if seen[tuple(w[s : s + 50])] > 1 for k in range(s, s + 50)})
+        stays, last = [], 0
+        while gone:
+            a = b = gone.pop(0)
+            while gone and gone[0] == b + 1:
+                b = gone.pop(0)
+            stays.append(t[last : at[a][0]])
+            last = at[b][1]
+        cut.append((d, "".join(stays) + t[last:]))
+    hit = {k for k, _ in brute_overlaps([(k, t) for k, (_, t) in enumerate(cut)], items)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = []
+    for k, (d, t) in enumerate(cut):
+        if k not in hit:
+            ids = enc.encode_ordinary(t)
+            expected.append((d, len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert matched(got) == matched(expected) and len(hit) == 1
+    assert corpus_pipeline.run(spark, f"{odd}/none").collect() == []
+    assert len(corpus_pipeline.run(spark, f"{odd}/some").collect()) > 3
