@@ -6,9 +6,9 @@ sample k a term of weight w draws, from hashes of the term and k, r and c ~ Gamm
     t = floor(ln w / r + b)      ln y = r (t - b)      ln a = ln c - ln y - r
 
 and the sample is the (term, t) of the least ln a.  Two texts agree on a sample with a probability
-that equals their generalised Jaccard similarity, sum of min weights over sum of max weights.  A
-sample is kept as one long: ln a in its upper bits, bits of the term in its lower ones, so the
-sampling is a plain min() inside a hash aggregate.
+that equals their generalised Jaccard similarity, sum of min weights over sum of max weights.  As
+ln a is a function of the term and t that no other term shares but by a chance of some 2**-46, a sample
+is kept as the least ln a itself: a plain min() inside a hash aggregate.
 
 Words are what white space parts, lower-cased.  Null texts are empty; texts without words share one
 fingerprint and are like each other (1) and unlike the rest (0).  Repeated rows stay apart: they are
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from math import log
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -29,7 +30,8 @@ from tessera.llm.common import id_text, let, table
 SAMPLES, WORDS = 64, 5
 #: Documents in a range of ids, and the most ranges; a range is one window partition.
 RANGE_ROWS, MAX_RANGES = 1000, 20_000
-EMPTY = -1
+#: The sample of a text without terms, above all others.
+EMPTY = 1000.0
 
 
 def words(text):
@@ -70,22 +72,21 @@ def _salt(i: int) -> int:
 
 
 def _sample(k: int):
-    def uniform(h, shift):
-        return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0xFFFFFF)) + 0.5) / float(1 << 24)
+    """ln a of a term (s, w) for sample k; it stands for the term and its t as well, being a function of them."""
+    def gamma(h):  # minus the log of a product of two uniforms of 24 bits
+        whole = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0xFFFFFF)) + 0.5
+        return F.lit(48 * log(2)) - F.log(whole(40) * whole(16))
 
     h, g = (F.xxhash64(F.col("s").bitwiseXOR(F.lit(_salt(i)))) for i in (2 * k, 2 * k + 1))  # s is a hash already
-    r, c = -F.log(uniform(h, 40) * uniform(h, 16)), -F.log(uniform(g, 40) * uniform(g, 16))
-    b = h.bitwiseAND(F.lit(0xFFFF)) / 65536.0
-    t = F.when(F.col("w") == 1, F.lit(0.0)).otherwise(F.floor(F.log(F.col("w")) / r + b).cast("double"))
-    ln_a = F.log(c) - r * (t - b) - r
-    place = ((ln_a + 128.0) * float(1 << 24)).cast("long")  # ln a lies between -128 and 4
-    return F.when(F.col("s").isNotNull(), F.shiftleft(place, 26).bitwiseOR(g.bitwiseXOR(t.cast("long")).bitwiseAND(F.lit((1 << 26) - 1))))
+    r, ln_c, b = gamma(h), F.log(gamma(g)), h.bitwiseAND(F.lit(0xFFFF)) * (1 / 65536)
+    t = F.floor(F.log(F.col("w")) / r + b)
+    return F.when(F.col("w") == 1, ln_c - r * (1 - b)).otherwise(ln_c - r * (t + 1 - b))  # the same to the last bit where t is 0
 
 
 def signatures(rows: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and ``signature`` (array of longs) of every text; keys must tell rows apart."""
+    """``keys`` and ``signature`` (array of doubles) of every text; keys must tell rows apart."""
     terms = rows.select(*keys, weighted(shingles(F.col(text_col))).alias("terms")).select(*keys, F.explode_outer("terms").alias("term")).select(*keys, "term.s", "term.w")
-    least = terms.groupBy(*keys).agg(*[F.min(_sample(k)).alias(f"m{k}") for k in range(samples)])
+    least = terms.groupBy(*keys).agg(*[F.min(F.when(F.col("s").isNotNull(), _sample(k))).alias(f"m{k}") for k in range(samples)])
     return least.select(*keys, F.array(*[F.coalesce(F.col(f"m{k}"), F.lit(EMPTY)) for k in range(samples)]).alias("signature"))
 
 
@@ -146,18 +147,98 @@ def with_next(docs: DataFrame, copies: bool = False) -> DataFrame:
     return (placed if copies else placed.filter("copy = 0")).select("zone", "place", "copy", "doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
 
 
+#: What a term counts for: the whole text, the part of it that its edit keeps, the part that comes into
+#: the edit of the document before, and the edit itself.
+WHOLE, KEPT, CAME, EDIT = 4, 2, 1, 8
+
+
+def _blank(text, where: str):
+    return text.rlike(r"^\s" if where == "start" else r"\s\z")
+
+
+def _inner(part):
+    """(first, stop) of the words of a text's beginning that are whole words wherever it is put: not the
+    first one unless blank space is in front, not the last one unless blank space follows."""
+    n = F.size(words(part)) - F.when(_blank(part, "end"), 0).otherwise(1)
+    return F.struct(F.when(_blank(part, "start"), 0).otherwise(1).alias("first"), n.alias("stop"), F.size(words(part)).alias("n"))
+
+
+def _labelled(terms, uses: int):
+    return F.transform(terms, lambda x: F.struct(x["s"].alias("s"), x["w"].alias("w"), F.lit(uses).alias("uses")))
+
+
+def edit_terms(text, kept, came, edited, arrived, size: int = WORDS):
+    """Terms (s, w, uses) from which a text's signature and its edit's follow as minima.
+
+    A term that occurs once in the edit lies in the part kept, in the part that arrives from the next
+    document, or across the cut.  Those of the parts are drawn once, with the texts that they come
+    from; what is left for the edit are the terms across the cut and those that it holds more than
+    once, with their whole weight: a sample only falls as a weight grows, so the parts' own samples of
+    the same terms never win.
+    """
+    def own(x):
+        stop, came_ = x["kept"]["stop"] - (size - 1), x["came"]
+
+        def uses(j):
+            first = F.when(j < stop, KEPT).otherwise(0)  # the first word of a text is whole in its own edit
+            return F.lit(WHOLE) + first + F.when((j >= came_["first"]) & (j < came_["stop"] - (size - 1)), CAME).otherwise(0)
+
+        def listed(terms):
+            once = F.transform(terms, lambda s, j: F.struct(s.alias("s"), F.lit(1).alias("w"), uses(j).alias("uses")))
+            parts = F.concat(
+                _labelled(weighted(terms), WHOLE), _labelled(weighted(F.slice(terms, 1, F.greatest(stop, F.lit(0)))), KEPT),
+                _labelled(weighted(F.slice(terms, came_["first"] + 1, F.greatest(came_["stop"] - (size - 1) - came_["first"], F.lit(0)))), CAME),
+            )
+            return F.when(F.size(F.array_distinct(terms)) == F.size(terms), once).otherwise(parts)
+
+        return let(_shingles(x["own"], size), listed)
+
+    def of_edit(x):
+        begin = F.size(x["words"]) - x["arrived"]["n"]  # the word of the edit where the arrived part's first one lies
+        low, high = begin + x["arrived"]["first"], begin + x["arrived"]["stop"] - size
+
+        def listed(terms):
+            across = F.filter(terms, lambda s, j: (j >= x["kept"]["stop"] - (size - 1)) & ~((j >= low) & (j <= high)))
+            once = F.transform(F.array_distinct(across), lambda s: F.struct(s.alias("s"), F.lit(1).alias("w"), F.lit(EDIT).alias("uses")))
+            more = F.when(F.size(F.array_distinct(terms)) == F.size(terms), F.slice(once, 1, 0)).otherwise(_labelled(F.filter(weighted(terms), lambda t: t["w"] > 1), EDIT))
+            return F.concat(once, more)
+
+        return let(_shingles(x["words"], size), listed)
+
+    first = let(F.struct(words(text).alias("own"), _inner(kept).alias("kept"), _inner(came).alias("came")), own)
+    second = let(F.struct(words(edited).alias("words"), _inner(kept).alias("kept"), _inner(arrived).alias("arrived")), of_edit)
+    return F.concat(first, second)
+
+
+def shown(signature):
+    """A signature as text, 16 digits a sample."""
+    return F.array_join(F.transform(signature, lambda x: F.lpad(F.hex(((x + 128) * float(1 << 46)).cast("long")), 16, "0")), "")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(id_text(table(spark, sf_dir, "documents")), copies=True)
-    own = signatures(rows, ["zone", "place", "copy"])
-    own = own.withColumn("next_signature", F.lead("signature").over(W.partitionBy("zone").orderBy("place"))).filter("copy = 0").drop("copy")
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    rows = rows.filter("copy = 0").select("*", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
-    edited = signatures(rows, ["zone", "place"], "edited").withColumnRenamed("signature", "edited_signature")
-    meta = rows.select("zone", "place", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    out = meta.join(own, ["zone", "place"]).join(edited, ["zone", "place"])
-
-    def shown(signature):
-        return F.concat_ws("", *[F.lpad(F.hex(F.get(signature, k)), 16, "0") for k in range(SAMPLES)])
-
+    order = W.partitionBy("zone").orderBy("place")
+    n, text = F.col("n"), F.col("text")
+    rows = rows.withColumn("n", F.char_length("text")).withColumn("before", F.coalesce(F.lag("n").over(order), F.lit(0)))
+    start = lambda t, k: F.substring(t, F.lit(1), k)
+    half, half_before = F.floor(n / 2).cast("int"), F.floor(F.col("before") / 2).cast("int")
+    kept, arrived = start(text, n - half), start(F.col("next_text"), half)
+    keys = ["zone", "place", "copy", "uses"]
+    none = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(1).alias("w"), F.lit(0).alias("uses")))  # counts for nothing: every text has a row
+    terms = rows.select("zone", "place", "copy", F.explode(F.concat(edit_terms(text, kept, start(text, half_before), F.concat(kept, arrived), arrived), none)).alias("t"))
+    terms = terms.select("zone", "place", "copy", "t.uses", "t.s", "t.w")
+    parts = terms.groupBy(*keys).agg(*[F.min(_sample(k)).alias(f"m{k}") for k in range(SAMPLES)])
+    parts = parts.select(*keys, F.array(*[f"m{k}" for k in range(SAMPLES)]).alias("m"))
+    held = parts.groupBy("zone", "place", "copy").agg(F.collect_list(F.struct("uses", "m")).alias("parts"))  # nine at most
+
+    def least(use: int):
+        own = F.transform(F.filter("parts", lambda p: p["uses"].bitwiseAND(F.lit(use)) > 0), lambda p: p["m"])
+        return F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.array_min(F.transform(own, lambda m: F.get(m, k))))
+
+    held = held.select("zone", "place", "copy", least(WHOLE).alias("whole"), least(KEPT | EDIT).alias("edit"), least(CAME).alias("came"))
+    held = held.withColumns({"next_whole": F.lead("whole").over(order), "next_came": F.lead("came").over(order)}).filter("copy = 0").drop("copy")
+    filled = lambda a: F.transform(a, lambda x: F.coalesce(x, F.lit(EMPTY)))
+    held = held.select("zone", "place", filled(F.col("whole")).alias("signature"), filled(F.zip_with("edit", "next_came", lambda x, y: F.least(x, y))).alias("edited_signature"), filled(F.col("next_whole")).alias("next_signature"))
+    meta = rows.filter("copy = 0").select("zone", "place", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.concat(kept, arrived).cast("binary"), 256).alias("edited_sha256"))
+    out = meta.join(held, ["zone", "place"])
     return out.select("doc_id", "n_chars", "edited_sha256", shown(F.col("signature")).alias("fingerprint"), shown(F.col("edited_signature")).alias("edited_fingerprint"), likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"), likeness(F.col("signature"), F.col("next_signature")).alias("near_next"))

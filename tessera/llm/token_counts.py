@@ -30,12 +30,12 @@ from tessera.llm.common import id_text, python_stage, table
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
-#: Distinct units whose counts, and pairs of pieces whose agreement, a worker remembers before it starts afresh.
-MEMO = 400_000
+#: Distinct words whose last counts, and pairs of pieces whose agreement, a worker remembers before it starts afresh.
+MEMO = 800_000
 
 
 class Counter(dict):
-    """unit -> token counts of its prefixes of 1, 2, ... characters."""
+    """word -> token count of a space and the word, the last cell of its programme."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -52,9 +52,11 @@ class Counter(dict):
         probe = "a  é\nﬁ b "
         if model.normalize(probe) != MARK + probe.replace(" ", MARK):
             raise ValueError("the model changes texts before it splits them")
-        self.longest = {}  # last character -> length of the longest piece that ends in it
+        tails: dict[str, set[int]] = {}
         for piece in self.rank:
-            self.longest[piece[-1]] = max(len(piece), self.longest.get(piece[-1], 0))
+            if len(piece) > 2:
+                tails.setdefault(piece[-3:], {1, 2}).add(len(piece))
+        self.tails = {t: sorted(n, reverse=True) for t, n in tails.items()}  # lengths of the pieces that can end in three characters
         self.agreed: dict[tuple[str, str], bool] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -81,16 +83,18 @@ class Counter(dict):
 
     def counted(self, unit: str) -> list[int]:
         """Token counts of the unit's prefixes: the last piece and the count of each from those of a shorter one."""
-        rank, agree, longest = self.rank, self.agree, self.longest
+        rank, agreed, tails, short = self.rank, self.agreed, self.tails, (2, 1)
         last, counts = [""], [0]
         for k, c in enumerate(unit, 1):
             if c not in rank:  # nothing merges with it
                 last.append("")
                 counts.append(counts[-1] + len(c.encode("utf-8", "surrogatepass")))
                 continue
-            for n in range(min(k, longest[c]), 0, -1):
-                piece = unit[k - n : k]
-                if piece in rank and agree(last[k - n], piece):
+            for n in tails.get(unit[k - 3 : k], short) if k > 2 else short:
+                if n > k or (piece := unit[k - n : k]) not in rank:
+                    continue
+                fits = agreed.get((last[k - n], piece))
+                if fits or fits is None and self.agree(last[k - n], piece):
                     last.append(piece)
                     counts.append(counts[k - n] + 1)
                     break
@@ -98,20 +102,23 @@ class Counter(dict):
                 raise ValueError("the model's merges are no ranking")
         return counts[1:]
 
-    def __missing__(self, unit: str) -> list[int]:
-        counts = self.counted(unit)
+    def __missing__(self, word: str) -> int:
+        n = self.counted(MARK + word)[-1]
         if len(self) >= MEMO:
             self.clear()
-        if len(unit) <= 64:
-            self[unit] = counts
-        return counts
+        if len(word) <= 64:
+            self[word] = n
+        return n
 
     def units(self, text: str) -> list[str]:
         return UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def count(self, text: str) -> int:
         """The count at the last prefix."""
-        return sum([self[unit][-1] for unit in self.units(text)])
+        words = text.split(" ")
+        if "" in words or MARK in text:  # a unit is more than one space and a word
+            return sum([self[u[1:]] if u.count(MARK) == 1 else self.counted(u)[-1] for u in self.units(text)])
+        return sum(map(self.__getitem__, words))
 
     def prefixes(self, text: str) -> "Prefixes":
         return Prefixes(self, text)
@@ -121,7 +128,7 @@ class Prefixes:
     """Stored counts at every prefix of one text: the place and count of each unit, and the counts inside it."""
 
     def __init__(self, counter: Counter, text: str):
-        self.cells = [counter[unit] for unit in counter.units(text)]
+        self.cells = [counter.counted(unit) for unit in counter.units(text)]
         self.chars, self.tokens = [0], [0]
         for cells in self.cells:
             self.chars.append(self.chars[-1] + len(cells))

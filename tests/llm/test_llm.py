@@ -326,6 +326,22 @@ def test_masks_leave_no_gap():
         assert any(not any(mask[g - at] == "1" for g in gone if 0 <= g - at < len(mask)) for mask in decontaminate.MASKS for at in range(w - len(mask) + 1))
 
 
+def test_edited_fingerprints_are_those_of_the_edited_texts(spark, tmp_path):
+    import random
+
+    dice = random.Random(6)
+    word = lambda: dice.choice(["a", "b", "Cc", "ΟΔΟΣ", "d,", "longer", "é😀"])
+    space = lambda: dice.choice([" ", "  ", "\n", "\t ", " "])
+    texts = ["".join(word() + space() for _ in range(dice.randrange(14))) for _ in range(80)] + ["", "   ", "x", "one two three four", prose(0, 200), prose(0, 200), prose(0, 200) + " ", " " + prose(100, 100), prose(100, 90) * 2, "noSpace" * 40, "noSpace" * 40, prose(7, 11)]
+    texts += [prose(3 * k, 6 + k % 9) + space() for k in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    edits = [t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2] for i, t in enumerate(texts)]
+    both = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)] + [(i, 1, t) for i, t in enumerate(edits)], "i int, e int, text string")
+    exact = {(r.i, r.e): r.shown for r in fingerprints.signatures(both, ["i", "e"]).select("i", "e", fingerprints.shown("signature").alias("shown")).collect()}
+    for r in fingerprints.op4_fingerprints(spark, str(tmp_path)).collect():
+        assert r.fingerprint == exact[r.doc_id, 0] and r.edited_fingerprint == exact[r.doc_id, 1], texts[r.doc_id]
+
+
 def test_decontamination_against_brute_force(spark, tmp_path):
     import random
 
