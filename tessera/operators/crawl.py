@@ -15,6 +15,7 @@ from tessera.functions import entities as E
 from tessera.functions import patterns as P
 from tessera.operators import links as L
 from tessera.operators import records as R
+from tessera.sources import kept
 
 PAGES, DEPTH = 4, 2
 REQUIRED = ("company_name", "address", "email", "executives")
@@ -97,7 +98,7 @@ def heal(starts: DataFrame, docs: DataFrame, max_pages=None, events: bool = Fals
     cap, known = page_cap(max_pages), facts(docs)
     has = has_of()
     known = known.withColumns({f"has_{k}": v for k, v in has.items()})
-    pages = known.join(docs.select("site", "url", "links"), ["site", "url"])
+    pages = kept(known.join(docs.select("site", "url", "links"), ["site", "url"]), "facts")
     visits = starts.join(pages, ["site", "url"]).select("*", F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.lit(True).alias("read"))
     base = starts.select("site", F.col("url").alias("start"))
     for depth in range(1, DEPTH + 1):
@@ -114,7 +115,7 @@ def heal(starts: DataFrame, docs: DataFrame, max_pages=None, events: bool = Fals
         for k in REQUIRED:  # a page after the one that completes the record is not visited
             done = done & (F.col(f"had_{k}") | F.coalesce(F.max(F.coalesce(F.col(f"has_{k}"), F.lit(False))).over(before), F.lit(False)))
         tried = tried.withColumn("done", done).filter("not done").withColumn("pos", (F.col("n") + F.col("place") - 1).cast("int"))
-        visits = visits.unionByName(tried.withColumn("depth", F.lit(depth)).select(*visits.columns))
+        visits = visits.unionByName(kept(tried.withColumn("depth", F.lit(depth)).select(*visits.columns), f"level-{depth}"))
     return visits
 
 
@@ -131,6 +132,7 @@ def walk(starts: DataFrame, docs: DataFrame, max_pages: int = PAGES) -> DataFram
         have = got.groupBy("site").agg(F.count("*").alias("n")) if got is not None else starts.select("site", F.lit(0).cast("long").alias("n")).distinct()
         read = frontier.join(pages, ["site", "url"]).join(have, "site", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         read = read.withColumn("place", F.col("n") + F.row_number().over(W.partitionBy("site").orderBy("at"))).filter(F.col("place") <= max_pages)
+        read = kept(read, "walk")
         got = read.select("site", "place", "url", "title") if got is None else got.unionByName(read.select("site", "place", "url", "title"))
         found = read.select("site", "place", "url", F.posexplode("links").alias("pos", "link")).select("site", "place", "url", "pos", "link.href", "link.text")
         found = found.withColumn("page", F.struct("site", "place"))

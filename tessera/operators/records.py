@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.functions import patterns as P
+from tessera.sources import kept
 
 CELL = ["pos", "value", "confidence", "source_url"]
 
@@ -29,22 +30,22 @@ def merge(observations: DataFrame) -> DataFrame:
     site is gathered in one place, however many pages it has.
     """
     keys = ["site", "key"]
-    seen = observations.withColumn("value", C.text(F.col("value")))
+    seen = kept(observations.select("site", "key", *CELL, "dirty", "verified").withColumn("value", C.text(F.col("value"))), "observations")
     cell = seen.groupBy(*keys).agg(F.min_by(F.struct(*CELL, "dirty", "verified"), "pos").alias("cell"))
     for _ in range(3):
         now = seen.join(cell, keys)
         open_ = ~F.col("cell.dirty") & ~F.col("cell.verified") & (_rank(F.col("confidence")) > _rank(F.col("cell.confidence")))
         takes = (F.col("pos") > F.col("cell.pos")) & (F.col("value") != "") & (F.col("value") != F.col("cell.value")) & ((F.col("cell.value") == "") | open_)
-        kept = (F.col("cell.value") == "") & F.col("cell.verified")
-        new = F.struct(*CELL, F.lit(False).alias("dirty"), kept.alias("verified"))
+        still = (F.col("cell.value") == "") & F.col("cell.verified")
+        new = F.struct(*CELL, F.lit(False).alias("dirty"), still.alias("verified"))
         step = now.filter(takes).groupBy(*keys).agg(F.min_by(new, "pos").alias("new"))
         cell = cell.join(step, keys, "left").select(*keys, F.coalesce("new", "cell").alias("cell"))
     return cell.select(*keys, "cell.*")
 
 
-def conflicts(observations: DataFrame) -> DataFrame:
-    """One row for each later value that a dirty or verified cell turned down."""
-    cell = merge(observations).filter("dirty or verified").select("site", "key", F.col("value").alias("current"), F.col("pos").alias("since"))
+def conflicts(observations: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """One row for each later value that a dirty or verified cell turned down (``merged``: what ``merge`` gave)."""
+    cell = (merge(observations) if merged is None else merged).filter("dirty or verified").select("site", "key", F.col("value").alias("current"), F.col("pos").alias("since"))
     late = observations.filter("coalesce(value, '') <> ''").join(cell, ["site", "key"]).filter("pos > since and value <> current")
     labels = F.create_map(*[F.lit(x) for pair in P.FIELDS.items() for x in pair])
     return late.select("site", "key", F.try_element_at(labels, F.col("key")).alias("label"), "pos", "current", F.col("value").alias("incoming"), "source_url")

@@ -10,6 +10,7 @@ from tessera.functions import patterns as P
 from tessera.operators import crawl, exports, payloads, records, store
 from tessera.plans import catalog, entities
 from tessera.plans.base import LINE, SQL, query, quoted, read, rows_of, sql_squeeze, sql_steps, sql_trim, values
+from tessera.sources import kept
 
 # ---- merge
 
@@ -58,13 +59,15 @@ _LABELS = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in P.FIELDS.ite
 
 @query(f"WITH {_OBS} SELECT site, key, CASE key {_LABELS} END AS label, m.value AS current, unnest(m.conflicts) AS incoming FROM ({_FOLD})")
 def merge_conflicts(spark, sf_dir):
-    return records.conflicts(_observations(spark, sf_dir)).select("site", "key", "label", "current", "incoming")
+    rows = kept(_observations(spark, sf_dir), "observations")
+    return records.conflicts(rows).select("site", "key", "label", "current", "incoming")
 
 
 @query(f"WITH {_OBS} SELECT site, key, CASE WHEN len(m.conflicts) > 0 THEN m.conflicts[-1] ELSE m.value END AS value, m.confidence AS confidence, m.dirty AND len(m.conflicts) = 0 AS dirty, m.verified AS verified FROM ({_FOLD})")
 def conflict_take(spark, sf_dir):
-    rows = _observations(spark, sf_dir)
-    return records.resolved(records.merge(rows), records.conflicts(rows)).select("site", "key", "value", "confidence", "dirty", "verified")
+    rows = kept(_observations(spark, sf_dir), "observations")
+    cells = kept(records.merge(rows), "cells")
+    return records.resolved(cells, records.conflicts(rows, cells)).select("site", "key", "value", "confidence", "dirty", "verified")
 
 
 FIELDS = rows_of((-1, "Acme", "Main St", "a@b.co", 1), (-2, "", "Main St", "a@b.co", 1), (-3, "Acme", "", "", 0), (-4, "Acme", "x", "y", 0))
