@@ -38,11 +38,11 @@ WORDS, PERCENT = 5, 80
 #: Part of a set by which the first prefix is longer than the bound asks for.
 EXTRA = 0.05
 #: Members of a block: an eighth of the bucket, but between these bounds.
-BLOCK, MOST = 250, 2000
+BLOCK, MOST = 250, 1000
 #: The side of a member in the unit of its own block.
 OWN = 2
 #: Distinct shingles that are compared at once where many pairs are.
-COLUMNS = 8192
+COLUMNS = 2048
 
 
 def lacking(n: int) -> int:
