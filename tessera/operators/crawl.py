@@ -7,6 +7,8 @@ a driver loop over DataFrames; all sites take a level together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -88,14 +90,17 @@ def merged(visits: DataFrame) -> DataFrame:
     return rows.select("site", *strings, "language", "pages_visited", "addresses", "phone_numbers", "emails", "executives")
 
 
-def heal(starts: DataFrame, docs: DataFrame, max_pages=None, events: bool = False) -> DataFrame:
+def heal(starts: DataFrame, docs: DataFrame, max_pages=None, infer: Callable[[DataFrame], DataFrame] = facts, cached: DataFrame | None = None) -> DataFrame:
     """Visits (site, pos, depth, url, read, facts) of the crawls from ``starts`` (site, url).
 
+    ``infer`` gives the facts of documents, in the form of ``facts``; sites in ``cached`` (site) are not crawled.
+
     A site whose record lacks a required field follows its best links (0.7 or more, scored for what
     is missing), ``max_pages`` in all and DEPTH levels deep, and stops as soon as nothing is missing.
     A page that can't be read counts as visited and adds nothing.
     """
-    cap, known = page_cap(max_pages), facts(docs)
+    starts = starts.join(cached.select("site").distinct(), "site", "left_anti") if cached is not None else starts
+    cap, known = page_cap(max_pages), infer(docs)
     has = has_of()
     known = known.withColumns({f"has_{k}": v for k, v in has.items()})
     pages = kept(known.join(docs.select("site", "url", "links"), ["site", "url"]), "facts")

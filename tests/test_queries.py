@@ -59,6 +59,22 @@ def test_crawl_bounds(spark):
     assert [crawl.page_cap(n) for n in (None, "x", float("inf"), float("nan"), 0, 2.5, 9)] == [4, 4, 4, 4, 2, 3, 6]
 
 
+def test_crawl_with_a_cache_and_another_extractor(spark):
+    from pyspark.sql import functions as F
+    from tessera.operators import crawl
+    from tessera.plans.records import graph, starts
+
+    cached = spark.createDataFrame([("a",), ("b",)], "site string")
+    calls = []
+
+    def infer(docs):
+        calls.append(1)
+        return crawl.facts(docs.withColumn("markdown", F.concat("markdown", F.lit("\nAddress: 7 Other Street, Town\nx@y.example\n- **Zoe Poe** — Founder\n"))))
+
+    got = crawl.heal(starts(spark), graph(spark), infer=infer, cached=cached).select("site", "url").collect()
+    assert [tuple(r) for r in got] == [("c", "https://c.example")] and calls == [1]
+
+
 def test_crawl_bfs(spark):
     assert table(spark, "crawl_bfs", "site", "place", "url") == [
         ("a", 1, "https://a.example"), ("a", 2, "https://a.example/team"), ("a", 3, "https://a.example/contact"), ("b", 1, "https://b.example"), ("b", 2, "https://b.example/team"),
