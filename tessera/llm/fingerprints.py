@@ -152,22 +152,22 @@ def with_next(docs: DataFrame, copies: bool = False) -> DataFrame:
 WHOLE, KEPT, CAME, EDIT = 4, 2, 1, 8
 
 
-def _blank(text, where: str):
-    return text.rlike(r"^\s" if where == "start" else r"\s\z")
-
-
 def _inner(part):
-    """(first, stop) of the words of a text's beginning that are whole words wherever it is put: not the
-    first one unless blank space is in front, not the last one unless blank space follows."""
-    n = F.size(words(part)) - F.when(_blank(part, "end"), 0).otherwise(1)
-    return F.struct(F.when(_blank(part, "start"), 0).otherwise(1).alias("first"), n.alias("stop"), F.size(words(part)).alias("n"))
+    """(first, stop, n) of the words of a text's beginning that are whole words wherever it is put: not the
+    first one unless blank space is in front, not the last one unless blank space follows; n words in all."""
+    def of(x):
+        first = F.when(x["head"].rlike(r"\s"), 0).otherwise(1)
+        stop = x["n"] - F.when(x["tail"].rlike(r"\s"), 0).otherwise(1)
+        return F.struct(first.alias("first"), stop.alias("stop"), x["n"].alias("n"))
+
+    return let(part, lambda p: let(F.struct(F.left(p, F.lit(1)).alias("head"), F.right(p, F.lit(1)).alias("tail"), F.size(words(p)).alias("n")), of))
 
 
 def _labelled(terms, uses: int):
     return F.transform(terms, lambda x: F.struct(x["s"].alias("s"), x["w"].alias("w"), F.lit(uses).alias("uses")))
 
 
-def edit_terms(text, kept, came, edited, arrived, size: int = WORDS):
+def edit_terms(text, kept, came, arrived, size: int = WORDS):
     """Terms (s, w, uses) from which a text's signature and its edit's follow as minima.
 
     A term that occurs once in the edit lies in the part kept, in the part that arrives from the next
@@ -205,9 +205,11 @@ def edit_terms(text, kept, came, edited, arrived, size: int = WORDS):
 
         return let(_shingles(x["words"], size), listed)
 
-    first = let(F.struct(words(text).alias("own"), _inner(kept).alias("kept"), _inner(came).alias("came")), own)
-    second = let(F.struct(words(edited).alias("words"), _inner(kept).alias("kept"), _inner(arrived).alias("arrived")), of_edit)
-    return F.concat(first, second)
+    def both(x):
+        parts = F.struct(words(x["text"]).alias("own"), _inner(x["kept"]).alias("kept"), _inner(x["came"]).alias("came"), words(F.concat(x["kept"], x["arrived"])).alias("words"), _inner(x["arrived"]).alias("arrived"))
+        return let(parts, lambda y: F.concat(own(y), of_edit(y)))
+
+    return let(F.struct(text.alias("text"), kept.alias("kept"), came.alias("came"), arrived.alias("arrived")), both)
 
 
 def shown(signature):
@@ -225,7 +227,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, arrived = start(text, n - half), start(F.col("next_text"), half)
     keys = ["zone", "place", "copy", "uses"]
     none = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(1).alias("w"), F.lit(0).alias("uses")))  # counts for nothing: every text has a row
-    terms = rows.select("zone", "place", "copy", F.explode(F.concat(edit_terms(text, kept, start(text, half_before), F.concat(kept, arrived), arrived), none)).alias("t"))
+    terms = rows.select("zone", "place", "copy", F.explode(F.concat(edit_terms(text, kept, start(text, half_before), arrived), none)).alias("t"))
     terms = terms.select("zone", "place", "copy", "t.uses", "t.s", "t.w")
     parts = terms.groupBy(*keys).agg(*[F.min(_sample(k)).alias(f"m{k}") for k in range(SAMPLES)])
     parts = parts.select(*keys, F.array(*[f"m{k}" for k in range(SAMPLES)]).alias("m"))
