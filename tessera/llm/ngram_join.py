@@ -308,6 +308,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     lacks = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
     live = stage.keep(shared.filter(F.col("shared") >= F.least(F.col("n"), lacks + 1 + F.ceil(F.col("n") * EXTRA)) - lacks).select("c"), "live")
 
+    first = stage.keep(first.select("doc_id", "key", "n", "c"), "rows")
+    stage.drop("prefixes")
+
     # the texts of one document for each class left
     one = first.select("c", "doc_id").join(live, "c").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     again = python_stage(rows.join(one.select(F.col("doc_id").alias("own")).distinct(), F.col("doc_id").eqNullSafe(F.col("own"))).select("doc_id", "key", "text"), here + "_sets", sets, "whole")
@@ -335,7 +338,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = classes.join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     final = named.select("c", "label").join(names, "label").join(degrees, "c", "left").select("c", "label", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    final, first = stage.keep(final, "classes"), stage.keep(first.select("doc_id", "key", "n", "c"), "rows")
+    final = stage.keep(final, "classes")
     stage.drop(*[name for name in stage.paths if name not in ("classes", "rows")])
     return first.join(final, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("label").alias("component"), F.col("c").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "key")
 
