@@ -1,6 +1,6 @@
 """Registered queries and their SQL: ``QUERIES`` and ``SQL``."""
 
-from tessera.plans import catalog, entities, records, streams, trees
+from tessera.plans import catalog, entities, records, stores, streams, trees
 from tessera.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "catalog", "entities", "records", "streams", "trees"]
+__all__ = ["QUERIES", "SQL", "catalog", "entities", "records", "stores", "streams", "trees"]

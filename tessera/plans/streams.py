@@ -19,8 +19,8 @@ def _events(spark, sf_dir):
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 20")
 def stream_history(spark, sf_dir):
     """The last 20 events of every user, merged batch by batch."""
-    path = streaming.keep_last_n(_events(spark, sf_dir).select("user_id", "event_id", "ts"), work_folder(spark, "history"), "user_id", ["ts", "event_id"], 20)
-    return spark.read.parquet(path).select("user_id", "event_id")
+    store = streaming.keep_last_n(_events(spark, sf_dir).select("user_id", "event_id", "ts"), work_folder(spark, "history"), "user_id", ["ts", "event_id"], 20)
+    return store.read().select("user_id", "event_id")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")

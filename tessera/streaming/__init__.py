@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.keyed import Store
 from tessera.operators.records import keep_last
 
 
@@ -21,25 +22,22 @@ def finish(query) -> None:
         raise error
 
 
-def keep_last_n(stream: DataFrame, folder: str, key: str, order: list[str], n: int) -> str:
-    """Merges every micro-batch into a table of the last ``n`` rows of each key; returns the table's path.
+def keep_last_n(stream: DataFrame, folder: str, key: str, order: list[str], n: int, buckets: int = 16) -> Store:
+    """Merges every micro-batch into a store of the last ``n`` rows of each key; returns the store.
 
-    A batch writes the next version of the table under its own number, so a batch that is run again
-    after a failure reads the same version as before and writes the same rows.  Keys that a batch
-    doesn't touch are carried over.
+    A batch commits the version of its own number, so a batch that is run again after a failure starts from
+    the same rows and writes the same.  Only buckets of its keys are rewritten; versions before the last two are deleted.
     """
     spark = stream.sparkSession
+    store = Store(spark, folder, key, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema), buckets)
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number:
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/version={number - 1}").unionByName(batch)
-        keep_last(rows, key, order, n).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        store.rewrite(batch, lambda old: keep_last(old.unionByName(batch), key, order, n), number + 1)
+        store.vacuum()
 
     done = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
     finish(done)
-    last = spark.read.parquet(folder).agg(F.max("version")).first()[0]  # one number
-    return f"{folder}/version={last}"
+    return store
 
 
 def distinct_within(stream: DataFrame, folder: str, keys: list[str], at: str, horizon: str) -> str:
