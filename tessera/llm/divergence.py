@@ -163,7 +163,8 @@ def pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     left, right = (shared.select("lang", "term", F.col("source").alias(s), F.col("p").alias(f"p_{s}"), F.col("none").alias(f"none_{s}")) for s in "ab")
     diff = lambda s, t: gain(F.col(f"p_{s}"), F.col(f"p_{t}")) - gain(F.col(f"p_{s}"), F.col(f"none_{t}")) - gain(F.col(f"none_{s}"), F.col(f"p_{t}")) + gain(F.col(f"none_{s}"), F.col(f"none_{t}"))
     both = left.join(right, ["lang", "term"]).filter("a < b").groupBy("lang", "a", "b").agg(F.sum(diff("a", "b")).alias("there"), F.sum(diff("b", "a")).alias("back"))
-    ways = lambda found: found.select("lang", "a", "b", F.col("there").alias("value")).union(found.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").alias("value")))
+    both_ways = F.inline(F.array(F.struct(F.col("a"), F.col("b"), F.col("there").alias("value")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").alias("value"))))
+    ways = lambda found: found.select("lang", both_ways)
     whole = neither.union(ways(meets)).union(ways(both)).groupBy("lang", F.col("a").alias("source"), F.col("b").alias("item")).agg(F.sum("value").alias("value"))
     return whole.withColumn("rank", F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
 
