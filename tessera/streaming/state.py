@@ -6,15 +6,17 @@ A query that is started again on its folder goes on from its checkpoint.
 
 from __future__ import annotations
 
+import os
+import sys
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.operators import history
 from tessera.streaming import finish
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -36,25 +38,36 @@ def _run(rows: DataFrame, folder: str):
     return query
 
 
-class Undo(StatefulProcessor):
-    """The machine of operators.history: the record in a value, the stacks in two lists."""
+def _undo():
+    """The machine of operators.history: the record in a value, the stacks in two lists.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.record = handle.getValueState("record", "record bigint")
-        self.past, self.future = handle.getListState("past", "record bigint"), handle.getListState("future", "record bigint")
+    The class is made in a function and so travels with the query; executors add the repository to their path."""
+    root = ROOT
 
-    def handleInputRows(self, key, rows, timerValues):
-        held = [tuple(r[0] for r in stack.get()) if stack.exists() else () for stack in (self.past, self.future)]
-        state, last = (self.record.get()[0] if self.record.exists() else None, *held), None
-        for last in sorted(rows, key=lambda r: (r["ts"], r["event_id"])):  # a key's share of a micro-batch
-            state = history.step(state, last["action"], last["record"])
-        for stack, own in ((self.past, state[1]), (self.future, state[2])):
-            stack.put([(r,) for r in own]) if own else stack.clear()
-        self.record.update((state[0],)) if state[0] is not None else self.record.clear()
-        yield Row(user_id=key[0], ts=last["ts"], event_id=last["event_id"], record=state[0], past=list(state[1]), future=list(state[2]))
+    class Undo(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            if root not in sys.path:
+                sys.path.append(root)
+            from tessera.operators import history
 
-    def close(self) -> None:
-        pass
+            self.step = history.step
+            self.record = handle.getValueState("record", "record bigint")
+            self.past, self.future = handle.getListState("past", "record bigint"), handle.getListState("future", "record bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            held = [tuple(r[0] for r in stack.get()) if stack.exists() else () for stack in (self.past, self.future)]
+            state, last = (self.record.get()[0] if self.record.exists() else None, *held), None
+            for last in sorted(rows, key=lambda r: (r["ts"], r["event_id"])):  # a key's share of a micro-batch
+                state = self.step(state, last["action"], last["record"])
+            for stack, own in ((self.past, state[1]), (self.future, state[2])):
+                stack.put([(r,) for r in own]) if own else stack.clear()
+            self.record.update((state[0],)) if state[0] is not None else self.record.clear()
+            yield Row(user_id=key[0], ts=last["ts"], event_id=last["event_id"], record=state[0], past=list(state[1]), future=list(state[2]))
+
+        def close(self) -> None:
+            pass
+
+    return Undo()
 
 
 def undo(stream: DataFrame, folder: str) -> DataFrame:
@@ -64,41 +77,43 @@ def undo(stream: DataFrame, folder: str) -> DataFrame:
     brings comes later.
     """
     schema = "user_id long, ts timestamp, event_id long, record long, past array<long>, future array<long>"
-    _run(stream.filter("user_id is not null").groupBy("user_id").transformWithState(Undo(), schema, "Append", "None"), folder)
+    _run(stream.filter("user_id is not null").groupBy("user_id").transformWithState(_undo(), schema, "Append", "None"), folder)
     spark = stream.sparkSession
     after = spark.read.schema(schema).parquet(folder)  # a row for each user and batch
     return after.groupBy("user_id").agg(F.max_by(F.struct("record", "past", "future"), F.struct("ts", "event_id")).alias("s")).select("user_id", "s.*")
 
 
-class Life(StatefulProcessor):
+def _life(life_ms: int):
     """When a key's entry was written.  A timer forgets an entry once the watermark has passed the end of its life."""
 
-    def __init__(self, life_ms: int):
-        self.life = life_ms
+    class Life(StatefulProcessor):
+        life = life_ms
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle, self.entry = handle, handle.getValueState("entry", "wrote bigint")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.entry = handle, handle.getValueState("entry", "wrote bigint")
+        def handleInputRows(self, key, rows, timerValues):
+            wrote = before = self.entry.get()[0] if self.entry.exists() else None
+            for r in sorted(rows, key=lambda r: (r["us"], r["event_id"])):
+                if r["writes"]:
+                    wrote = r["us"]
+                else:
+                    yield Row(user_id=key[0], event_id=r["event_id"], hit=wrote is not None and r["us"] - wrote <= self.life * 1000)
+            if wrote != before:
+                if before is not None:
+                    self.handle.deleteTimer(before // 1000 + self.life + 1)
+                self.handle.registerTimer(wrote // 1000 + self.life + 1)
+                self.entry.update((wrote,))
 
-    def handleInputRows(self, key, rows, timerValues):
-        wrote = before = self.entry.get()[0] if self.entry.exists() else None
-        for r in sorted(rows, key=lambda r: (r["us"], r["event_id"])):
-            if r["writes"]:
-                wrote = r["us"]
-            else:
-                yield Row(user_id=key[0], event_id=r["event_id"], hit=wrote is not None and r["us"] - wrote <= self.life * 1000)
-        if wrote != before:
-            if before is not None:
-                self.handle.deleteTimer(before // 1000 + self.life + 1)
-            self.handle.registerTimer(wrote // 1000 + self.life + 1)
-            self.entry.update((wrote,))
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.entry.exists() and self.entry.get()[0] // 1000 + self.life + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+                self.entry.clear()
+            return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.entry.exists() and self.entry.get()[0] // 1000 + self.life + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.entry.clear()
-        return iter(())
+        def close(self) -> None:
+            pass
 
-    def close(self) -> None:
-        pass
+    return Life()
 
 
 def cache_reads(stream: DataFrame, folder: str, life_ms: int, horizon: str):
@@ -110,5 +125,5 @@ def cache_reads(stream: DataFrame, folder: str, life_ms: int, horizon: str):
     """
     rows = stream.filter("user_id is not null").withWatermark("ts", horizon).withColumn("us", F.unix_micros("ts"))
     schema = "user_id long, event_id long, hit boolean"
-    query = _run(rows.groupBy("user_id").transformWithState(Life(life_ms), schema, "Append", "EventTime"), folder)
+    query = _run(rows.groupBy("user_id").transformWithState(_life(life_ms), schema, "Append", "EventTime"), folder)
     return stream.sparkSession.read.schema(schema).parquet(folder), query
