@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import dom
+from tessera.functions import columns as C
+from tessera.operators import dom, snippets
 from tessera.plans.base import query, read
 
 
@@ -28,3 +29,11 @@ def dom_markdown(spark, sf_dir):
 @query(None)
 def dom_stamps(spark, sf_dir):
     return dom.stamps(_nodes(spark, sf_dir)).select("page_id", "node", "id", "kind", "text")
+
+
+@query(None)
+def snippet_spans(spark, sf_dir):
+    """Every place in all pages of the first words of every page's title."""
+    pages = read(spark, sf_dir, "pages")
+    words = F.slice(F.split(C.page_title(F.col("html")), " "), 1, 2)
+    return snippets.spans(pages, pages.select(F.array_join(words, " ").alias("snippet"))).drop("page")
