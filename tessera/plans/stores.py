@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import keyed, levels, links
+from tessera.operators import keyed, levels, links, observed, settings
 from tessera.plans import catalog
 from tessera.plans.base import query, read
 from tessera.sources import kept, work_folder
@@ -48,3 +48,32 @@ def link_components(spark, sf_dir):
     """Pages that are joined through targets they link to, by a loop that can be resumed."""
     edges = links.extract(catalog._pages(spark, sf_dir)).select(F.col("page_id").alias("node"), F.col("href").alias("hub")).distinct()
     return levels.components(kept(edges, "edges"), levels.Levels(spark, work_folder(spark, "levels"))).select(F.col("node").alias("page_id"), "component")
+
+
+_SETTINGS = "SELECT 'u' || user_id || '/' || event_type AS key, props, event_id FROM events UNION ALL SELECT * FROM (VALUES ('u1/bad', '{not json', -1), ('u1/none', NULL, -2)) t(key, props, event_id)"
+_KEPT = f"SELECT key, CASE WHEN props IS NULL THEN 'null' WHEN json_valid(props) THEN json(props)::VARCHAR ELSE to_json(props)::VARCHAR END AS value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY event_id DESC) AS n FROM ({_SETTINGS})) WHERE n = 1"
+
+
+@query(f"""WITH k AS ({_KEPT}) SELECT 'all' AS form, substr(key, 4) AS key, value FROM k WHERE starts_with(key, 'u1/') UNION ALL SELECT 'one', key, value FROM k WHERE key = 'u7/view'
+UNION ALL SELECT 'list', key, value FROM k WHERE key IN ('u3/view', 'u99/click') UNION ALL SELECT 'defaults', d.key, coalesce(k.value, d.value) FROM (VALUES ('u5/click', '1'), ('missing', '{{"a":[1]}}')) d(key, value) LEFT JOIN k ON k.key = d.key""")
+def settings_get(spark, sf_dir):
+    """The last properties of every user and type of event, read in the four forms."""
+    rows = read(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id", F.lit("/"), "event_type").alias("key"), F.col("props").alias("raw"), "event_id")
+    odd = spark.sql("SELECT * FROM VALUES ('u1/bad', '{not json', -1L), ('u1/none', NULL, -2L) AS t(key, raw, event_id)")
+    folder, out = work_folder(spark, "settings"), None
+    settings.write(rows.union(odd), folder, ["event_id"])
+    forms = {"all": settings.get(spark, folder, prefix="u1/"), "one": settings.get(spark, folder, "u7/view"), "list": settings.get(spark, folder, ["u3/view", "u99/click", "nothing"]), "defaults": settings.get(spark, folder, {"u5/click": 1, "missing": {"a": [1]}})}
+    for form, found in forms.items():
+        own = found.select(F.lit(form).alias("form"), "key", F.to_json("value").alias("value"))
+        out = own if out is None else out.union(own)
+    return out
+
+
+@query(f"WITH {catalog.LINKS} SELECT 'links' AS stage, 'n_rows' AS metric, count(*)::DOUBLE AS value FROM links UNION ALL SELECT 'links', 'n_chars', coalesce(sum(length(text)), 0)::DOUBLE FROM links UNION ALL SELECT 'pages', 'n_rows', count(*)::DOUBLE FROM {catalog._PAGES}")
+def run_metrics(spark, sf_dir):
+    """What the extraction of all links reports of itself, without a job of its own."""
+    seen = observed.Observer()
+    pages = seen.watch(catalog._pages(spark, sf_dir), "pages")
+    found = seen.watch(links.extract(pages), "links", n_chars=F.coalesce(F.sum(F.length("text")), F.lit(0)))
+    found.write.parquet(work_folder(spark, "links"))
+    return seen.frame(spark)

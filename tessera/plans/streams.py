@@ -86,3 +86,11 @@ def stream_cache(spark, sf_dir):
     """Whether a user's last purchase is a fresh entry, seven days at most, at each other event."""
     rows = _events(spark, sf_dir).select("user_id", "event_id", "ts", (F.col("event_type") == "purchase").alias("writes"))
     return state.cache_reads(rows, work_folder(spark, "cache"), 7 * 24 * 3600 * 1000, "1 day")[0]
+
+
+@query("SELECT x.user_id, x.event_id AS first_id, y.event_id AS second_id FROM events x JOIN events y ON x.user_id = y.user_id AND x.event_type = 'click' AND y.event_type = 'error' AND y.ts > x.ts AND y.ts <= x.ts + INTERVAL 30 MINUTE")
+def stream_pairs(spark, sf_dir):
+    """Errors within half an hour of a click of the same user, joined as streams."""
+    of = lambda kind: _events(spark, sf_dir).filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias("id"), "ts")
+    path = streaming.followed(of("click"), of("error"), work_folder(spark, "pairs"), "user_id", "30 MINUTES", "1 day")
+    return spark.read.schema("user_id long, first_id long, second_id long").parquet(path)

@@ -59,3 +59,18 @@ def sessions(stream: DataFrame, folder: str, key: str, at: str, gap: str, horizo
     done = rows.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
     finish(done)
     return folder
+
+
+def followed(first: DataFrame, second: DataFrame, folder: str, key: str, within: str, horizon: str) -> str:
+    """(key, first_id, second_id) of rows (key, id, ts) of ``second`` that come after one of ``first`` of the same key, ``within`` at
+    most; returns the table's path.
+
+    Both streams have watermarks and the join an interval, so that a row is forgotten once no partner can come.
+    """
+    x = first.select(F.col(key), F.col("id").alias("first_id"), F.col("ts").alias("first_ts")).withWatermark("first_ts", horizon)
+    y = second.select(F.col(key).alias("_key"), F.col("id").alias("second_id"), F.col("ts").alias("second_ts")).withWatermark("second_ts", horizon)
+    near = (F.col(key) == F.col("_key")) & (F.col("second_ts") > F.col("first_ts")) & (F.col("second_ts") <= F.col("first_ts") + F.expr(f"INTERVAL {within}"))
+    rows = x.join(y, near).select(key, "first_id", "second_id")
+    done = rows.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
+    finish(done)
+    return folder
