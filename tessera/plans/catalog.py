@@ -345,27 +345,6 @@ def pii_by_lang(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(mail).alias("with_email"), F.count_if(phone).alias("with_phone"), F.count("*").alias("n"))
 
 
-ADDRESSES = rows_of((1, 1, "500 Howard Street, San Francisco, CA 94105"), (1, 2, "500 Howard St, San Francisco CA 94105, USA"), (1, 3, "Friedrichstraße 123, 10117 Berlin"), (1, 4, "Tokyo 1-2-3"), (2, 5, "10117 Berlin"), (2, 6, "Berlin, 10117"), (2, 7, ""))
-_TOKENS = r"list_distinct(list_filter(string_split_regex(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda t: length(t) > 1))"
-
-
-@query(f"SELECT id, array_to_string(list_sort({_TOKENS.format('address')}), ' ') AS tokens FROM (VALUES {ADDRESSES}) t(site, id, address)")
-def address_tokens(spark, sf_dir):
-    return values(spark, ADDRESSES, "site, id, address").select("id", F.array_join(F.array_sort(C.address_tokens(F.col("address"))), " ").alias("tokens"))
-
-
-@query(f"""WITH a AS (SELECT site, id, {_TOKENS.format('address')} AS t FROM (VALUES {ADDRESSES}) t(site, id, address))
-SELECT x.id AS a, y.id AS b, CAST(len(list_intersect(x.t, y.t)) AS DOUBLE) / len(list_distinct(list_concat(x.t, y.t))) AS similarity FROM a x JOIN a y ON x.site = y.site AND x.id < y.id WHERE len(list_intersect(x.t, y.t)) > 0""")
-def address_jaccard(spark, sf_dir):
-    """Similarity of every two addresses of a site that share a token: their shared tokens counted, no pair formed without one."""
-    a = values(spark, ADDRESSES, "site, id, address").select("site", "id", F.explode(C.address_tokens(F.col("address"))).alias("token"))
-    sizes = a.groupBy("site", "id").agg(F.count("*").alias("n"))
-    x, y = a.select("site", "token", F.col("id").alias("a")), a.select("site", "token", F.col("id").alias("b"))
-    both = x.join(y, ["site", "token"]).filter("a < b").groupBy("site", "a", "b").agg(F.count("*").alias("both"))
-    sized = both.join(sizes.withColumnsRenamed({"id": "a", "n": "na"}), ["site", "a"]).join(sizes.withColumnsRenamed({"id": "b", "n": "nb"}), ["site", "b"])
-    return sized.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
-
-
 # ---- history and numbers
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 20")

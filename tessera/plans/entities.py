@@ -1,4 +1,7 @@
-"""Queries over people, addresses, contacts and stamps, and their SQL."""
+"""Queries over people, addresses, contacts and stamps, and their SQL.
+
+All run over the texts of documents and the Markdown of pages, with literal rows for what these hold too little of.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,8 @@ from tessera.functions import columns as C
 from tessera.functions import entities as E
 from tessera.functions import patterns as P
 from tessera.operators import provenance
-from tessera.plans.base import LINE, has, query, quoted, read, rows_of, sql_all, sql_fold, sql_squeeze, sql_trim, values
+from tessera.plans import catalog
+from tessera.plans.base import LINE, SQL, has, query, quoted, read, rows_of, sql_all, sql_fold, sql_squeeze, sql_trim, values
 
 DOCS = rows_of(
     (1, "https://acme.example/", "Acme Corp | Home", "en", "# Acme Corp¶¶Welcome to Acme, where we build precision optical sensors for factories.¶¶Address: 500 Howard Street, San Francisco, CA 94105¶press@acme.example, +1 (415) 555-0199¶¶- **Jane Doe** — Chief Executive Officer — jane@acme.example¶- **John Roe** - VP of Sales¶- **Products** — Chief Platform¶- **Jane Doe** — President¶"),
@@ -20,11 +24,30 @@ DOCS = rows_of(
     (7, "https://back.example/", "Back", "en", "We sit at 123 Somewhere far away¶"),
 )
 DOC_COLUMNS = "id, url, title, lang, md"
-_D = f"d AS (SELECT id, url, title, lang, replace(md, '{LINE}', chr(10)) AS md FROM (VALUES {DOCS}) t({DOC_COLUMNS}))"
+_D = f"""d AS (SELECT CAST(id AS VARCHAR) AS id, url, title, lang, replace(md, '{LINE}', chr(10)) AS md FROM (VALUES {DOCS}) t({DOC_COLUMNS})
+ UNION ALL SELECT 'd' || doc_id, '', '', coalesce(lang, 'en'), coalesce(text, '') FROM documents UNION ALL SELECT 'p' || page_id, url, {catalog.TITLE}, 'en', {catalog.MD} FROM pages)"""
+
+
+def docs(spark, sf_dir):
+    """(id, url, title, lang, md): literal rows, all documents (d<id>) and all pages as Markdown (p<id>)."""
+    rows = values(spark, DOCS, DOC_COLUMNS).select(F.col("id").cast("string").alias("id"), "url", "title", "lang", F.replace("md", F.lit(LINE), F.lit("\n")).alias("md"))
+    texts = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.lit("").alias("url"), F.lit("").alias("title"), F.coalesce("lang", F.lit("en")).alias("lang"), C.text(F.col("text")).alias("md"))
+    return rows.union(texts).union(page_docs(spark, sf_dir))
+
+
+def page_docs(spark, sf_dir):
+    html = F.col("html")
+    return read(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), "url", C.page_title(html).alias("title"), F.lit("en").alias("lang"), C.html_to_markdown(html).alias("md"))
+
+
+_LINES = "string_split(text, chr(10))"
+_L = f"l AS (SELECT 'd' || doc_id AS site, generate_subscripts({_LINES}, 1) AS pos, unnest({_LINES}) AS line FROM documents)"
 
 
-def docs(spark):
-    return values(spark, DOCS, DOC_COLUMNS).withColumn("md", F.replace("md", F.lit(LINE), F.lit("\n")))
+def lines(spark, sf_dir):
+    """(site, pos, line) of all documents."""
+    rows = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return rows.select("site", (F.col("pos") + 1).cast("long").alias("pos"), "line")
 
 
 # ---- people
@@ -58,30 +81,48 @@ NAMES = rows_of(*enumerate([
 ]))
 
 
-@query(f"SELECT id, {person('n')} AS is_person FROM (SELECT id, {sql_squeeze(f'replace(coalesce(name, {quoted(chr(32))}), {quoted('**')}, {quoted('')})')} AS n FROM (VALUES {NAMES}) t(id, name))")
+_NAMED = f"(SELECT CAST(id AS VARCHAR) AS id, name FROM (VALUES {NAMES}) t(id, name) UNION ALL SELECT site || ':' || pos, line FROM l)"
+
+
+def _names(spark, sf_dir):
+    """Literal names and every line of every document."""
+    given = values(spark, NAMES, "id, name").select(F.col("id").cast("string").alias("id"), "name")
+    return given.union(lines(spark, sf_dir).select(F.concat("site", F.lit(":"), "pos"), "line"))
+
+
+@query(f"WITH {_L} SELECT id, {person('n')} AS is_person FROM (SELECT id, {sql_squeeze(f'replace(coalesce(name, {quoted(chr(32))}), {quoted('**')}, {quoted('')})')} AS n FROM {_NAMED})")
 def exec_names(spark, sf_dir):
-    return values(spark, NAMES, "id, name").select("id", E.is_person(F.col("name")).alias("is_person"))
+    return _names(spark, sf_dir).select("id", E.is_person(F.col("name")).alias("is_person"))
 
 
-@query(f"SELECT id, {strict('n')} AS is_person FROM (SELECT id, {_plain('coalesce(name, chr(32))')} AS n FROM (VALUES {NAMES}) t(id, name))")
+@query(f"WITH {_L} SELECT id, {strict('n')} AS is_person FROM (SELECT id, {_plain('coalesce(name, chr(32))')} AS n FROM {_NAMED})")
 def exec_names_strict(spark, sf_dir):
-    return values(spark, NAMES, "id, name").select("id", E.is_person_strict(F.col("name")).alias("is_person"))
+    return _names(spark, sf_dir).select("id", E.is_person_strict(F.col("name")).alias("is_person"))
 
 
 PEOPLE = rows_of(
     (1, 1, "Jane Doe", "Chief Executive Officer"), (1, 2, "JANE DOE", "Founder"), (1, 3, "About Us", "Director"), (1, 4, "Max Roe", "Engineer"), (1, 5, "**Eva Moe**", "`VP` of  Sales"),
     (2, 1, "Products", "Chief"), (2, 2, "We're hiring", "CEO"), (2, 3, "Ann Lee", "Apply now, director"), (2, 4, "Ann Lee", "Geschäftsführerin"), (2, 5, "100+", "Director"), (2, 6, "Xu", "社長"), (2, 7, None, "CEO"),
 )
-_CLEAN = f"SELECT site, pos, {_plain('coalesce(name, chr(32))')} AS name, {_plain('coalesce(role, chr(32))')} AS role FROM (VALUES {PEOPLE}) t(site, pos, name, role)"
+_LISTED = f"""(SELECT CAST(site AS VARCHAR) AS site, pos, name, role FROM (VALUES {PEOPLE}) t(site, pos, name, role)
+ UNION ALL SELECT site, pos, CASE WHEN contains(line, ',') THEN left(line, strpos(line, ',') - 1) ELSE line END, CASE WHEN contains(line, ',') THEN substr(line, strpos(line, ',') + 1) END FROM l)"""
+_CLEAN = f"SELECT site, pos, {_plain('coalesce(name, chr(32))')} AS name, {_plain('coalesce(role, chr(32))')} AS role FROM {_LISTED}"
 
 
-@query(f"SELECT site, pos, name, role FROM ({_CLEAN}) WHERE {strict('name')} AND {role_ok('role')}")
+def _people(spark, sf_dir):
+    """Literal people, and every line of every document as a name and, after its first comma, a role."""
+    given = values(spark, PEOPLE, "site, pos, name, role").select(F.col("site").cast("string").alias("site"), F.col("pos").cast("long").alias("pos"), "name", "role")
+    part = lambda k: F.get(F.split("line", ",", 2), k)
+    return given.union(lines(spark, sf_dir).select("site", "pos", part(0), part(1)))
+
+
+@query(f"WITH {_L} SELECT site, pos, name, role FROM ({_CLEAN}) WHERE {strict('name')} AND {role_ok('role')}")
 def exec_sanitize(spark, sf_dir):
-    rows = values(spark, PEOPLE, "site, pos, name, role").select("site", "pos", E.executive(F.col("name"), F.col("role")).alias("e"))
+    rows = _people(spark, sf_dir).select("site", "pos", E.executive(F.col("name"), F.col("role")).alias("e"))
     return rows.filter("e is not null").select("site", "pos", "e.name", "e.role")
 
 
-@query(f"SELECT site, pos, name, role FROM (SELECT *, row_number() OVER (PARTITION BY site, lower(name) ORDER BY pos) AS n FROM ({_CLEAN}) WHERE {strict('name')} AND {role_ok('role')}) WHERE n = 1")
+@query(f"WITH {_L} SELECT site, pos, name, role FROM (SELECT *, row_number() OVER (PARTITION BY site, lower(name) ORDER BY pos) AS n FROM ({_CLEAN}) WHERE {strict('name')} AND {role_ok('role')}) WHERE n = 1")
 def record_validate(spark, sf_dir):
     from tessera.operators.records import first_of_each
 
@@ -89,13 +130,13 @@ def record_validate(spark, sf_dir):
     return first_of_each(rows, ["site", "low"], "pos").select("site", "pos", "name", "role")
 
 
-@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY site, lower(name) ORDER BY pos) AS n FROM ({_CLEAN}) WHERE name <> '')
+@query(f"""WITH {_L}, r AS (SELECT *, row_number() OVER (PARTITION BY site, lower(name) ORDER BY pos) AS n FROM ({_CLEAN}) WHERE name <> '')
 SELECT pos, name, role FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY site, pos) AS first FROM r) WHERE first = 1""")
 def exec_union(spark, sf_dir):
     """Executives of two records in one list: of equal names the first stays; who isn't valid isn't dropped."""
     from tessera.operators.records import first_of_each
 
-    rows = values(spark, PEOPLE, "site, pos, name, role").select("site", "pos", E.plain_name(F.col("name")).alias("name"), E.plain_name(F.col("role")).alias("role")).filter("name <> ''")
+    rows = _people(spark, sf_dir).select("site", "pos", E.plain_name(F.col("name")).alias("name"), E.plain_name(F.col("role")).alias("role")).filter("name <> ''")
     rows = rows.select(F.lower("name").alias("low"), F.struct("site", "pos").alias("at"), "pos", "name", "role")
     return first_of_each(rows, ["low"], "at").select("pos", "name", "role")
 
@@ -119,7 +160,7 @@ k AS (SELECT id, pass, pos, {_plain('name')} AS name, {_plain('role')} AS role,
 s AS (SELECT *, row_number() OVER (PARTITION BY id, lower(name) ORDER BY pass, pos) AS n FROM k WHERE {strict('name')} AND {role_ok('role')})
 SELECT id, name, role, email, CASE WHEN {has('role', P.ROLE_HINTS)} THEN 'high' ELSE 'medium' END AS confidence FROM s WHERE n = 1""")
 def exec_extract(spark, sf_dir):
-    return docs(spark).select("id", F.explode(E.executives(F.col("md"))).alias("e")).select("id", "e.*")
+    return docs(spark, sf_dir).select("id", F.explode(E.executives(F.col("md"))).alias("e")).select("id", "e.*")
 
 
 # ---- addresses
@@ -152,7 +193,7 @@ def _distinct_addresses(items):
 a AS (SELECT id, CASE WHEN len(found) > 0 THEN found ELSE back END AS found FROM f)
 SELECT id, coalesce(found[1], '') AS address, array_to_string({_distinct_addresses('found')}, ' | ') AS addresses FROM a""")
 def addresses_extract(spark, sf_dir):
-    rows = docs(spark).select("id", E.addresses_found(F.col("md")).alias("found"))
+    rows = docs(spark, sf_dir).select("id", E.addresses_found(F.col("md")).alias("found"))
     none = F.array().cast("array<string>")
     return rows.select("id", C.text(F.get("found", 0)).alias("address"), F.array_join(E.distinct_addresses(none, F.col("found")), " | ").alias("addresses"))
 
@@ -163,10 +204,47 @@ ADDRESSES = rows_of(
 )
 
 
-@query(f"SELECT id, array_to_string({sql_fold('list_concat(string_split(a, chr(124)), string_split(b, chr(124)))', 'CASE WHEN length({x}) < 8 THEN acc ELSE ' + _PUT.replace('{at}', _NEAR) + ' END')}, ' | ') AS addresses FROM (VALUES {ADDRESSES}) t(id, a, b)")
+_FOUND_IN = f"f AS (SELECT id, {_contained(_FOUND)} AS found, {_contained(_FALLBACK)} AS back FROM d), a AS (SELECT id, CASE WHEN len(found) > 0 THEN found ELSE back END AS found FROM f)"
+_TWICE = f"""g AS (SELECT CAST(id AS VARCHAR) AS id, list_filter(list_concat(string_split(a, chr(124)), string_split(b, chr(124))), lambda x: x <> '') AS every FROM (VALUES {ADDRESSES}) t(id, a, b)
+ UNION ALL SELECT id, list_concat(found, list_transform(found, lambda x: x || ', Earth')) FROM a WHERE len(found) > 0)"""
+
+
+@query(f"WITH {_D}, {_FOUND_IN}, {_TWICE} SELECT id, array_to_string({sql_fold('every', 'CASE WHEN length({x}) < 8 THEN acc ELSE ' + _PUT.replace('{at}', _NEAR) + ' END')}, ' | ') AS addresses FROM g")
 def addresses_dedup(spark, sf_dir):
+    """Two lists of addresses in one: literal lists, and what each document and page says, once as it stands and once with more after it."""
     given = lambda c: F.filter(F.split(c, r"\|"), lambda a: a != "")
-    return values(spark, ADDRESSES, "id, a, b").select("id", F.array_join(E.distinct_addresses(given("a"), given("b")), " | ").alias("addresses"))
+    rows = values(spark, ADDRESSES, "id, a, b").select(F.col("id").cast("string").alias("id"), given("a").alias("a"), given("b").alias("b"))
+    found = docs(spark, sf_dir).select("id", E.addresses_found(F.col("md")).alias("a")).filter("size(a) > 0")
+    rows = rows.union(found.select("id", "a", F.transform("a", lambda x: F.concat(x, F.lit(", Earth")))))
+    return rows.select("id", F.array_join(E.distinct_addresses(F.col("a"), F.col("b")), " | ").alias("addresses"))
+
+
+PAIRED = rows_of((1, 1, "500 Howard Street, San Francisco, CA 94105"), (1, 2, "500 Howard St, San Francisco CA 94105, USA"), (1, 3, "Friedrichstraße 123, 10117 Berlin"), (1, 4, "Tokyo 1-2-3"), (2, 5, "10117 Berlin"), (2, 6, "Berlin, 10117"), (2, 7, ""))
+_PLACED = f"q AS (SELECT 'x' || site AS site, id, address FROM (VALUES {PAIRED}) t(site, id, address) UNION ALL SELECT id, generate_subscripts(found, 1), unnest(found) FROM a)"
+
+
+def _placed(spark, sf_dir):
+    """(site, id, address): literal rows, and the addresses of every document and page, numbered."""
+    found = docs(spark, sf_dir).select(F.col("id").alias("site"), F.posexplode(E.addresses_found(F.col("md"))).alias("id", "address"))
+    given = values(spark, PAIRED, "site, id, address").select(F.concat(F.lit("x"), "site").alias("site"), F.col("id").cast("long").alias("id"), "address")
+    return given.union(found.select("site", (F.col("id") + 1).cast("long"), "address"))
+
+
+@query(f"WITH {_D}, {_FOUND_IN}, {_PLACED} SELECT site, id, array_to_string(list_sort({TOKENS.format('address')}), ' ') AS tokens FROM q")
+def address_tokens(spark, sf_dir):
+    return _placed(spark, sf_dir).select("site", "id", F.array_join(F.array_sort(C.address_tokens(F.col("address"))), " ").alias("tokens"))
+
+
+@query(f"""WITH {_D}, {_FOUND_IN}, {_PLACED}, z AS (SELECT site, id, {TOKENS.format('address')} AS t FROM q)
+SELECT x.site, x.id AS a, y.id AS b, CAST(len(list_intersect(x.t, y.t)) AS DOUBLE) / len(list_distinct(list_concat(x.t, y.t))) AS similarity FROM z x JOIN z y ON x.site = y.site AND x.id < y.id WHERE len(list_intersect(x.t, y.t)) > 0""")
+def address_jaccard(spark, sf_dir):
+    """Similarity of every two addresses of a text that share a token: their shared tokens counted, no pair formed without one."""
+    a = _placed(spark, sf_dir).select("site", "id", F.explode(C.address_tokens(F.col("address"))).alias("token"))
+    sizes = a.groupBy("site", "id").agg(F.count("*").alias("n"))
+    x, y = a.select("site", "token", F.col("id").alias("a")), a.select("site", "token", F.col("id").alias("b"))
+    both = x.join(y, ["site", "token"]).filter("a < b").groupBy("site", "a", "b").agg(F.count("*").alias("both"))
+    sized = both.join(sizes.withColumnsRenamed({"id": "a", "n": "na"}), ["site", "a"]).join(sizes.withColumnsRenamed({"id": "b", "n": "nb"}), ["site", "b"])
+    return sized.select("site", "a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
 
 
 # ---- contacts
@@ -175,23 +253,27 @@ def addresses_dedup(spark, sf_dir):
 SELECT id, CASE WHEN l = '' OR starts_with(l, 'http') THEN l ELSE 'https://' || l END AS linkedin, CASE WHEN x = '' OR starts_with(x, 'http') THEN x ELSE 'https://' || x END AS xing, wechat FROM l""")
 def social_extract(spark, sf_dir):
     md = F.col("md")
-    return docs(spark).select("id", E.profile_link(md, P.LINKEDIN).alias("linkedin"), E.profile_link(md, P.XING).alias("xing"), E.wechat(md).alias("wechat"))
+    return docs(spark, sf_dir).select("id", E.profile_link(md, P.LINKEDIN).alias("linkedin"), E.profile_link(md, P.XING).alias("xing"), E.wechat(md).alias("wechat"))
 
 
 @query(f"""WITH {_D}, n AS (SELECT id, {sql_trim("regexp_extract(md, '(?m)^#\\s+(.+)$', 1)")} AS h, {sql_trim("regexp_extract(title, '^([^|–—-]*)', 1)")} AS t FROM d),
 c AS (SELECT id, CASE WHEN h <> '' THEN h ELSE t END AS name FROM n) SELECT id, name AS legal_name FROM c WHERE {has('name', P.LEGAL_FORM)}""")
 def legal_name(spark, sf_dir):
     h1, title = C.trimmed(F.regexp_extract("md", r"(?m)^#\s+(.+)$", 1)), C.trimmed(F.regexp_extract("title", "^([^|–—-]*)", 1))
-    return docs(spark).select("id", F.when(h1 != "", h1).otherwise(title).alias("legal_name")).filter(C.matches(F.col("legal_name"), P.LEGAL_FORM))
+    return docs(spark, sf_dir).select("id", F.when(h1 != "", h1).otherwise(title).alias("legal_name")).filter(C.matches(F.col("legal_name"), P.LEGAL_FORM))
 
 
 MAILS = rows_of(*enumerate(["jobs@a.example", "career.team@a.example", "Billing@a.example", "pr@a.example", "presse@a.example", "wholesales@a.example", "helpdesk@a.example", "customer-care@a.example", "privacy@a.example", "info@a.example", "shr@a.example"]))
+_MAILED = sql_all("text", P.EMAIL)
 DEPARTMENT = " ".join(f"WHEN {has('u', p)} THEN {quoted(n)}" for n, p in P.DEPARTMENTS)
 
 
-@query(f"SELECT id, CASE {DEPARTMENT} ELSE 'general' END AS department FROM (SELECT id, string_split(lower(email), '@')[1] AS u FROM (VALUES {MAILS}) t(id, email))")
+@query(f"SELECT id, CASE {DEPARTMENT} ELSE 'general' END AS department FROM (SELECT id, string_split(lower(email), '@')[1] AS u FROM (SELECT CAST(id AS VARCHAR) AS id, email FROM (VALUES {MAILS}) t(id, email) UNION ALL SELECT 'd' || doc_id || ':' || generate_subscripts({_MAILED}, 1), unnest({_MAILED}) FROM documents))")
 def email_department(spark, sf_dir):
-    return values(spark, MAILS, "id, email").select("id", C.email_department(F.col("email")).alias("department"))
+    """Departments of literal addresses and of all addresses in documents."""
+    given = values(spark, MAILS, "id, email").select(F.col("id").cast("string").alias("id"), "email")
+    found = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(P.EMAIL), F.lit(0))).alias("pos", "email"))
+    return given.union(found.select(F.concat(F.lit("d"), "doc_id", F.lit(":"), F.col("pos") + 1), "email")).select("id", C.email_department(F.col("email")).alias("department"))
 
 
 _MASKED = f"regexp_replace(text, {quoted('([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+[.][A-Za-z]{2,})')}, {quoted(chr(92) + '1•••@' + chr(92) + '2')}, 'g')"
@@ -206,6 +288,24 @@ def pii_mask_text(spark, sf_dir):
 
 # ---- where values come from
 
+def _texts(pattern, kind):
+    text = sql_squeeze("regexp_replace(x, '<[^>]+>', '', 'g')")
+    return f"list_transform(list_filter(list_transform({sql_all('html', pattern, 1)}, lambda x: {text}), lambda x: x <> ''), lambda x: {{'kind': {kind}, 'text': x}})"
+
+
+_BLOCK = f"CASE WHEN {has('x', P.EMAIL)} THEN 'email' WHEN regexp_matches(x, {quoted(P.PHONE)}) AND length(x) < 40 THEN 'phone' WHEN length(x) < 220 AND {has('x', P.STAMP_ROLE_HINTS)} THEN 'person' ELSE '' END"
+
+
+_STAMPS_OF = f"""WITH l AS (SELECT page_id, list_filter(list_concat({_texts(provenance.HEADING, "'heading'")}, {_texts(provenance.MAIL_LINK, "'email'")}, {_texts(provenance.PHONE_LINK, "'phone'")}, {_texts(provenance.BLOCK, _BLOCK)}), lambda s: s.kind <> '') AS s FROM pages),
+u AS (SELECT page_id, unnest(s) AS s, generate_subscripts(s, 1) AS n FROM l)
+SELECT page_id, n, 'src-' || s.kind || '-' || n AS id, s.kind AS kind, substr(s.text, 1, 240) AS text FROM u"""
+
+
+@query(f"SELECT page_id, id, kind, text FROM ({_STAMPS_OF})")
+def sources_stamp(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.explode(provenance.stamps(F.col("html"))).alias("s")).select("page_id", "s.*")
+
+
 STAMPS = rows_of((1, 1, "s1", "heading", "Acme   Corp"), (1, 2, "s2", "email", "Write to press@acme.example"), (1, 3, "s3", "phone", "+1 (415) 555-0199"), (1, 4, "s4", "person", "Jane Doe"), (1, 5, "s5", "person", "Jane Doe — CEO"), (1, 6, "s6", "heading", "Acme Corp"), (2, 1, "t1", "heading", ""))
 WANTED = rows_of(
     (1, "company_name", "acme corp"), (1, "email", "press@acme.example"), (1, "phone", "+1 (415) 555-0199 ext 3"), (1, "person", "Jane Doe"), (1, "person", "Jane Doe CEO of all the offices"), (1, "address", "nowhere"),
@@ -214,22 +314,38 @@ WANTED = rows_of(
 _KINDS = " ".join(f"WHEN {quoted(k)} THEN {quoted(v[0])}" for k, v in (provenance.KINDS | {"person": ("person",)}).items())
 
 
-def _stamped(spark):
+_FIRST_MAIL = f"regexp_extract(coalesce(html, ''), {quoted(P.EMAIL)})"
+_ASKED = f"""(SELECT CAST(site AS VARCHAR) AS site, key, value FROM (VALUES {WANTED}) t(site, key, value) UNION ALL SELECT 'p' || page_id, 'company_name', company FROM ({SQL['company_extract']}) WHERE company <> ''
+ UNION ALL SELECT 'p' || page_id, 'person', {catalog.TITLE} FROM pages WHERE {catalog.TITLE} <> '' UNION ALL SELECT 'p' || page_id, 'email', {_FIRST_MAIL} FROM pages WHERE {_FIRST_MAIL} <> '')"""
+_STAMPED = f"(SELECT CAST(site AS VARCHAR) AS site, pos, id, kind, text FROM (VALUES {STAMPS}) t(site, pos, id, kind, text) UNION ALL SELECT 'p' || page_id, n, id, kind, text FROM ({_STAMPS_OF}))"
+
+
+def _stamped(spark, sf_dir):
+    """(site, key, value, sources): literal values, and the name, title and first e-mail of every page with its stamps."""
+    html = F.col("html")
+    pages = catalog.company_extract(spark, sf_dir).select("page_id", "company").join(read(spark, sf_dir, "pages"), "page_id")
+    asked = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("company_name", F.col("company")), ("person", C.page_title(html)), ("email", F.regexp_extract(html, P.EMAIL, 0)))])
+    own = pages.select(F.concat(F.lit("p"), "page_id").alias("site"), provenance.stamps(html).alias("sources"), F.filter(asked, lambda a: a["value"] != "").alias("asked"))
+    own = own.select("site", "sources", F.explode("asked").alias("a"))
+    return _given(spark).unionByName(own.select("site", "a.key", "a.value", "sources"))
+
+
+def _given(spark):
     rows = values(spark, STAMPS, "site, pos, id, kind, text").groupBy("site").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "kind", "text"))).alias("s"))  # stamps of a page
     rows = rows.select("site", F.transform("s", lambda x: F.struct(x["id"].alias("id"), x["kind"].alias("kind"), x["text"].alias("text"))).alias("sources"))
-    return values(spark, WANTED, "site, key, value").join(rows, "site", "left")
+    return values(spark, WANTED, "site, key, value").join(rows, "site", "left").withColumn("site", F.col("site").cast("string"))
 
 
-def _match(spark):
-    rows, out = _stamped(spark), None
+def _match(spark, sf_dir):
+    rows, out = _stamped(spark, sf_dir), None
     for key, kinds in (provenance.KINDS | {"person": ("person",)}).items():
         hit = provenance.match(F.col("sources"), F.col("value"), kinds)
         out = F.when(F.col("key") == key, hit) if out is None else out.when(F.col("key") == key, hit)
     return rows.withColumn("source_id", out.otherwise(provenance.match(F.col("sources"), F.col("value"))))
 
 
-_MATCH = f"""w AS (SELECT site, key, value, {sql_squeeze('lower(value)')} AS needle, CASE key {_KINDS} END AS kind FROM (VALUES {WANTED}) t(site, key, value)),
-s AS (SELECT site, pos, id, kind, {sql_squeeze('lower(text)')} AS hay FROM (VALUES {STAMPS}) t(site, pos, id, kind, text)),
+_MATCH = f"""w AS (SELECT site, key, value, {sql_squeeze('lower(value)')} AS needle, CASE key {_KINDS} END AS kind FROM {_ASKED}),
+s AS (SELECT site, pos, id, kind, {sql_squeeze('lower(text)')} AS hay FROM {_STAMPED}),
 m AS (SELECT w.site, w.key, w.value, s.id, s.pos, CASE WHEN hay = '' THEN 0 WHEN hay = needle THEN 4 WHEN contains(hay, needle) OR contains(needle, hay) THEN 2 WHEN length(left(needle, 48)) >= 4 AND contains(hay, left(needle, 48)) THEN 1 ELSE 0 END AS score
  FROM w JOIN s ON w.site = s.site AND (w.kind IS NULL OR w.kind = s.kind)),
 b AS (SELECT site, key, value, id FROM (SELECT *, row_number() OVER (PARTITION BY site, key, value ORDER BY score DESC, pos) AS n FROM m WHERE score > 0) WHERE n = 1)"""
@@ -237,38 +353,23 @@ b AS (SELECT site, key, value, id FROM (SELECT *, row_number() OVER (PARTITION B
 
 @query(f"WITH {_MATCH} SELECT w.site, w.key, w.value, coalesce(b.id, '') AS source_id FROM w LEFT JOIN b ON w.site = b.site AND w.key = b.key AND w.value = b.value")
 def source_match(spark, sf_dir):
-    return _match(spark).select("site", "key", "value", "source_id")
+    return _match(spark, sf_dir).select("site", "key", "value", "source_id")
 
 
 @query(f"WITH {_MATCH} SELECT w.site, w.key, w.value, b.id AS source_id, CASE WHEN b.id IS NOT NULL THEN w.value END AS source_snippet FROM w LEFT JOIN b ON w.site = b.site AND w.key = b.key AND w.value = b.value WHERE w.key NOT IN ('person', 'website')")
 def source_attach(spark, sf_dir):
     """Fields with the stamp that they come from and its snippet; both null where no stamp matches."""
-    rows = _match(spark).filter(~F.col("key").isin("person", "website")).withColumn("source_id", F.nullif("source_id", F.lit("")))
+    rows = _match(spark, sf_dir).filter(~F.col("key").isin("person", "website")).withColumn("source_id", F.nullif("source_id", F.lit("")))
     return rows.select("site", "key", "value", "source_id", F.when(F.col("source_id").isNotNull(), F.col("value")).alias("source_snippet"))
 
 
-@query(f"""WITH w AS (SELECT site, key, value, left({sql_squeeze('lower(value)')}, 80) AS needle, coalesce(CASE key {_KINDS} END, '') AS kind FROM (VALUES {WANTED}) t(site, key, value)),
-s AS (SELECT site, pos, id, kind, {sql_squeeze('lower(text)')} AS hay FROM (VALUES {STAMPS}) t(site, pos, id, kind, text)),
+@query(f"""WITH w AS (SELECT site, key, value, left({sql_squeeze('lower(value)')}, 80) AS needle, coalesce(CASE key {_KINDS} END, '') AS kind FROM {_ASKED}),
+s AS (SELECT site, pos, id, kind, {sql_squeeze('lower(text)')} AS hay FROM {_STAMPED}),
 m AS (SELECT w.site, w.key, w.value, s.id, s.pos, CASE WHEN hay = '' THEN 0 WHEN hay = needle THEN 3 + (w.kind = '' OR w.kind = s.kind)::INT WHEN contains(hay, needle) THEN 1 + (w.kind = '' OR w.kind = s.kind)::INT ELSE 0 END AS score FROM w JOIN s ON w.site = s.site)
 SELECT site, key, value, id AS source_id FROM (SELECT *, row_number() OVER (PARTITION BY site, key, value ORDER BY score DESC, pos) AS n FROM m WHERE score > 0) WHERE n = 1""")
 def snippet_match(spark, sf_dir):
     kind = F.lit("")
     for key, kinds in (provenance.KINDS | {"person": ("person",)}).items():
         kind = F.when(F.col("key") == key, kinds[0]).otherwise(kind)
-    rows = _stamped(spark).withColumn("source_id", provenance.snippet(F.coalesce("sources", F.expr(f"cast(array() as {provenance.STAMP})")), F.col("value"), kind))
+    rows = _stamped(spark, sf_dir).withColumn("source_id", provenance.snippet(F.coalesce("sources", F.expr(f"cast(array() as {provenance.STAMP})")), F.col("value"), kind))
     return rows.filter("source_id <> ''").select("site", "key", "value", "source_id")
-
-
-def _texts(pattern, kind):
-    text = sql_squeeze("regexp_replace(x, '<[^>]+>', '', 'g')")
-    return f"list_transform(list_filter(list_transform({sql_all('html', pattern, 1)}, lambda x: {text}), lambda x: x <> ''), lambda x: {{'kind': {kind}, 'text': x}})"
-
-
-_BLOCK = f"CASE WHEN {has('x', P.EMAIL)} THEN 'email' WHEN regexp_matches(x, {quoted(P.PHONE)}) AND length(x) < 40 THEN 'phone' WHEN length(x) < 220 AND {has('x', P.STAMP_ROLE_HINTS)} THEN 'person' ELSE '' END"
-
-
-@query(f"""WITH l AS (SELECT page_id, list_filter(list_concat({_texts(provenance.HEADING, "'heading'")}, {_texts(provenance.MAIL_LINK, "'email'")}, {_texts(provenance.PHONE_LINK, "'phone'")}, {_texts(provenance.BLOCK, _BLOCK)}), lambda s: s.kind <> '') AS s FROM pages),
-u AS (SELECT page_id, unnest(s) AS s, generate_subscripts(s, 1) AS n FROM l)
-SELECT page_id, 'src-' || s.kind || '-' || n AS id, s.kind AS kind, substr(s.text, 1, 240) AS text FROM u""")
-def sources_stamp(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.explode(provenance.stamps(F.col("html"))).alias("s")).select("page_id", "s.*")

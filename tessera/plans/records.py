@@ -187,7 +187,7 @@ def chunk_markdown(spark, sf_dir):
 @query(None)
 def chunk_mapreduce(spark, sf_dir):
     """Records of long documents: facts of every chunk, merged in order into an empty record."""
-    parts = entities.docs(spark).select(F.col("id").cast("string").alias("site"), "url", "title", "lang", F.posexplode(chunks.chunks(F.col("md"), 25)).alias("pos", "markdown"))
+    parts = entities.docs(spark, sf_dir).select(F.col("id").alias("site"), "url", "title", "lang", F.posexplode(chunks.chunks(F.col("md"), 25)).alias("pos", "markdown"))
     keyed = parts.withColumn("url", F.concat("url", F.lit("#"), "pos"))
     found = crawl.facts(keyed).join(keyed.select("site", "url", "pos"), ["site", "url"])
     rows = crawl.merged(found)
