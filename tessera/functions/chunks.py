@@ -26,7 +26,7 @@ def _fitted(text, chars):
     """A too long text by paragraphs, and what is still too long by length."""
     paragraphs = _packed(F.split(text, r"\n{2,}"), chars, lambda held, p, more: (F.length(held) + 2 + F.length(p) > chars) & (held != ""))
     trimmed = F.filter(F.transform(paragraphs, C.trimmed), lambda p: p != "")
-    pieces = lambda p: F.transform(F.sequence(F.lit(0), F.ceil(F.length(p) / chars).cast("int") - 1), lambda k: F.substring(p, k * chars + 1, F.lit(chars)))
+    pieces = lambda p: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))  # in one walk over the text
     return F.flatten(F.transform(trimmed, pieces))
 
 

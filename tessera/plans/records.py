@@ -71,15 +71,18 @@ def conflict_take(spark, sf_dir):
 
 
 FIELDS = rows_of((-1, "Acme", "Main St", "a@b.co", 1), (-2, "", "Main St", "a@b.co", 1), (-3, "Acme", "", "", 0), (-4, "Acme", "x", "y", 0))
-_STATE = f"f AS (SELECT * FROM (VALUES {FIELDS}) t(id, company, address, email, n_exec) UNION ALL SELECT page_id, company, '', '', 0 FROM ({SQL['company_extract']}))"
+_STATE = f"""f AS (SELECT * FROM (VALUES {FIELDS}) t(id, company, address, email, n_exec) UNION ALL SELECT page_id, company, coalesce(address, ''), regexp_extract({catalog.MD}, {quoted(P.EMAIL)}), coalesce(n, 0)
+ FROM ({SQL['company_extract']}) JOIN pages USING (page_id) LEFT JOIN ({SQL['addresses_extract']}) a ON a.id = 'p' || page_id LEFT JOIN (SELECT id, count(*) AS n FROM ({SQL['exec_extract']}) GROUP BY id) x ON x.id = 'p' || page_id)"""
 _LACKS = "CASE WHEN company = '' THEN 'company_name' END, CASE WHEN address = '' THEN 'address' END, CASE WHEN email = '' THEN 'email' END, CASE WHEN n_exec = 0 THEN 'executives' END"
 
 
 def _missing(spark, sf_dir):
-    pages = catalog.company_extract(spark, sf_dir).select(F.col("page_id").alias("id"), "company", F.lit("").alias("address"), F.lit("").alias("email"), F.lit(0).alias("n_exec"))
-    rows = values(spark, FIELDS, "id, company, address, email, n_exec").union(pages)
-    empty = {"company_name": F.col("company") == "", "address": F.col("address") == "", "email": F.col("email") == "", "executives": F.col("n_exec") == 0}
-    return rows.select(F.col("id").cast("long").alias("id"), records.missing_fields(empty).alias("missing"))
+    """(id, missing) of literal records and of what every page says of itself."""
+    given = values(spark, FIELDS, "id, company, address, email, n_exec").select(F.col("id").cast("long").alias("id"), (F.col("company") == "").alias("company_name"), (F.col("address") == "").alias("address"), (F.col("email") == "").alias("email"), (F.col("n_exec") == 0).alias("executives"))
+    docs = entities.page_docs(spark, sf_dir).select(F.col("id").alias("site"), "url", "title", "lang", F.col("md").alias("markdown"))
+    found = crawl.facts(docs).select(F.substring("site", 2, 20).cast("long").alias("id"), *[(~has).alias(k) for k, has in crawl.has_of().items()])
+    rows = given.unionByName(found)
+    return rows.select("id", records.missing_fields({k: F.col(k) for k in crawl.REQUIRED}).alias("missing"))
 
 
 @query(f"WITH {_STATE} SELECT id, company <> '' AND address <> '' AND email <> '' AND n_exec > 0 AS complete FROM f")
@@ -129,31 +132,48 @@ GRAPH = rows_of(
 GRAPH_COLUMNS = "site, url, title, lang, markdown, links"
 
 
-def graph(spark):
+def graph(spark, sf_dir=None):
+    """Documents of literal sites and, with ``sf_dir``, of all pages: a page stands for its canonical URL in its site (the least id)."""
     rows = values(spark, GRAPH, GRAPH_COLUMNS)
     link = lambda x: F.struct(F.get(F.split(x, r"\|"), 0).alias("href"), F.get(F.split(x, r"\|"), 1).alias("text"))
-    return rows.withColumns({"markdown": F.replace("markdown", F.lit(LINE), F.lit("\n")), "links": F.transform(F.filter(F.split("links", LINE), lambda x: x != ""), link)})
-
-
-def starts(spark):
-    return values(spark, rows_of(("a", "https://a.example"), ("b", "https://b.example"), ("c", "https://c.example")), "site, url")
+    rows = rows.withColumns({"markdown": F.replace("markdown", F.lit(LINE), F.lit("\n")), "links": F.transform(F.filter(F.split("links", LINE), lambda x: x != ""), link)})
+    if sf_dir is None:
+        return rows
+    url, html = F.col("url"), F.col("html")
+    pages = records.first_of_each(read(spark, sf_dir, "pages").select(C.url_origin(url).alias("site"), F.coalesce(C.canonical_url(url), url).alias("url"), F.col("url").alias("base"), "page_id", "html"), ["site", "url"], "page_id")
+    anchors = F.zip_with(F.regexp_extract_all(html, F.lit(P.ANCHOR), F.lit(1)), F.regexp_extract_all(html, F.lit(P.ANCHOR), F.lit(2)), lambda h, t: F.struct(C.resolve(C.trimmed(h), F.col("base")).alias("href"), C.squeezed(F.regexp_replace(t, "<[^>]+>", "")).alias("text")))
+    return rows.union(pages.select("site", "url", C.page_title(html), F.lit("en"), C.html_to_markdown(html), anchors))
+
+
+def starts(spark, sf_dir=None):
+    """The first page of every site."""
+    rows = values(spark, rows_of(("a", "https://a.example"), ("b", "https://b.example"), ("c", "https://c.example")), "site, url")
+    if sf_dir is None:
+        return rows
+    url = F.col("url")
+    first = read(spark, sf_dir, "pages").groupBy(C.url_origin(url).alias("site")).agg(F.min_by(F.coalesce(C.canonical_url(url), url), "page_id").alias("url"))
+    return rows.union(first)
 
 
-_EDGES = f"g AS (SELECT * FROM (VALUES {GRAPH}) t({GRAPH_COLUMNS})), e AS (SELECT site, url AS src, unnest(string_split(links, '{LINE}')) AS link FROM g), h AS (SELECT site, src, string_split(link, '|')[1] AS href FROM e WHERE link <> '')"
+_EDGES = f"""{catalog.LINKS.replace(catalog._PAGES, '(SELECT page_id, url, html FROM pages)')}, own AS (SELECT page_id, lower(regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1)) AS site, coalesce({catalog.sql_canonical('url')}, url) AS url FROM pages),
+first AS (SELECT site, url, min(page_id) AS page_id FROM own GROUP BY ALL), lit AS (SELECT * FROM (VALUES {GRAPH}) t({GRAPH_COLUMNS})), e AS (SELECT site, url AS src, unnest(string_split(links, '{LINE}')) AS link FROM lit),
+h AS (SELECT site, src, {catalog.sql_canonical('href')} AS canon FROM (SELECT site, src, string_split(link, '|')[1] AS href FROM e WHERE link <> '') UNION ALL SELECT f.site, f.url, href FROM links JOIN first f USING (page_id)),
+g AS (SELECT site, url FROM lit UNION ALL SELECT site, url FROM first)"""
 
 
-@query(f"WITH {_EDGES}, c AS (SELECT *, {catalog.sql_canonical('href')} AS canon FROM h) SELECT DISTINCT c.site, c.src, c.canon AS url, g.url IS NOT NULL AS found FROM c LEFT JOIN g ON c.site = g.site AND c.canon = g.url WHERE canon IS NOT NULL")
+@query(f"WITH {_EDGES} SELECT DISTINCT h.site, h.src, h.canon AS url, g.url IS NOT NULL AS found FROM h LEFT JOIN g ON h.site = g.site AND h.canon = g.url WHERE canon IS NOT NULL")
 def crawl_depth1(spark, sf_dir):
     """Links of every page that can be followed, and whether the target can be read."""
-    docs = graph(spark)
-    edges = docs.select("site", F.col("url").alias("src"), F.explode("links").alias("link")).select("site", "src", C.canonical_url(F.col("link.href")).alias("url")).filter("url is not null").distinct()
+    docs = graph(spark, sf_dir)
+    links = docs.select("site", F.col("url").alias("src"), F.explode("links").alias("link")).filter("link.href <> '' and not startswith(link.href, '#') and not startswith(link.href, 'javascript:')")
+    edges = links.select("site", "src", C.canonical_url(F.col("link.href")).alias("url")).filter("url is not null").distinct()
     return edges.join(docs.select("site", "url", F.lit(True).alias("found")), ["site", "url"], "left").select("site", "src", "url", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 @query(None)
 def crawl_heal(spark, sf_dir):
     """Records healed by following links, with the pages that were visited."""
-    visits = crawl.heal(starts(spark), graph(spark))
+    visits = crawl.heal(starts(spark, sf_dir), graph(spark, sf_dir))
     tried = visits.groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "url", "read"))), lambda v: F.concat(v["url"], F.when(v["read"], "").otherwise(" (unread)"))), " ").alias("visited"))  # a crawl's pages
     rows = crawl.merged(visits.filter("read")).join(tried, "site")
     return rows.select("site", "company_name", "address", "email", "phone", F.array_join(F.transform("executives", lambda e: e["name"]), ", ").alias("executives"), "visited")
@@ -161,13 +181,13 @@ def crawl_heal(spark, sf_dir):
 
 @query(None)
 def crawl_bfs(spark, sf_dir):
-    return crawl.walk(starts(spark), graph(spark), 3).select("site", F.col("place").cast("long").alias("place"), "url")
+    return crawl.walk(starts(spark, sf_dir), graph(spark, sf_dir), 3).select("site", F.col("place").cast("long").alias("place"), "url")
 
 
 @query(None)
 def run_events(spark, sf_dir):
     """What a healing crawl reports, in order: stages with their status and page."""
-    return crawl.events(crawl.heal(starts(spark), graph(spark)))
+    return crawl.events(crawl.heal(starts(spark, sf_dir), graph(spark, sf_dir)))
 
 
 # ---- chunks and prompts
@@ -175,12 +195,25 @@ def run_events(spark, sf_dir):
 TEXT = sql_trim("coalesce(text, '')")
 
 
-@query(f"""WITH t AS (SELECT doc_id, {TEXT} AS t FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '(?m)^#|\\n\\n')),
-c AS (SELECT doc_id, unnest(generate_series(0, CAST(ceil(length(t) / 800.0) AS INT) - 1)) AS pos, t FROM t WHERE t <> '')
-SELECT doc_id, pos, substr(t, CAST(pos * 800 + 1 AS BIGINT), 800) AS chunk FROM c""")
+SECTIONED = rows_of(
+    (-1, "# One¶" + "first part " * 60 + "¶## Two¶" + "second part " * 20 + "¶### Three¶" + "x" * 1700 + "¶¶" + "y " * 300 + "¶¶¶tail¶#### no heading of its own¶# Last¶end"),
+    (-2, "¶ short ¶"), (-3, "no heads¶¶" + "para " * 100 + "¶¶" + "para " * 100 + "¶¶" + "z" * 900), (-4, "# " + "a" * 799), (-5, ("# h¶" + "b" * 100 + "¶") * 12),
+)
+_FOLD_PARTS = "list_reduce(list_transform({parts}, lambda x: {{'done': CAST([] AS VARCHAR[]), 'held': x}}), lambda s, x: CASE WHEN {full} AND s.held <> '' THEN {{'done': list_append(s.done, s.held), 'held': x.held}} ELSE {{'done': s.done, 'held': CASE WHEN s.held = '' THEN x.held ELSE s.held || chr(10) || chr(10) || x.held END}} END)"
+_HEADS = f"""list_filter(list_transform(string_split(regexp_replace(t, '(?m)^(#{{1,3}}\\s)', chr(1) || '\\1', 'g'), chr(1)), lambda y: {sql_trim('y')}), lambda y: y <> '')"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, {TEXT} AS t FROM (SELECT doc_id, text FROM documents UNION ALL SELECT id, replace(text, '{LINE}', chr(10)) FROM (VALUES {SECTIONED}) v(id, text))),
+s AS (SELECT doc_id, {_FOLD_PARTS.format(parts=_HEADS, full="ceil((length(s.held) + 2 + length(x.held)) / 4.0) > 200")} AS f FROM d WHERE length(t) > 800),
+u AS (SELECT doc_id, generate_subscripts(list_append(f.done, f.held), 1) AS a, unnest(list_append(f.done, f.held)) AS t FROM s UNION ALL SELECT doc_id, 1, t FROM d WHERE length(t) BETWEEN 1 AND 800),
+p AS (SELECT doc_id, a, {_FOLD_PARTS.format(parts="CASE WHEN length(t) <= 800 THEN [t] ELSE string_split_regex(t, '\\n{{2,}}') END".replace('{{', '{').replace('}}', '}'), full="length(s.held) + 2 + length(x.held) > 800")} AS f FROM u),
+q AS (SELECT doc_id, a, generate_subscripts(list_append(f.done, f.held), 1) AS b, {sql_trim('unnest(list_append(f.done, f.held))')} AS t FROM p),
+c AS (SELECT doc_id, a, b, t, unnest(generate_series(0, CAST(ceil(length(t) / 800.0) AS INT) - 1)) AS k FROM q WHERE t <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b, k) - 1 AS pos, substr(t, CAST(k * 800 + 1 AS BIGINT), 800) AS chunk FROM c""")
 def chunk_markdown(spark, sf_dir):
-    """Chunks of 200 tokens of the documents without headings and blank lines (tests have those with)."""
-    rows = read(spark, sf_dir, "documents").filter(~C.text(F.col("text")).rlike(r"(?m)^#|\n\n"))
+    """Chunks of 200 tokens of all documents, and of literal texts with sections, paragraphs and long words."""
+    given = values(spark, SECTIONED, "doc_id, text").select(F.col("doc_id").cast("long").alias("doc_id"), F.replace("text", F.lit(LINE), F.lit("\n")).alias("text"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text").union(given)
     return rows.select("doc_id", F.posexplode(chunks.chunks(F.col("text"), 200)).alias("pos", "chunk")).select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
 
 
@@ -200,10 +233,11 @@ BUDGETS = rows_of((1, 4096, 1000), (2, 4096, None), (3, 600, 500), (4, 0, 10), (
 @query(f"SELECT id, CASE WHEN win > 0 THEN greatest(256, win - coalesce(used, 0) - 512) * 4 ELSE 32000 END AS chars, (SELECT CAST(sum(length(left(coalesce(text, ''), CASE WHEN win > 0 THEN greatest(256, win - coalesce(used, 0) - 512) * 4 ELSE 32000 END))) AS BIGINT) FROM documents) AS sent FROM (VALUES {BUDGETS}) t(id, win, used)")
 def prompt_budget(spark, sf_dir):
     """Characters that a model's window leaves, and what it would take of all documents."""
-    rows = values(spark, BUDGETS, "id, win, used").select("id", chunks.budget_chars(F.col("win"), F.col("used")).alias("chars"))
-    lengths = read(spark, sf_dir, "documents").select(F.length(C.text(F.col("text"))).alias("n"))
-    sent = rows.join(lengths, how="cross").groupBy("id", "chars").agg(F.sum(F.least("n", "chars")).alias("sent"))  # five literal rows
-    return sent.select("id", "chars", "sent")
+    budgets = values(spark, BUDGETS, "id, win, used").select("id", chunks.budget_chars(F.col("win"), F.col("used")).alias("chars")).collect()  # five literal rows
+    n = F.length(C.text(F.col("text")))
+    one = read(spark, sf_dir, "documents").agg(*[F.sum(F.least(n, F.lit(b["chars"]))).alias(f"sent_{b['id']}") for b in budgets])
+    each = F.array(*[F.struct(F.lit(b["id"]).alias("id"), F.lit(b["chars"]).alias("chars"), F.col(f"sent_{b['id']}").cast("long").alias("sent")) for b in budgets])
+    return one.select(F.inline(each))
 
 
 @query("SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) AS BIGINT) AS start, text FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
