@@ -357,21 +357,33 @@ _NUM_SQL = NUMBERS.replace("D)", "::DOUBLE)")
 _FINITE = "n IS NOT NULL AND NOT isnan(n) AND NOT isinf(n)"
 
 
-@query(f"SELECT id, CASE WHEN {_FINITE} THEN CAST(least(6, greatest(2, floor(n + 0.5))) AS INT) ELSE 4 END AS cap FROM (VALUES {_NUM_SQL}) t(id, n)")
+_ALL_NUMBERS = f"(SELECT CAST(id AS VARCHAR) AS id, n FROM (VALUES {_NUM_SQL}) t(id, n) UNION ALL SELECT 'e' || event_id, value FROM events)"
+
+
+def _numbers(spark, sf_dir):
+    """Literal numbers, odd ones too, and the values of all events."""
+    given = values(spark, NUMBERS, "id, n").select(F.col("id").cast("string").alias("id"), "n")
+    return given.union(read(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id"), "value"))
+
+
+@query(f"SELECT id, CASE WHEN {_FINITE} THEN CAST(least(6, greatest(2, floor(n + 0.5))) AS INT) ELSE 4 END AS cap FROM {_ALL_NUMBERS}")
 def page_cap(spark, sf_dir):
     n = F.col("n")
     finite = n.isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf"))
-    return values(spark, NUMBERS, "id, n").select("id", F.when(finite, F.least(F.lit(6), F.greatest(F.lit(2), F.floor(n + 0.5))).cast("int")).otherwise(4).alias("cap"))
+    return _numbers(spark, sf_dir).select("id", F.when(finite, F.least(F.lit(6), F.greatest(F.lit(2), F.floor(n + 0.5))).cast("int")).otherwise(4).alias("cap"))
 
 
-@query(f"SELECT id, CASE WHEN n < 0 OR NOT ({_FINITE}) THEN '' WHEN n < 1000 THEN CAST(CAST(floor(n + 0.5) AS BIGINT) AS VARCHAR) || ' ms' WHEN n >= 10000 THEN printf('%.1f s', n / 1000) ELSE printf('%.2f s', n / 1000) END AS shown FROM (VALUES {_NUM_SQL}) t(id, n)")
+@query(f"SELECT id, CASE WHEN n < 0 OR NOT ({_FINITE}) THEN '' WHEN n < 1000 THEN CAST(CAST(floor(n + 0.5) AS BIGINT) AS VARCHAR) || ' ms' WHEN n >= 10000 THEN printf('%.1f s', n / 1000) ELSE printf('%.2f s', n / 1000) END AS shown FROM {_ALL_NUMBERS}")
 def fmt_duration(spark, sf_dir):
-    return values(spark, NUMBERS, "id, n").select("id", C.duration(F.col("n")).alias("shown"))
+    return _numbers(spark, sf_dir).select("id", C.duration(F.col("n")).alias("shown"))
 
 
-@query("SELECT CAST(range AS INT) AS attempt, 250 * pow(2, range - 1) AS delay_ms FROM range(1, 4)")
+@query("SELECT user_id, event_id, CAST((n - 1) % 3 + 1 AS INT) AS attempt, 250 * pow(2, (n - 1) % 3) AS delay_ms FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'error')")
 def backoff_schedule(spark, sf_dir):
-    return spark.range(1, 4).select(F.col("id").cast("int").alias("attempt"), (F.lit(250) * F.pow(F.lit(2), F.col("id") - 1)).alias("delay_ms"))
+    """The wait before each retry: a user's errors in order are first, second and third attempts."""
+    rows = records.numbered(read(spark, sf_dir, "events").filter("event_type = 'error'").select("user_id", "event_id"), "user_id", "event_id")
+    attempt = ((F.col("number") - 1) % 3 + 1).cast("int")
+    return rows.select("user_id", "event_id", attempt.alias("attempt"), (F.lit(250) * F.pow(F.lit(2), attempt - 1)).alias("delay_ms"))
 
 
 # ---- roll-ups

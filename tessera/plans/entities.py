@@ -152,13 +152,16 @@ def _passes():
 _ROLE = sql_squeeze(r"regexp_replace(replace(role, '**', ''), '\s+[—–-]\s+\S+@\S+\s*$', '', 'g')")
 
 
-@query(f"""WITH {_D}, p AS ({_passes()}),
+PEOPLE_IN_ORDER = f"""WITH {_D}, p AS ({_passes()}),
 c AS (SELECT id, pass, pos, {sql_squeeze("replace(name, '**', '')")} AS name, {_ROLE} AS role, {sql_trim("coalesce(email, '')")} AS email FROM p
  WHERE (pass <> 1 OR NOT contains(whole, '**')) AND (pass <> 2 OR {has('trim(role)', P.ROLE_HINTS)})),
 k AS (SELECT id, pass, pos, {_plain('name')} AS name, {_plain('role')} AS role, email FROM c
  WHERE {person('name')} AND role <> '' AND length(role) <= 120 AND NOT ({has('name', P.ROLE_HINTS)} AND {_WORDS.replace('{0}', 'name')} = 1)),
 s AS (SELECT *, row_number() OVER (PARTITION BY id, lower(name) ORDER BY pass, pos) AS n FROM k WHERE {strict('name')} AND {role_ok('role')})
-SELECT id, name, role, email, CASE WHEN {has('role', P.ROLE_HINTS)} THEN 'high' ELSE 'medium' END AS confidence FROM s WHERE n = 1""")
+SELECT id, pass, pos, name, role, email, CASE WHEN {has('role', P.ROLE_HINTS)} THEN 'high' ELSE 'medium' END AS confidence FROM s WHERE n = 1"""
+
+
+@query(f"SELECT id, name, role, email, confidence FROM ({PEOPLE_IN_ORDER})")
 def exec_extract(spark, sf_dir):
     return docs(spark, sf_dir).select("id", F.explode(E.executives(F.col("md"))).alias("e")).select("id", "e.*")
 

@@ -271,13 +271,19 @@ ANSWERS = rows_of(
 )
 
 
-@query(f"""WITH a AS (SELECT id, {sql_trim(f"replace(coalesce(raw, ''), '{LINE}', chr(10))")} AS t FROM (VALUES {ANSWERS}) t(id, raw)),
+_ANSWER = "CASE event_type WHEN 'click' THEN props WHEN 'view' THEN 'Sure:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'Anything else?' WHEN 'error' THEN 'It is ' || props || ' I think' WHEN 'signup' THEN left(props, 5) ELSE '[' || props || ']' END"
+
+
+@query(f"""WITH a AS (SELECT id, {sql_trim("coalesce(raw, '')")} AS t FROM (SELECT CAST(id AS VARCHAR) AS id, replace(raw, '{LINE}', chr(10)) AS raw FROM (VALUES {ANSWERS}) t(id, raw) UNION ALL SELECT 'e' || event_id, {_ANSWER} FROM events)),
 c AS (SELECT id, [{sql_trim("regexp_extract(t, '(?is)```(?:json)?\\s*(.*?)```', 1)")}, regexp_extract(t, '(?s)(\\{{.*\\}})', 1), t] AS tries FROM a),
 o AS (SELECT id, list_filter(tries, lambda x: coalesce(json_valid(x) AND json_type(CASE WHEN json_valid(x) THEN x ELSE 'null' END) = 'OBJECT', false)) AS good FROM c)
-SELECT id, len(good) > 0 AS is_object, json_extract_string(good[1], '$.company_name') AS company_name FROM o""")
+SELECT id, len(good) > 0 AS is_object, json_extract_string(good[1], '$.company_name') AS company_name, json_extract_string(good[1], '$.k') AS k FROM o""")
 def json_recover(spark, sf_dir):
-    rows = values(spark, ANSWERS, "id, raw").select("id", payloads.recovered(F.replace("raw", F.lit(LINE), F.lit("\n"))).alias("v"))
-    return rows.select("id", F.col("v").isNotNull().alias("is_object"), F.try_variant_get("v", "$.company_name", "string").alias("company_name"))
+    """JSON objects out of literal answers and of answers that the properties of all events are put into, whole, fenced, in prose, cut off or in a list."""
+    given = values(spark, ANSWERS, "id, raw").select(F.col("id").cast("string").alias("id"), F.replace("raw", F.lit(LINE), F.lit("\n")).alias("raw"))
+    found = read(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id"), F.expr(_ANSWER))
+    rows = given.union(found).select("id", payloads.recovered(F.col("raw")).alias("v"))
+    return rows.select("id", F.col("v").isNotNull().alias("is_object"), F.try_variant_get("v", "$.company_name", "string").alias("company_name"), F.try_variant_get("v", "$.k", "string").alias("k"))
 
 
 PAYLOADS = rows_of(
@@ -288,9 +294,25 @@ PAYLOADS = rows_of(
 )
 
 
+#: A model's answer for an event: texts, numbers in place of texts, people with and without names, lists
+_PAYLOAD = """CASE event_type WHEN 'view' THEN '{"company_name": "User ' || user_id || ' Ltd", "email": "u' || user_id || '@shop.example", "props": ' || props || '}'
+ WHEN 'click' THEN '{"company_name": ' || user_id || ', "phone": "415-555-' || right('000' || user_id, 4) || '", "addresses": ["' || user_id || ' Main Street, Springfield", "' || user_id || ' Main Street Springfield"]}'
+ WHEN 'error' THEN '{"industry": "' || event_type || '", "executives": [{"name": "Jane Roe", "role": "CEO", "email": ' || user_id || '}, {"name": "Products"}, {"role": ' || user_id || '}]}'
+ WHEN 'signup' THEN '{"executives": ' || props || '}' ELSE props END"""
+_PERSON_OK = "json_type(x) = 'OBJECT' AND ((" + " AND ".join(f"(json_type(x, '$.{k}') IS NULL OR json_type(x, '$.{k}') = 'VARCHAR')" for k in payloads.PEOPLE[1:]) + ") OR trim(CASE WHEN json_type(x, '$.name') = 'VARCHAR' THEN json_extract_string(x, '$.name') ELSE '' END) = '')"
+_TYPED = " AND ".join(f"(json_type(raw, '$.{k}') IS NULL OR json_type(raw, '$.{k}') = 'VARCHAR')" for k in payloads.STRINGS)
+_ALL_PAYLOADS = f"(SELECT CAST(id AS VARCHAR) AS id, raw FROM (VALUES {PAYLOADS}) t(id, raw) UNION ALL SELECT 'e' || event_id, {_PAYLOAD} FROM events)"
+
+
+def _payloads(spark, sf_dir):
+    """Literal payloads and one made of every event."""
+    given = values(spark, PAYLOADS, "id, raw").select(F.col("id").cast("string").alias("id"), "raw")
+    return given.union(read(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id"), F.expr(_PAYLOAD)))
+
+
 @query(None)
 def payload_coerce(spark, sf_dir):
-    rows = values(spark, PAYLOADS, "id, raw").select("id", payloads.coerced(F.try_parse_json("raw")).alias("p"))
+    rows = _payloads(spark, sf_dir).select("id", payloads.coerced(F.try_parse_json("raw")).alias("p"))
     shown = lambda name, one: F.array_join(F.transform(f"p.{name}", one), " | ").alias(name)
     return rows.select(
         "id", F.coalesce("p.ok", F.lit(False)).alias("ok"), F.coalesce("p.reason", F.lit("not-object")).alias("reason"), *[f"p.{k}" for k in ("company_name", "industry", "address", "email", "phone", "linkedin", "wechat")],
@@ -299,20 +321,28 @@ def payload_coerce(spark, sf_dir):
     )
 
 
-@query(None)
+@query(f"""SELECT id, json_type(raw) = 'OBJECT' AND {_TYPED} AND (json_type(raw, '$.executives') IS NULL OR (json_type(raw, '$.executives') = 'ARRAY' AND len(list_filter(CAST(CASE WHEN json_type(raw, '$.executives') = 'ARRAY' THEN json_extract(raw, '$.executives') ELSE '[]' END AS JSON[]), lambda x: NOT ({_PERSON_OK}))) = 0)) AS ok FROM {_ALL_PAYLOADS}""")
 def payload_strict(spark, sf_dir):
-    return values(spark, PAYLOADS, "id, raw").select("id", payloads.strict(F.try_parse_json("raw")).alias("ok"))
+    return _payloads(spark, sf_dir).select("id", payloads.strict(F.try_parse_json("raw")).alias("ok"))
 
 
 HELD = rows_of((1, "company_name", "Acme", "medium"), (1, "email", "a@b.example", "high"), (1, "phone", "", "low"), (2, "company_name", "Beta", "high"))
 NEW = rows_of((1, "company_name", " Acme Corp "), (1, "email", "  "), (1, "phone", "415"), (3, "phone", "1"))
 
 
-@query(f"SELECT h.id, h.key, CASE WHEN trim(coalesce(n.value, '')) <> '' THEN trim(n.value) ELSE h.value END AS value, CASE WHEN trim(coalesce(n.value, '')) <> '' THEN 'high' ELSE h.confidence END AS confidence FROM (VALUES {HELD}) h(id, key, value, confidence) LEFT JOIN (VALUES {NEW}) n(id, key, value) ON h.id = n.id AND h.key = n.key")
+_HELD = f"(SELECT CAST(id AS VARCHAR) AS id, key, value, confidence FROM (VALUES {HELD}) t(id, key, value, confidence) UNION ALL SELECT 'p' || page_id, 'company_name', company, confidence FROM ({SQL['company_extract']}))"
+_NEW = f"(SELECT CAST(id AS VARCHAR) AS id, key, value FROM (VALUES {NEW}) t(id, key, value) UNION ALL SELECT 'p' || page_id, 'company_name', CASE WHEN length(title) > 60 THEN '' ELSE title || ' ' END FROM ({SQL['page_title']}))"
+
+
+@query(f"SELECT h.id, h.key, CASE WHEN trim(coalesce(n.value, '')) <> '' THEN trim(n.value) ELSE h.value END AS value, CASE WHEN trim(coalesce(n.value, '')) <> '' THEN 'high' ELSE h.confidence END AS confidence FROM {_HELD} h LEFT JOIN {_NEW} n ON h.id = n.id AND h.key = n.key")
 def model_overlay(spark, sf_dir):
-    """Cells of a record with a model's values laid over them; empty ones change nothing."""
-    new = values(spark, NEW, "id, key, value").select("id", "key", F.nullif(C.trimmed(F.col("value")), F.lit("")).alias("new"))
-    rows = values(spark, HELD, "id, key, value, confidence").join(new, ["id", "key"], "left")
+    """Cells of a record with a model's values laid over them; empty ones change nothing.  For pages the cell is
+    the company, the model's value the title, where it is short."""
+    title = F.when(F.length("title") > 60, "").otherwise(F.concat("title", F.lit(" ")))
+    pages = catalog.page_title(spark, sf_dir).select(F.concat(F.lit("p"), "page_id").alias("id"), F.lit("company_name").alias("key"), title.alias("value"))
+    new = values(spark, NEW, "id, key, value").withColumn("id", F.col("id").cast("string")).union(pages).select("id", "key", F.nullif(C.trimmed(F.col("value")), F.lit("")).alias("new"))
+    found = catalog.company_extract(spark, sf_dir).select(F.concat(F.lit("p"), "page_id").alias("id"), F.lit("company_name").alias("key"), F.col("company").alias("value"), "confidence")
+    rows = values(spark, HELD, "id, key, value, confidence").withColumn("id", F.col("id").cast("string")).union(found).join(new, ["id", "key"], "left")
     return rows.select("id", "key", F.coalesce("new", "value").alias("value"), F.when(F.col("new").isNotNull(), "high").otherwise(F.col("confidence")).alias("confidence"))
 
 
@@ -320,9 +350,14 @@ STATES = rows_of(*enumerate(["available", "Readily", " after-download ", "downlo
 _STATE_OF = "lower(trim(coalesce(value, '')))"
 
 
-@query(f"SELECT id, CASE WHEN {_STATE_OF} IN ('available', 'readily') THEN 'available' WHEN {_STATE_OF} IN ('downloadable', 'after-download') THEN 'downloadable' WHEN {_STATE_OF} = 'downloading' THEN 'downloading' WHEN {_STATE_OF} IN ('unavailable', 'no', 'none') THEN 'unavailable' WHEN {_STATE_OF} = '' THEN 'unknown' ELSE {_STATE_OF} END AS availability FROM (VALUES {STATES}) t(id, value)")
+_SAID = f"(SELECT CAST(id AS VARCHAR) AS id, value FROM (VALUES {STATES}) t(id, value) UNION ALL SELECT 'e' || event_id, CASE event_type WHEN 'view' THEN ' Readily' WHEN 'click' THEN 'downloadable' WHEN 'error' THEN 'NO' ELSE event_type END FROM events)"
+
+
+@query(f"SELECT id, CASE WHEN {_STATE_OF} IN ('available', 'readily') THEN 'available' WHEN {_STATE_OF} IN ('downloadable', 'after-download') THEN 'downloadable' WHEN {_STATE_OF} = 'downloading' THEN 'downloading' WHEN {_STATE_OF} IN ('unavailable', 'no', 'none') THEN 'unavailable' WHEN {_STATE_OF} = '' THEN 'unknown' ELSE {_STATE_OF} END AS availability FROM {_SAID}")
 def availability_enum(spark, sf_dir):
-    return values(spark, STATES, "id, value").select("id", payloads.availability(F.col("value")).alias("availability"))
+    """What a model says of itself: literal answers, and events as answers."""
+    found = read(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id"), F.expr("CASE event_type WHEN 'view' THEN ' Readily' WHEN 'click' THEN 'downloadable' WHEN 'error' THEN 'NO' ELSE event_type END"))
+    return values(spark, STATES, "id, value").withColumn("id", F.col("id").cast("string")).union(found).select("id", payloads.availability(F.col("value")).alias("availability"))
 
 
 # ---- cache
@@ -332,12 +367,18 @@ CELLS = rows_of(
     ("s1", "phone", "+1 415-555-0199", None, None, None, "x" * 200, False, False), ("s2", "email", "", "", "", "", None, None, None), ("s2", "email", "no-at", "low", "", "", "", False, False), ("s2", "address", None, "low", "u", "i", "1 Main St 415.555.0199", False, None),
 )
 CELL_COLUMNS = "site, key, value, confidence, source_url, source_id, source_snippet, dirty, verified"
-_SLIM = f"SELECT site, key, coalesce(value, '') AS value, coalesce(nullif(confidence, ''), 'low') AS confidence, coalesce(source_url, '') AS source_url, coalesce(source_id, '') AS source_id, substr({sql_squeeze("coalesce(source_snippet, '')")}, 1, 160) AS source_snippet, coalesce(dirty, false) AS dirty, coalesce(verified, false) AS verified FROM (VALUES {CELLS}) t({CELL_COLUMNS})"
+_CELLS = f"""SELECT * FROM (VALUES {CELLS}) t({CELL_COLUMNS}) UNION ALL SELECT 'd' || doc_id, 'email', regexp_extract(text, {quoted(P.EMAIL)}), NULL, NULL, NULL, text, NULL, NULL FROM documents
+ UNION ALL SELECT 'p' || page_id, 'company_name', company, confidence, url, NULL, {catalog.MD}, false, NULL FROM ({SQL['company_extract']}) JOIN pages USING (page_id)"""
+_SLIM = f"SELECT site, key, coalesce(value, '') AS value, coalesce(nullif(confidence, ''), 'low') AS confidence, coalesce(source_url, '') AS source_url, coalesce(source_id, '') AS source_id, substr({sql_squeeze("coalesce(source_snippet, '')")}, 1, 160) AS source_snippet, coalesce(dirty, false) AS dirty, coalesce(verified, false) AS verified FROM ({_CELLS})"
 
 
 @query(_SLIM)
 def cache_slim(spark, sf_dir):
-    return store.slim(values(spark, CELLS, CELL_COLUMNS))
+    """Literal cells, the first e-mail of every document with its text as the snippet, the company of every page with its Markdown."""
+    none = F.lit(None)
+    mails = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id"), F.lit("email"), F.regexp_extract("text", P.EMAIL, 0), none, none, none, "text", none.cast("boolean"), none.cast("boolean"))
+    pages = catalog.company_extract(spark, sf_dir).join(read(spark, sf_dir, "pages"), "page_id").select(F.concat(F.lit("p"), "page_id"), F.lit("company_name"), "company", "confidence", "url", none, C.html_to_markdown(F.col("html")), F.lit(False), none.cast("boolean"))
+    return store.slim(values(spark, CELLS, CELL_COLUMNS).union(mails).union(pages))
 
 
 _PHONES_MASKED = f"array_to_string(list_transform(string_split_regex(m, {quoted(P.PHONE)}), lambda r, i: r || coalesce(regexp_replace(regexp_extract_all(m, {quoted(P.PHONE)}, 0)[i], '[0-9]', '•', 'g'), '')), '')"
@@ -389,8 +430,16 @@ RECORDS = rows_of(
 RECORD_COLUMNS = "site, " + ", ".join(P.FIELDS) + ", addresses, phone_numbers, emails, executives"
 
 
-def company_records(spark):
+def company_records(spark, sf_dir=None):
+    """Literal records and, with ``sf_dir``, one of every page: company, description, addresses, first e-mail, website, people."""
     rows = values(spark, RECORDS, RECORD_COLUMNS)
+    if sf_dir is not None:
+        docs = entities.page_docs(spark, sf_dir).select(F.col("id").alias("site"), "url", "title", "lang", F.col("md").alias("markdown"))
+        found = crawl.facts(docs)
+        cell = lambda k: C.text(crawl.value_of(k)).alias(k)
+        people = F.array_join(F.transform("executives", lambda e: F.concat_ws("=", F.replace(e["name"], F.lit("="), F.lit(" ")), F.replace(e["role"], F.lit("="), F.lit(" ")), e["email"])), "|")
+        own = {k: cell(k) for k in ("company_name", "description", "address", "email", "website")}
+        rows = rows.union(found.select("site", *[own.get(k, F.lit("").alias(k)) for k in P.FIELDS], F.array_join("addresses", "|"), F.lit(""), F.lit(""), people))
     parts = lambda c: F.filter(F.split(c, r"\|"), lambda x: x != "")
     part = lambda x, k: C.text(F.get(F.split(x, "="), k))
     mail = lambda x: F.struct(part(x, 0).alias("email"), part(x, 1).alias("department"))
@@ -399,7 +448,10 @@ def company_records(spark):
     return rows.withColumns(lists).withColumns({"language": F.lit("en"), "pages_visited": F.array(F.concat(F.lit("https://"), "site")), "extracted_at": F.lit("2024-01-15T00:00:00.000Z")})
 
 
-_R = f"r AS (SELECT * FROM (VALUES {RECORDS}) t({RECORD_COLUMNS}))"
+_PEOPLE_OF = f"SELECT id, string_agg(replace(name, '=', ' ') || '=' || replace(role, '=', ' ') || '=' || email, '|' ORDER BY pass, pos) AS people FROM ({entities.PEOPLE_IN_ORDER}) GROUP BY id"
+_R = f"""r AS (SELECT * FROM (VALUES {RECORDS}) t({RECORD_COLUMNS}) UNION ALL SELECT 'p' || page_id, company, '', '', coalesce(description, ''), coalesce(address, ''), lower(regexp_extract({catalog.MD}, {quoted(P.EMAIL)})), '',
+ CASE WHEN {catalog.sql_origin('url')} <> '' THEN {catalog.sql_origin('url')} ELSE url END, '', '', '', replace(coalesce(addresses, ''), ' | ', '|'), '', '', coalesce(people, '')
+ FROM ({SQL['company_extract']}) JOIN pages USING (page_id) LEFT JOIN ({SQL['description_extract']}) USING (page_id) LEFT JOIN ({SQL['addresses_extract']}) a ON a.id = 'p' || page_id LEFT JOIN ({_PEOPLE_OF}) x ON x.id = 'p' || page_id)"""
 _LIST = "list_filter(string_split({}, '|'), lambda x: x <> '')"
 _MASK_MAIL = "CASE WHEN {0} = '' THEN '' WHEN contains({0}, '@') THEN left({0}, 1) || '•••@' || string_split({0}, '@')[2] ELSE '•••' END"
 _DOTS = "regexp_replace({}, '[0-9]', '•', 'g')"
@@ -419,7 +471,7 @@ def _sql_target(masked):
 
 @query(f"WITH {_R} {_sql_target(False)} UNION ALL {_sql_target(True)}")
 def export_target(spark, sf_dir):
-    rows = company_records(spark)
+    rows = company_records(spark, sf_dir)
     out = None
     for masked in (False, True):
         own = exports.target(rows, masked).select("site", F.lit(masked).alias("masked"), "company_name", "industry", "description", F.array_join("addresses", " | ").alias("addresses"), F.array_join("phone_numbers", " | ").alias("phone_numbers"), "email", "website", F.array_join(F.transform("executives", lambda e: F.concat_ws(", ", e["name"], e["role"])), " | ").alias("executives"))
@@ -439,7 +491,7 @@ _NUMBERS = f"CASE WHEN phone_numbers <> '' THEN {_LIST.format('phone_numbers')}
 
 @query(f"""WITH {_R} SELECT site, '{{' || {_js('company_name')} || ',' || {_js('industry')} || ',' || {_js('description')} || ',"addresses":' || {_TEXTS_JSON.format(_ADDRESSES.format('trim(address)'))} || ',"phone_numbers":' || {_TEXTS_JSON.format(_NUMBERS.format('trim(phone)'))} || ',' || {_js('email')} || ',' || {_js('website')} || ',"executives":' || {_PEOPLE_JSON.format(_LIST.format('executives'), '')} || '}}' AS json FROM r""")
 def export_json(spark, sf_dir):
-    return exports.target_json(company_records(spark))
+    return exports.target_json(company_records(spark, sf_dir))
 
 
 _EMAILS_JSON = f"""'[' || CASE WHEN emails <> '' THEN array_to_string(list_transform({_LIST.format('emails')}, lambda e: '{{"email":' || to_json(string_split(e, '=')[1])::VARCHAR || ',"department":' || to_json(string_split(e, '=')[2])::VARCHAR || '}}'), ',') WHEN email <> '' THEN '{{"email":' || to_json(email)::VARCHAR || ',"department":"general"}}' ELSE '' END || ']'"""
@@ -450,7 +502,7 @@ _MORE = ',"email":\' || to_json(string_split(e, \'=\')[3])::VARCHAR || \',"linke
  || ',' || {_js('phone')} || ',"phone_numbers":' || {_TEXTS_JSON.format(_NUMBERS.format('phone'))} || ',' || {_js('website')} || ',"social":{{' || {_js('linkedin')} || ',' || {_js('xing')} || ',' || {_js('wechat')} || '}},"executives":' || {_PEOPLE_JSON.format(_LIST.format('executives'), _MORE)}
  || ',"language":"en","pages_visited":["https://' || site || '"],"extracted_at":"2024-01-15T00:00:00.000Z"}}' AS json FROM r""")
 def export_full_json(spark, sf_dir):
-    return exports.full_json(company_records(spark))
+    return exports.full_json(company_records(spark, sf_dir))
 
 
 def _sql_cell(x):
@@ -465,7 +517,7 @@ def _sql_csv(masked):
 
 @query(f"WITH {_R} {_sql_csv(False)} UNION ALL {_sql_csv(True)}")
 def export_csv(spark, sf_dir):
-    rows = company_records(spark)
+    rows = company_records(spark, sf_dir)
     return exports.executives_csv(rows).withColumn("masked", F.lit(False)).unionByName(exports.executives_csv(rows, True).withColumn("masked", F.lit(True)))
 
 
@@ -474,4 +526,4 @@ _BULLETS = ", ".join(f"CASE WHEN {k} <> '' THEN '- **{label}**: ' || {_sql_value
 
 @query(f"WITH {_R} SELECT site, concat_ws(chr(10), '# ' || company_name, '', {_BULLETS}) AS markdown FROM r")
 def export_markdown(spark, sf_dir):
-    return exports.markdown(company_records(spark), True)
+    return exports.markdown(company_records(spark, sf_dir), True)

@@ -110,13 +110,13 @@ def test_chunk_mapreduce(spark):
 
 
 def test_payloads(spark):
-    got = {r.id: r for r in plans.QUERIES["payload_coerce"](spark, SF).collect()}
+    got = {int(r.id): r for r in plans.QUERIES["payload_coerce"](spark, SF).filter("id not like 'e%'").collect()}
     assert [(i, r.ok, r.reason) for i, r in sorted(got.items()) if not r.ok] == [(4, False, "not-object"), (5, False, "empty"), (7, False, "empty")]
     assert (got[1].company_name, got[1].industry, got[1].email, got[1].executives) == ("42", "", "", "")
     assert (got[2].address, got[2].phone, got[2].phone_numbers, got[2].emails) == ("1 Main Street, Springfield", "+1 415 555 0199", "+1 415 555 0199", "jobs@acme.example careers | b@acme.example board")
     assert (got[3].linkedin, got[3].wechat, got[3].executives) == ("https://linkedin.com/company/acme", "acme_wx", "Jane Doe, CEO, 7 | Custom Person, Gardener, ")
     assert (got[6].addresses, got[6].phone_numbers, got[6].emails) == ("x", "415-555-0199", "a@acme.example general")
-    assert table(spark, "payload_strict", "id", "ok") == [(1, False), (2, True), (3, False), (4, False), (5, True), (6, True), (7, True), (8, False), (9, True)]
+    assert [(int(i), ok) for i, ok in table(spark, "payload_strict", "id", "ok") if i[0] != "e"] == [(1, False), (2, True), (3, False), (4, False), (5, True), (6, True), (7, True), (8, False), (9, True)]
 
 
 def test_url_cases(spark):
