@@ -20,17 +20,48 @@ def _rank(conf):
     return F.when(conf == "high", 2).when(conf == "medium", 1).otherwise(0)
 
 
-def merge(observations: DataFrame) -> DataFrame:
+#: Places of a site and field that one task looks through at a time.
+RANGE = 4096
+
+
+def survivors(observations: DataFrame, width: int) -> DataFrame:
+    """The few observations of each range of ``width`` places of a site and field that can decide its cell.
+
+    Whatever the cell is before a range, its value and rank decide which observation takes it first: of those with
+    a higher rank the first, or where that has the cell's own value the first with another.  What follows the taker
+    inside the range follows from the taker alone, at most two more, as ranks rise.  So a range is stood
+    for by its first observation, by the first takers for each rank, and by what comes after these.
+    """
+    rank, pos, value = _rank(F.col("confidence")), F.col("pos"), F.col("value")
+    own = F.struct("pos", rank.alias("rank"), "value")
+    span = W.partitionBy("site", "key", "__range")
+    least = lambda on: F.min(F.when(on & (value != ""), own)).over(span)
+    above = lambda r: rank > r
+    after = lambda x: (pos > F.col(f"{x}.pos")) & (rank > F.col(f"{x}.rank")) & (value != F.col(f"{x}.value"))
+    rows = observations.withColumn("__range", F.floor(pos / width))
+    rows = rows.withColumns({"__start": F.min("pos").over(span), "__any": least(F.lit(True)), "__a0": least(above(0)), "__a1": least(above(1))})
+    rows = rows.withColumns({"__b0": least(above(0) & (value != F.col("__a0.value"))), "__b1": least(above(1) & (value != F.col("__a1.value"))), "__c": least(after("__any")), "__d": least(after("__a0"))})
+    rows = rows.withColumns({"__e": least(after("__b0")), "__f": least(after("__c"))})
+    keep = pos == F.col("__start")
+    for x in ("__any", "__a0", "__a1", "__b0", "__b1", "__c", "__d", "__e", "__f"):
+        keep = keep | F.coalesce(pos == F.col(f"{x}.pos"), F.lit(False))
+    return rows.filter(keep).select(*observations.columns)
+
+
+def merge(observations: DataFrame, width: int = RANGE) -> DataFrame:
     """(site, key, pos, value, confidence, source_url, dirty, verified): the cell of every site and key.
 
     An empty cell takes the first value and keeps its own verified mark; an equal value changes
-    nothing; a dirty or verified cell stays; else a higher confidence replaces the cell.  As there
-    are three confidences, a cell is taken or replaced three times at most.  Each of these steps
-    finds the first observation that can do so, an aggregate that combines before the shuffle, so no
-    site is gathered in one place, however many pages it has.
+    nothing; a dirty or verified cell stays; else a higher confidence replaces the cell.
+
+    Observations are thinned twice, in ranges of ``width`` places and of its square, to those that can decide anything
+    (``survivors``); only these meet by site and field, so that a site with very many pages is many tasks' work.
+    As there are three confidences, a cell is then taken or replaced three times at most.  Places of a
+    site and field are distinct.
     """
     keys = ["site", "key"]
-    seen = kept(observations.select("site", "key", *CELL, "dirty", "verified").withColumn("value", C.text(F.col("value"))), "observations")
+    rows = observations.select("site", "key", *CELL, "dirty", "verified").withColumn("value", C.text(F.col("value")))
+    seen = kept(survivors(survivors(rows, width), width * width), "observations")
     cell = seen.groupBy(*keys).agg(F.min_by(F.struct(*CELL, "dirty", "verified"), "pos").alias("cell"))
     for _ in range(3):
         now = seen.join(cell, keys)
@@ -43,10 +74,14 @@ def merge(observations: DataFrame) -> DataFrame:
     return cell.select(*keys, "cell.*")
 
 
-def conflicts(observations: DataFrame, merged: DataFrame | None = None) -> DataFrame:
-    """One row for each later value that a dirty or verified cell turned down (``merged``: what ``merge`` gave)."""
+def conflicts(observations: DataFrame, merged: DataFrame | None = None, width: int = RANGE) -> DataFrame:
+    """One row for each later value that a dirty or verified cell turned down (``merged``: what ``merge`` gave).
+
+    Locked cells go to the ranges of their site and field, so that observations meet them range by range."""
     cell = (merge(observations) if merged is None else merged).filter("dirty or verified").select("site", "key", F.col("value").alias("current"), F.col("pos").alias("since"))
-    late = observations.filter("coalesce(value, '') <> ''").join(cell, ["site", "key"]).filter("pos > since and value <> current")
+    rows = observations.filter("coalesce(value, '') <> ''").withColumn("__range", F.floor(F.col("pos") / width))
+    locked = rows.select("site", "key", "__range").distinct().join(cell, ["site", "key"])
+    late = rows.join(locked, ["site", "key", "__range"]).filter("pos > since and value <> current")
     labels = F.create_map(*[F.lit(x) for pair in P.FIELDS.items() for x in pair])
     return late.select("site", "key", F.try_element_at(labels, F.col("key")).alias("label"), "pos", "current", F.col("value").alias("incoming"), "source_url")
 
