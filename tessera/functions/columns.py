@@ -125,6 +125,22 @@ def resolve(href, base):
     return let(F.struct(href.alias("href"), base.alias("base")), of)
 
 
+#: Characters that a URL's path has only percent-encoded.
+UNSAFE = r"""[^!-~]|["<>`{}]"""
+
+
+def percent_encoded(path):
+    """A path with unsafe characters as the percent-encoded bytes of their UTF-8."""
+    each = F.transform(F.split(path, ""), lambda c: F.when(c.rlike(UNSAFE), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
+    return F.when(path.rlike(UNSAFE), F.array_join(each, "")).otherwise(path)
+
+
+def slashed(url):
+    """A web URL with its backslashes read as slashes, as far as query and fragment."""
+    head = F.regexp_extract(url, r"(?i)^(https?:[^?#]*)", 1)
+    return F.when(head.contains("\\"), F.concat(F.replace(head, F.lit("\\"), F.lit("/")), F.substring(url, F.length(head) + 1, F.length(url)))).otherwise(url)
+
+
 def url_path(url):
     return F.regexp_extract(url, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
 
@@ -134,7 +150,7 @@ def canonical_url(url):
     def of(u):
         query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
         kept = F.array_join(F.filter(F.split(query, "&"), lambda kv: (kv != "") & ~F.lower(F.substring_index(kv, "=", 1)).isin(*P.TRACKING)), "&")
-        path = undotted(F.lower(url_path(u)))
+        path = undotted(F.lower(let(url_path(u), percent_encoded)))
         return let(F.struct(url_origin(u).alias("origin"), path.alias("path"), kept.alias("kept")), judged)
 
     def judged(x):
@@ -149,7 +165,7 @@ def canonical_url(url):
         clean = F.concat(x["origin"], F.when(path == "", "/").otherwise(path), F.when(x["kept"] != "", F.concat(F.lit("?"), x["kept"])).otherwise(""))
         return F.when((x["origin"] != "") & let(segments, page), F.regexp_replace(clean, "/+$", ""))
 
-    return let(url, of)
+    return let(slashed(url), of)
 
 
 def fnv1a(col):

@@ -37,6 +37,11 @@ def _cases(col: str, cases, otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN coalesce({col} rlike {text(P.java(p))}, false) THEN {text(n)}" for n, p in cases) + f" ELSE {otherwise} END"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` over a value that is named once: a parameter used several times would be written out at each use."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 _HOST = "(?i)^https?://(?:[^/?#@]*@)?([^/?#]+)"
 #: name, parameters, result, body; each may use those above it
 SCALARS = [
@@ -45,27 +50,33 @@ SCALARS = [
     ("token_estimate", "t STRING", "BIGINT", "CAST(ceil(length(coalesce(t, '')) / 4.0) AS BIGINT)"),
     ("page_title", "html STRING", "STRING", f"squeezed(regexp_extract(html, {text('(?is)<title[^>]*>(.*?)</title>')}, 1))"),
     ("html_to_markdown", "html STRING", "STRING", f"trimmed({_steps('html', P.SANITIZE + P.MARKDOWN)})"),
-    ("host_of", "url STRING", "STRING", f"CASE WHEN lower(url) LIKE 'http://%' THEN regexp_replace(lower(regexp_extract(url, {text(_HOST)}, 1)), ':80$', '') ELSE regexp_replace(lower(regexp_extract(url, {text(_HOST)}, 1)), ':443$', '') END"),
-    ("url_origin", "url STRING", "STRING", f"CASE WHEN url rlike '(?i)^https?://' AND host_of(url) <> '' THEN concat(lower(regexp_extract(url, {text('(?i)^(https?)://')}, 1)), '://', host_of(url)) ELSE '' END"),
-    ("undotted", "p STRING", "STRING", f"""CASE WHEN p rlike {text(r'(?:^|/)[.]{1,2}(?:/|$)')} THEN concat(array_join(aggregate(split(p, '/'), cast(array() AS ARRAY<STRING>), (held, s) -> CASE WHEN s = '.' THEN held
- WHEN s = '..' THEN CASE WHEN size(held) > 1 THEN slice(held, 1, size(held) - 1) ELSE held END ELSE concat(held, array(s)) END), '/'), CASE WHEN p rlike {text(r'/[.]{1,2}$')} THEN '/' ELSE '' END) ELSE p END"""),
-    ("url_path", "url STRING", "STRING", f"undotted(lower(regexp_extract(url, {text('(?i)^https?://[^/?#]+([^?#]*)')}, 1)))"),
+    ("host_of", "url STRING", "STRING", _let("url", "u", f"CASE WHEN lower(u) LIKE 'http://%' THEN regexp_replace(lower(regexp_extract(u, {text(_HOST)}, 1)), ':80$', '') ELSE regexp_replace(lower(regexp_extract(u, {text(_HOST)}, 1)), ':443$', '') END")),
+    ("url_origin", "url STRING", "STRING", _let("struct(lower(regexp_extract(url, '(?i)^(https?)://', 1)) AS scheme, host_of(url) AS host)", "x", "CASE WHEN x.scheme <> '' AND x.host <> '' THEN concat(x.scheme, '://', x.host) ELSE '' END")),
+    ("undotted", "path STRING", "STRING", _let("path", "p", f"""CASE WHEN p rlike {text(r'(?:^|/)[.]{1,2}(?:/|$)')} THEN concat(array_join(aggregate(split(p, '/'), cast(array() AS ARRAY<STRING>), (held, s) -> CASE WHEN s = '.' THEN held
+ WHEN s = '..' THEN CASE WHEN size(held) > 1 THEN slice(held, 1, size(held) - 1) ELSE held END ELSE concat(held, array(s)) END), '/'), CASE WHEN p rlike {text(r'/[.]{1,2}$')} THEN '/' ELSE '' END) ELSE p END""")),
+    ("percent_encoded", "path STRING", "STRING", _let("path", "p", f"CASE WHEN p rlike {text(C.UNSAFE)} THEN array_join(transform(split(p, ''), c -> CASE WHEN c rlike {text(C.UNSAFE)} THEN replace(url_encode(c), '+', '%20') ELSE c END), '') ELSE p END")),
+    ("slashed", "url STRING", "STRING", _let("url", "u", f"CASE WHEN contains(u, {text(chr(92))}) AND lower(u) LIKE 'http%' THEN concat(replace(regexp_extract(u, '^([^?#]*)', 1), {text(chr(92))}, '/'), regexp_extract(u, '^[^?#]*(.*)$', 1)) ELSE u END")),
+    ("url_path", "url STRING", "STRING", f"undotted(lower(percent_encoded(regexp_extract(url, {text('(?i)^https?://[^/?#]+([^?#]*)')}, 1))))"),
     ("url_query", "url STRING", "STRING", f"array_join(filter(split(regexp_extract(url, {text(r'^[^?#]*[?]([^#]*)')}, 1), '&'), kv -> kv <> '' AND lower(substring_index(kv, '=', 1)) NOT IN ({', '.join(map(text, P.TRACKING))})), '&')"),
-    ("last_segment", "p STRING", "STRING", "coalesce(get(filter(split(p, '/'), s -> s <> ''), size(filter(split(p, '/'), s -> s <> '')) - 1), '')"),
-    ("is_page_path", "p STRING", "BOOLEAN", f"""CASE WHEN last_segment(p) LIKE '%.%' THEN substring_index(last_segment(p), '.', -1) ELSE '' END NOT IN ({', '.join(map(text, P.ASSETS))}) AND NOT coalesce(p rlike {text(P.java(P.PATH_TRAP))}, false)
- AND NOT (size(filter(split(p, '/'), s -> s <> '')) > 3 AND size(array_distinct(filter(split(p, '/'), s -> s <> ''))) < size(filter(split(p, '/'), s -> s <> '')) / 1.5)"""),
-    ("canonical_url", "url STRING", "STRING", "CASE WHEN url_origin(url) <> '' AND is_page_path(url_path(url)) THEN regexp_replace(concat(url_origin(url), CASE WHEN url_path(url) = '' THEN '/' ELSE url_path(url) END, CASE WHEN url_query(url) <> '' THEN concat('?', url_query(url)) ELSE '' END), '/+$', '') END"),
-    ("resolve_url", "href STRING, base STRING", "STRING", f"""CASE WHEN href rlike {text('(?i)^[a-z][a-z0-9+.-]*:')} THEN href WHEN startswith(href, '//') THEN concat(regexp_extract(base, '(?i)^(https?:)', 1), href) WHEN startswith(href, '/') THEN concat(url_origin(base), href)
- WHEN startswith(href, '?') THEN concat(regexp_extract(base, '^([^?#]*)', 1), href) ELSE concat(rtrim('/', regexp_extract(base, {text('(?i)^(https?://[^/?#]+(?:/[^?#]*/|/)?)')}, 1)), '/', href) END"""),
+    ("canonical_from", "parts STRUCT<origin STRING, path STRING, query STRING>", "STRING", _let("parts", "x", _let("filter(split(x.path, '/'), s -> s <> '')", "segments", f"""CASE WHEN x.origin <> '' AND CASE WHEN coalesce(get(segments, size(segments) - 1), '') LIKE '%.%' THEN substring_index(get(segments, size(segments) - 1), '.', -1) ELSE '' END NOT IN ({', '.join(map(text, P.ASSETS))})
+ AND NOT coalesce(x.path rlike {text(P.java(P.PATH_TRAP))}, false) AND NOT (size(segments) > 3 AND size(array_distinct(segments)) < size(segments) / 1.5)
+ THEN regexp_replace(concat(x.origin, CASE WHEN x.path = '' THEN '/' ELSE x.path END, CASE WHEN x.query <> '' THEN concat('?', x.query) ELSE '' END), '/+$', '') END"""))),
+    ("canonical_of", "url STRING", "STRING", "canonical_from(struct(url_origin(url) AS origin, url_path(url) AS path, url_query(url) AS query))"),
+    ("canonical_url", "url STRING", "STRING", "canonical_of(slashed(url))"),
+    ("resolve_in", "x STRUCT<href STRING, base STRING, origin STRING>", "STRING", _let("x", "r", f"""CASE WHEN r.href rlike {text('(?i)^[a-z][a-z0-9+.-]*:')} THEN r.href WHEN startswith(r.href, '//') THEN concat(regexp_extract(r.base, '(?i)^(https?:)', 1), r.href) WHEN startswith(r.href, '/') THEN concat(r.origin, r.href)
+ WHEN startswith(r.href, '?') THEN concat(regexp_extract(r.base, '^([^?#]*)', 1), r.href) ELSE concat(rtrim('/', regexp_extract(r.base, {text('(?i)^(https?://[^/?#]+(?:/[^?#]*/|/)?)')}, 1)), '/', r.href) END""")),
+    ("resolve_url", "href STRING, base STRING", "STRING", "resolve_in(struct(href AS href, base AS base, url_origin(base) AS origin))"),
     ("valid_email", "e STRING", "BOOLEAN", f"coalesce(e rlike {text(P.java(f'^{P.EMAIL}$'))}, false) AND NOT coalesce(e rlike {text(P.java(P.NO_REPLY))}, false) AND NOT coalesce(e rlike {text(P.java(P.PLACEHOLDER))}, false)"),
     ("email_department", "e STRING", "STRING", _cases("substring_index(lower(e), '@', 1)", P.DEPARTMENTS, "'general'")),
-    ("mask_email", "e STRING", "STRING", "CASE WHEN coalesce(get(split(e, '@'), 1), '') <> '' THEN concat(CASE WHEN locate('@', e) > 1 THEN left(e, 1) ELSE '' END, '•••@', get(split(e, '@'), 1)) WHEN e = '' THEN '' ELSE '•••' END"),
+    ("mask_email", "email STRING", "STRING", _let("email", "e", "CASE WHEN coalesce(get(split(e, '@'), 1), '') <> '' THEN concat(CASE WHEN locate('@', e) > 1 THEN left(e, 1) ELSE '' END, '•••@', get(split(e, '@'), 1)) WHEN e = '' THEN '' ELSE '•••' END")),
 ]
 _ALL = lambda group: f"regexp_extract_all(html, {text(P.ANCHOR)}, {group})"
 #: name, parameters, result, query
 TABLES = [
-    ("links_of", "html STRING, url STRING", "pos BIGINT, href STRING, text STRING", f"""SELECT CAST(pos AS BIGINT), canonical_url(resolve_url(trimmed(a.href), url)), squeezed(regexp_replace(a.text, '<[^>]+>', ''))
- FROM posexplode(zip_with({_ALL(1)}, {_ALL(2)}, (h, t) -> named_struct('href', h, 'text', t))) AS t(pos, a) WHERE trimmed(a.href) <> '' AND NOT startswith(trimmed(a.href), 'javascript:') AND NOT startswith(trimmed(a.href), '#') AND canonical_url(resolve_url(trimmed(a.href), url)) IS NOT NULL"""),
+    ("links_of", "html STRING, url STRING", "pos BIGINT, href STRING, text STRING", f"""SELECT CAST(pos AS BIGINT), href, text FROM (
+ SELECT pos, canonical_url(resolve_url(trimmed(a.href), url)) AS href, squeezed(regexp_replace(a.text, '<[^>]+>', '')) AS text
+ FROM posexplode(zip_with({_ALL(1)}, {_ALL(2)}, (h, t) -> named_struct('href', h, 'text', t))) AS t(pos, a) WHERE trimmed(a.href) <> '' AND NOT startswith(trimmed(a.href), 'javascript:') AND NOT startswith(trimmed(a.href), '#'))
+ WHERE href IS NOT NULL"""),
     ("emails_of", "t STRING", "pos BIGINT, email STRING, department STRING", f"SELECT CAST(pos AS BIGINT), lower(e), email_department(e) FROM posexplode(regexp_extract_all(t, {text(P.EMAIL)}, 0)) AS x(pos, e) WHERE valid_email(e)"),
     ("phones_of", "t STRING", "pos BIGINT, phone STRING", f"SELECT CAST(pos AS BIGINT), trimmed(p) FROM posexplode(regexp_extract_all(t, {text(P.PHONE)}, 0)) AS x(pos, p) WHERE length(trimmed(p)) >= 7"),
 ]

@@ -103,6 +103,13 @@ def sql_origin(url: str) -> str:
 _DOTTED = sql_fold("string_split(raw_path, '/')", "CASE WHEN {x} = '.' THEN acc WHEN {x} = '..' THEN CASE WHEN len(acc) > 1 THEN acc[1:len(acc) - 1] ELSE acc END ELSE list_append(acc, {x}) END")
 
 
+_UNSAFE = quoted(C.UNSAFE)
+
+
+def sql_encoded(path: str) -> str:
+    return f"CASE WHEN regexp_matches({path}, {_UNSAFE}) THEN array_to_string(list_transform(string_split({path}, ''), lambda c: CASE WHEN regexp_matches(c, {_UNSAFE}) THEN url_encode(c) ELSE c END), '') ELSE {path} END"
+
+
 def sql_canonical(url: str) -> str:
     """A scalar subquery; ``url`` must be an absolute URL column."""
     assets, tracking = ", ".join(map(quoted, P.ASSETS)), ", ".join(map(quoted, P.TRACKING))
@@ -110,14 +117,14 @@ def sql_canonical(url: str) -> str:
  AND NOT {has('path', P.PATH_TRAP)} AND NOT (len(segs) > 3 AND len(list_distinct(segs)) < len(segs) / 1.5)
  THEN regexp_replace(o || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END, '/+$', '') END
  FROM (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM (SELECT *, CASE WHEN regexp_matches(raw_path, '(^|/)[.][.]?(/|$)') THEN array_to_string({_DOTTED}, '/') || CASE WHEN regexp_matches(raw_path, '/[.][.]?$') THEN '/' ELSE '' END ELSE raw_path END AS path
- FROM (SELECT {sql_origin(url)} AS o, lower(regexp_extract({url}, '(?i)^https?://[^/?#]+([^?#]*)', 1)) AS raw_path,
+ FROM (SELECT {sql_origin(url)} AS o, lower({sql_encoded(f"regexp_extract({url}, '(?i)^https?://[^/?#]+([^?#]*)', 1)")}) AS raw_path,
  array_to_string(list_filter(string_split(regexp_extract({url}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda kv: kv <> '' AND lower(string_split(kv, '=')[1]) NOT IN ({tracking})), '&') AS kept))))"""
 
 
 URLS = rows_of(
     (-1, "HTTPS://Example.COM/About/"), (-2, "https://example.com/contact?utm_source=google&fbclid=xyz#top"), (-3, "https://example.com/team?session_id=12345"), (-4, "https://example.com/locations?lang=en"),
     (-5, "https://example.com/a.pdf"), (-6, "https://example.com/style.css"), (-7, "https://example.com/catalog/category/catalog/category/catalog/category"), (-8, "http://user:pw@Example.com:80/a/./b/../c/"),
-    (-9, "https://example.com:443/x/.."), (-10, "https://example.com:8443/research/paper"), (-11, "mailto:a@example.com"), (-12, "https://example.com"),
+    (-9, "https://example.com:443/x/.."), (-10, "https://example.com:8443/research/paper"), (-11, "mailto:a@example.com"), (-12, "https://example.com"), (-13, "https://example.com/Über uns/a{b}?q=ü"), (-14, "https://example.com/日本/😀"),
 )
 
 

@@ -134,6 +134,7 @@ def test_url_cases(spark):
     }
     # End of fixed values
     cases |= {"http://u:p@example.com:80/a/./b/../c/": "http://example.com/a/c", "https://example.com:443/x/..": "https://example.com", "https://example.com/researching": "https://example.com/researching", "https://example.com/research": None}
+    cases |= {"https:\\\\example.com\\Team\\a?x=\\b": "https://example.com/team/a?x=\\b", "https://example.com/a b/Ü": "https://example.com/a%20b/%c3%9c", "https://example.com/%C3%BC": "https://example.com/%c3%bc"}
     df = spark.createDataFrame([(k,) for k in cases], "u string").select("u", C.canonical_url(F.col("u")).alias("c"))
     assert {r.u: r.c for r in df.collect()} == cases
 

@@ -5,7 +5,7 @@ import pytest
 from tessera.functions import columns as C
 from tessera.functions import sql
 
-ODD = [None, "", "HTTPS://User@Example.COM:443/A/../b/./c/..", "http://x.example:80", "http://x.example:8080/a.PDF?x=1", "https://y.example/login", "ftp://z", "https://z.example/a/a/a/a/b", "https://z.example/?utm_source=1&q=ü&ref=2#f", "mailto:jobs@a.example", "Jobs@a.example", "noreply@a.example", "@b", "a@", "x" * 50, "<title> T\n　U </title><h1>x</h1><p>y &amp; z", "  a  b \t"]
+ODD = [None, "", "HTTPS://User@Example.COM:443/A/../b/./c/..", "http://x.example:80", "http://x.example:8080/a.PDF?x=1", "https://y.example/login", "ftp://z", "https://z.example/a/a/a/a/b", "https://z.example/?utm_source=1&q=ü&ref=2#f", "mailto:jobs@a.example", "https:\\\\b.example\\Ä b\\c?x\\y", "https://c.example/😀/{x}", "Jobs@a.example", "noreply@a.example", "@b", "a@", "x" * 50, "<title> T\n　U </title><h1>x</h1><p>y &amp; z", "  a  b \t"]
 
 
 def test_scalars(spark):
