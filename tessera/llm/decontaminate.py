@@ -12,7 +12,8 @@ stays whole, and its hash is their seed.
 
 Tokens are runs of letters and digits, lower-cased.  Null and empty texts match nothing, nor do items
 without a token.  Documents are told apart by doc_id, null or not, and by their text: rows that repeat
-both give one result, rows that repeat only the id one each.  The result has one row for each document
+both give one result, rows that repeat only the id one each.  Items are told apart likewise, by item_id, null or
+not, and text: an id with two texts is two items.  The result has one row for each document
 and item that overlap, with key, the hash of the document's text.
 """
 
@@ -55,15 +56,15 @@ def _runs(rows: DataFrame, keys: list[str], lengths: list[int] = ()) -> DataFram
 
 
 def _item_seeds(known: DataFrame) -> DataFrame:
-    """(item_id, item_pos, seed, n): of windows the seeds under all masks, of shorter items those of their parts (n tokens)."""
-    long_items = _runs(known.filter(F.size("tokens") >= WINDOW), ["item_id"])
-    masked = long_items.select("item_id", F.col("pos").alias("item_pos"), F.explode(F.array(*[f"mask{m}" for m in range(len(MASKS))])).alias("seed"), F.lit(0).alias("n")).filter("seed is not null")
+    """(item, item_pos, seed, n): of windows the seeds under all masks, of shorter items those of their parts (n tokens)."""
+    long_items = _runs(known.filter(F.size("tokens") >= WINDOW), ["item"])
+    masked = long_items.select("item", F.col("pos").alias("item_pos"), F.explode(F.array(*[f"mask{m}" for m in range(len(MASKS))])).alias("seed"), F.lit(0).alias("n")).filter("seed is not null")
     n = F.size("tokens")
     cuts = n - F.ceil(n * SHARE).cast("int") + 1
     begin = lambda k: F.floor(k * n / cuts).cast("int")
     part = lambda k: F.struct(begin(k).alias("at"), F.slice(F.col("tokens"), begin(k) + 1, begin(k + 1) - begin(k)).alias("own"))
-    parts = known.filter((n > 0) & (n < WINDOW)).select("item_id", F.explode(F.transform(F.sequence(F.lit(0), cuts - 1), part)).alias("p"))
-    whole = parts.select("item_id", F.col("p.at").alias("item_pos"), F.xxhash64(-F.size("p.own"), F.col("p.own")).alias("seed"), F.size("p.own").alias("n"))
+    parts = known.filter((n > 0) & (n < WINDOW)).select("item", F.explode(F.transform(F.sequence(F.lit(0), cuts - 1), part)).alias("p"))
+    whole = parts.select("item", F.col("p.at").alias("item_pos"), F.xxhash64(-F.size("p.own"), F.col("p.own")).alias("seed"), F.size("p.own").alias("n"))
     return masked.unionByName(whole)
 
 
@@ -71,7 +72,8 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     """doc_id, key, item_id, matched (agreeing tokens), aligned (item tokens inside the document), offset
     (the document token where the item's first token lies) for every overlap."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").withColumn("key", F.xxhash64("text"))
-    known = items.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("tokens"))
+    named = items.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    known = named.select(F.xxhash64(F.to_json(F.struct("item_id")), "text").alias("item"), "item_id", tokens(F.col("text")).alias("tokens")).dropDuplicates(["item"])
     stage = Stage(docs.sparkSession)
     seeds = stage.keep(_item_seeds(known), "seeds")
     n_seeds, lengths = seeds.count(), sorted(r[0] for r in seeds.filter("n > 0").select("n").distinct().collect())  # lengths below WINDOW
@@ -86,21 +88,21 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     # a table of its own: it is small, and one generated method for all joins would be too long to be compiled
     runs = stage.keep(runs.select("doc_id", "key", "pos", *names), "hits")
     found = runs.select("doc_id", "key", "pos", F.explode(F.array(*names)).alias("seed")).filter("seed is not null")
-    hits = found.join(send(seeds.select("item_id", "item_pos", "seed")), "seed")
-    lines = hits.select("doc_id", "key", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
-    sizes = known.select("item_id", F.size("tokens").alias("m"))
-    own = lines.join(send(sizes), "item_id").groupBy(F.col("doc_id").alias("own"), F.col("key").alias("own_key")).agg(F.collect_list(F.struct("item_id", "offset", "m")).alias("lines"))  # numbers of one document's alignments
+    hits = found.join(send(seeds.select("item", "item_pos", "seed")), "seed")
+    lines = hits.select("doc_id", "key", "item", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
+    sizes = known.select("item", F.size("tokens").alias("m"))
+    own = lines.join(send(sizes), "item").groupBy(F.col("doc_id").alias("own"), F.col("key").alias("own_key")).agg(F.collect_list(F.struct("item", "offset", "m")).alias("lines"))  # numbers of one document's alignments
     same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("own_key"))
 
     def aligned(all_):
         """Each line with the document's tokens that lie along its item, the first of them at the item's token ``lead``."""
         def line(x):
             lead = F.greatest(-x["offset"], F.lit(0))
-            return F.struct(x["item_id"].alias("item_id"), x["offset"].alias("offset"), lead.alias("lead"), F.slice(all_, F.greatest(x["offset"], F.lit(0)) + 1, x["m"] - lead).alias("part"))
+            return F.struct(x["item"].alias("item"), x["offset"].alias("offset"), lead.alias("lead"), F.slice(all_, F.greatest(x["offset"], F.lit(0)) + 1, x["m"] - lead).alias("part"))
 
         return F.transform(F.col("lines"), line)
 
-    rows = texts.join(own, same).select("doc_id", "key", F.explode(let(tokens(F.col("text")), aligned)).alias("x")).select("doc_id", "key", "x.*").join(send(known), "item_id")
+    rows = texts.join(own, same).select("doc_id", "key", F.explode(let(tokens(F.col("text")), aligned)).alias("x")).select("doc_id", "key", "x.*").join(send(known), "item")
 
     def judged(agree):
         m = F.size("tokens")
@@ -110,8 +112,8 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
         return F.struct(held.alias("held"), F.aggregate(agree, F.lit(0), lambda s, v: s + v).alias("matched"), F.size("part").alias("aligned"), F.col("offset").alias("offset"))
 
     agree = F.transform("tokens", lambda t, j: F.coalesce((j >= F.col("lead")) & (F.get("part", j - F.col("lead")) == t), F.lit(False)).cast("int"))
-    best = rows.select("doc_id", "key", "item_id", let(agree, judged).alias("line")).filter("line.held")
-    best = best.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("line.matched", "line.aligned", "line.offset")).alias("line"))
+    best = rows.select("doc_id", "key", "item", "item_id", let(agree, judged).alias("line")).filter("line.held")
+    best = best.groupBy("doc_id", "key", "item", "item_id").agg(F.max(F.struct("line.matched", "line.aligned", "line.offset")).alias("line"))
     return best.select("doc_id", "key", "item_id", "line.matched", "line.aligned", "line.offset")
 
 

@@ -377,6 +377,15 @@ def test_decontamination(spark, docs, none, monkeypatch):
     assert decontaminate.overlaps(none, items).count() == decontaminate.overlaps(held, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_without_an_id_or_with_one_id(spark):
+    first, second, third = prose(0, 30), prose(900, 30), prose(1800, 9)
+    docs = spark.createDataFrame([(1, "x " + first + " y"), (2, second), (3, first + " , " + second), (4, third), (5, prose(2500, 50))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, first), (7, second), (7, third), (None, second), (7, second), (7, None), (None, None)], "item_id long, text string")
+    out = sorted(((r.doc_id, r.item_id, r.matched, r.offset) for r in decontaminate.overlaps(docs, items).collect()), key=str)
+    want = [(1, None, 30, 1), (2, 7, 30, 0), (2, None, 30, 0), (3, None, 30, 0), (3, 7, 30, 30), (3, None, 30, 30), (4, 7, 9, 0)]
+    assert out == sorted(want, key=str)
+
+
 def test_language_id(spark, docs, none):
     en, de = "the cat and the dog with that house ", "der hund und die katze mit einem haus "
     rows = [(i, (en if i % 2 else de) * 5, "en" if i % 2 else "de") for i in range(40)]
