@@ -47,3 +47,8 @@ def budget_chars(window, used):
     """Characters left of a model's context window; the default budget where none is known."""
     left = F.greatest(F.lit(256), window - F.coalesce(used, F.lit(0)) - 512) * CHARS_PER_TOKEN
     return F.when(window > 0, left).otherwise(TOKENS * CHARS_PER_TOKEN)
+
+
+def prompt(task, url, lang, markdown, window, used):
+    """A model's prompt for a page: the task, where the page is from, and as much of it as the budget allows."""
+    return F.concat(task, F.lit("\n\nURL: "), C.text(url), F.lit("\nLanguage: "), C.text(lang), F.lit("\n\n"), F.left(C.text(markdown), budget_chars(window, used)))

@@ -215,6 +215,20 @@ def jaccard(a, b):
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def escaped(col):
+    """A text as HTML shows it: ampersands, opening brackets and double quotes as entities."""
+    for c, entity in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
+        col = F.replace(text(col), F.lit(c), F.lit(entity))
+    return col
+
+
+def progress(loaded, total):
+    """The loaded part, between 0 and 1; without a total, numbers up to 1 are parts and larger ones all of it."""
+    known = lambda n: n.isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf"))
+    part = F.when(known(total) & (total > 0) & known(loaded), loaded / total).when(known(loaded), F.when(loaded <= 1, loaded).otherwise(1.0)).otherwise(0.0)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), part))
+
+
 def duration(ms):
     small = F.concat(F.floor(ms + 0.5).cast("long").cast("string"), F.lit(" ms"))
     return F.when(ms.isNull() | F.isnan(ms) | (F.abs(ms) == float("inf")) | (ms < 0), "").when(ms < 1000, small).when(ms >= 10000, F.concat(F.format_string("%.1f", ms / 1000), F.lit(" s"))).otherwise(F.concat(F.format_string("%.2f", ms / 1000), F.lit(" s")))

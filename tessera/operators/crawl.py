@@ -100,21 +100,26 @@ def heal(starts: DataFrame, docs: DataFrame, max_pages=None, infer: Callable[[Da
     A page that can't be read counts as visited and adds nothing.
     """
     starts = starts.join(cached.select("site").distinct(), "site", "left_anti") if cached is not None else starts
-    cap, known = page_cap(max_pages), infer(docs)
-    has = has_of()
-    known = known.withColumns({f"has_{k}": v for k, v in has.items()})
-    pages = kept(known.join(docs.select("site", "url", "links"), ["site", "url"]), "facts")
-    visits = starts.join(pages, ["site", "url"]).select("*", F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.lit(True).alias("read"))
+    cap = page_cap(max_pages)
+
+    def facts_of(wanted):
+        """Facts and links of the documents that are read; no others are looked at."""
+        own = docs.join(wanted.select("site", "url").distinct(), ["site", "url"], "left_semi")
+        found = infer(own).withColumns({f"has_{k}": v for k, v in has_of().items()})
+        return found.join(own.select("site", "url", "links"), ["site", "url"])
+
+    visits = kept(starts.join(facts_of(starts), ["site", "url"]).select("*", F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.lit(True).alias("read")), "level-0")
     base = starts.select("site", F.col("url").alias("start"))
     for depth in range(1, DEPTH + 1):
         state = visits.groupBy("site").agg(F.count("*").alias("n"), *[F.max(F.coalesce(F.col(f"has_{k}"), F.lit(False))).alias(f"had_{k}") for k in REQUIRED])
         open_ = state.withColumn("missing", R.missing_fields({k: ~F.col(f"had_{k}") for k in REQUIRED})).filter((F.size("missing") > 0) & (F.col("n") < cap)).join(base, "site")
-        pool = visits.filter("read").select("site", F.col("pos").alias("page"), F.posexplode("links").alias("at", "link")).select("site", (F.col("page") * 100_000 + F.col("at")).alias("pos"), "link.href", "link.text")
+        pool = visits.filter("read").select("site", F.col("pos").alias("page"), F.posexplode("links").alias("at", "link")).select("site", F.struct("page", "at").alias("pos"), "link.href", "link.text")
         pool = R.first_of_each(pool.filter("coalesce(href, '') <> ''"), ["site", "href"], "pos").join(open_, "site").withColumn("url", F.col("start"))
         scored = L.score(pool, F.col("missing"), F.col("start"), key="site").select("site", F.col("abs").alias("url"), "score", "rank")
         queue = scored.filter(F.col("score") >= L.THRESHOLD).join(visits.select("site", "url"), ["site", "url"], "left_anti").join(open_, "site")
         queue = queue.withColumn("place", F.row_number().over(W.partitionBy("site").orderBy("rank"))).filter(F.col("place") <= cap - F.col("n"))
-        tried = queue.join(pages, ["site", "url"], "left").withColumn("read", F.col("cells").isNotNull())
+        queue = kept(queue, f"queue-{depth}")
+        tried = queue.join(facts_of(queue), ["site", "url"], "left").withColumn("read", F.col("cells").isNotNull())
         before = W.partitionBy("site").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
         done = F.lit(True)
         for k in REQUIRED:  # a page after the one that completes the record is not visited
@@ -131,7 +136,7 @@ def walk(starts: DataFrame, docs: DataFrame, max_pages: int = PAGES) -> DataFram
     Every level reads a page at least or ends the walk, so there are ``max_pages`` levels at most.
     """
     pages = docs.select("site", "url", "title", "links")
-    frontier = starts.select("site", "url", F.lit(1).cast("long").alias("at"))
+    frontier = starts.select("site", "url", F.struct(F.lit(0).cast("long").alias("place"), F.lit(0).alias("rank")).alias("at"))
     seen, got = frontier.select("site", "url"), None
     for _ in range(max_pages):
         have = got.groupBy("site").agg(F.count("*").alias("n")) if got is not None else starts.select("site", F.lit(0).cast("long").alias("n")).distinct()
@@ -141,7 +146,7 @@ def walk(starts: DataFrame, docs: DataFrame, max_pages: int = PAGES) -> DataFram
         got = read.select("site", "place", "url", "title") if got is None else got.unionByName(read.select("site", "place", "url", "title"))
         found = read.select("site", "place", "url", F.posexplode("links").alias("pos", "link")).select("site", "place", "url", "pos", "link.href", "link.text")
         found = found.withColumn("page", F.struct("site", "place"))
-        ranked = L.score(found, key="page").filter(F.col("score") >= L.THRESHOLD).select("page.site", F.col("abs").alias("url"), (F.col("page.place") * 100_000 + F.col("rank")).cast("long").alias("at"))
+        ranked = L.score(found, key="page").filter(F.col("score") >= L.THRESHOLD).select("page.site", F.col("abs").alias("url"), F.struct("page.place", "rank").alias("at"))
         frontier = R.first_of_each(ranked, ["site", "url"], "at").join(seen, ["site", "url"], "left_anti")
         seen = seen.unionByName(frontier.select("site", "url"))
     return got

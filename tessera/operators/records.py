@@ -74,6 +74,18 @@ def merge(observations: DataFrame, width: int = RANGE) -> DataFrame:
     return cell.select(*keys, "cell.*")
 
 
+def empty(sources: DataFrame) -> DataFrame:
+    """``sources`` (with source_url) times all fields: cells without a value."""
+    cell = [F.lit("").alias("value"), F.lit("low").alias("confidence"), "source_url", F.lit(False).alias("dirty"), F.lit(False).alias("verified")]
+    keys = F.explode(F.array(*map(F.lit, P.FIELDS))).alias("key")
+    return sources.select([c for c in sources.columns if c != "source_url"] + [keys] + cell)
+
+
+def patched(base: DataFrame, patch: DataFrame) -> DataFrame:
+    """Cells of ``base`` (one a site and key) with those of ``patch`` merged in; a field without a base is taken."""
+    return merge(base.withColumn("pos", F.lit(0)).unionByName(patch.withColumn("pos", F.lit(1))))
+
+
 def conflicts(observations: DataFrame, merged: DataFrame | None = None, width: int = RANGE) -> DataFrame:
     """One row for each later value that a dirty or verified cell turned down (``merged``: what ``merge`` gave).
 
