@@ -1,14 +1,24 @@
 """Document fingerprints by consistent weighted sampling [native].
 
 Terms are five-word shingles (a shorter text is one term), weighted by how often they occur.  For
-sample k a term of weight w draws, from hashes of the term and k, r and c ~ Gamma(2, 1) and b ~ U(0, 1):
+sample k a term of weight w has r and c ~ Gamma(2, 1) and b ~ U(0, 1), all from hashes of the term and k:
 
     t = floor(ln w / r + b)      ln y = r (t - b)      ln a = ln c - ln y - r
 
-and the sample is the (term, t) of the least ln a.  Two texts agree on a sample with a probability
-that equals their generalised Jaccard similarity, sum of min weights over sum of max weights.  As
-ln a is a function of the term and t that no other term shares but by a chance of some 2**-46, a sample
-is kept as the least ln a itself: a plain min() inside a hash aggregate.
+and the sample is the (term, t) of the least a.  Two texts agree on a sample with a probability
+that equals their generalised Jaccard similarity, sum of min weights over sum of max weights.
+
+Most terms occur once, where t = 0, so the draws begin with what counts there: a0, the a of t = 0, is
+exponential, and given it
+
+    c = a0 + E1      r = ln(c / a0) + E2      b = E2 / r      a = a0 exp(-r t)
+
+with E1 and E2 exponential has the law above (c and r are Gamma(2, 1), b is uniform and independent of
+them).  A term that occurs once thus takes one hash and no logarithm: as samples are compared by
+x = 1 - exp(-a), which grows with a, its x is the hash as a number between 0 and 1.
+
+As x is a function of the term and t that no other term shares but by a chance of some 2**-50, a sample
+is kept as the least x itself: a plain min() inside a hash aggregate.
 
 Words are what white space parts, lower-cased.  Null texts are empty; texts without words share one
 fingerprint and are like each other (1) and unlike the rest (0).  Repeated rows stay apart: they are
@@ -19,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from math import log
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -31,7 +40,7 @@ SAMPLES, WORDS = 64, 5
 #: Documents in a range of ids, and the most ranges; a range is one window partition.
 RANGE_ROWS, MAX_RANGES = 1000, 20_000
 #: The sample of a text without terms, above all others.
-EMPTY = 1000.0
+EMPTY = 2.0
 
 
 def words(text):
@@ -72,15 +81,14 @@ def _salt(i: int) -> int:
 
 
 def _sample(k: int):
-    """ln a of a term (s, w) for sample k; it stands for the term and its t as well, being a function of them."""
-    def gamma(h):  # minus the log of a product of two uniforms of 24 bits
-        whole = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0xFFFFFF)) + 0.5
-        return F.lit(48 * log(2)) - F.log(whole(40) * whole(16))
-
+    """x of a term (s, w) for sample k; it stands for the term and its t as well, being a function of them."""
     h, g = (F.xxhash64(F.col("s").bitwiseXOR(F.lit(_salt(i)))) for i in (2 * k, 2 * k + 1))  # s is a hash already
-    r, ln_c, b = gamma(h), F.log(gamma(g)), h.bitwiseAND(F.lit(0xFFFF)) * (1 / 65536)
-    t = F.floor(F.log(F.col("w")) / r + b)
-    return F.when(F.col("w") == 1, ln_c - r * (1 - b)).otherwise(ln_c - r * (t + 1 - b))  # the same to the last bit where t is 0
+    once = F.shiftrightunsigned(h, 11) * 2.0**-53 + 2.0**-54
+    e1, e2 = (-F.log((half + 0.5) * 2.0**-32) for half in (F.shiftrightunsigned(g, 32), g.bitwiseAND(F.lit(0xFFFFFFFF))))
+    a = -F.log1p(-once)
+    r = F.log1p(e1 / a) + e2
+    t = F.floor((F.log(F.col("w")) + e2) / r)
+    return F.when(F.col("w") == 1, once).otherwise(F.when(t == 0, once).otherwise(-F.expm1(-a * F.exp(-r * t))))
 
 
 def signatures(rows: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -214,7 +222,7 @@ def edit_terms(text, kept, came, arrived, size: int = WORDS):
 
 def shown(signature):
     """A signature as text, 16 digits a sample."""
-    return F.array_join(F.transform(signature, lambda x: F.lpad(F.hex(((x + 128) * float(1 << 46)).cast("long")), 16, "0")), "")
+    return F.array_join(F.transform(signature, lambda x: F.lpad(F.hex((x * float(1 << 61)).cast("long")), 16, "0")), "")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

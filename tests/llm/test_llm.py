@@ -270,6 +270,21 @@ def test_fingerprints(docs, none):
     assert fingerprints.with_next(none.selectExpr("doc_id", "text")).count() == 0
 
 
+def test_samples_agree_as_often_as_weights_do(spark):
+    """Sets of weighted terms: the share of equal samples is the generalised Jaccard similarity."""
+    from pyspark.sql import functions as F
+
+    pairs = [([1] * 6, [1] * 6), ([1] * 9 + [0] * 3, [0] * 3 + [1] * 9), ([3, 1, 1, 7, 2, 1], [1, 1, 4, 7, 1, 0]), ([50, 1, 2], [5, 9, 2]), ([2] * 5, [3] * 5), ([1000], [1]), ([4, 4], [0, 4])]
+    rows = [(p, r, side, 1000 * (100 * p + r) + t, w) for p, both in enumerate(pairs) for r in range(60) for side, ws in enumerate(both) for t, w in enumerate(ws) if w]
+    terms = spark.createDataFrame(rows, "p int, r int, side int, term long, w int").withColumn("s", F.xxhash64("term"))
+    least = terms.groupBy("p", "r", "side").agg(F.array(*[F.min(fingerprints._sample(k)) for k in range(64)]).alias("m")).collect()
+    held = {(x.p, x.r, x.side): x.m for x in least}
+    for p, (a, b) in enumerate(pairs):
+        got = sum(u == v for r in range(60) for u, v in zip(held[p, r, 0], held[p, r, 1])) / (60 * 64)
+        want = sum(map(min, a, b)) / sum(map(max, a, b))
+        assert abs(got - want) < 0.035, (p, got, want)  # four standard errors
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_next_text_of_odd_ids(spark, monkeypatch, kind):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
