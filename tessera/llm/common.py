@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import importlib
 import os
 import sys
@@ -117,6 +118,30 @@ def python_stage(df: DataFrame, target: str, schema: str, *args) -> DataFrame:
     return df.mapInArrow(call, schema)
 
 
+def releasing(stage):
+    """A Python stage that gives memory back to the system when a task ends: workers outlive their tasks, and
+    what Arrow, NumPy and the C library keep for later would count for the stages that follow."""
+
+    @functools.wraps(stage)
+    def call(*args):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from stage(*args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return call
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text (null: empty) alone; other columns, whatever their names, are left out."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -31,7 +31,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MANY, Stage, id_text, python_stage, runs_of_equal, table
+from tessera.llm.common import MANY, Stage, id_text, python_stage, releasing, runs_of_equal, table
 from tessera.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -82,6 +82,7 @@ def set_id(own) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little") >> 1 if len(own) else -1
 
 
+@releasing
 def _sets(batches, what):
     """what: 'prefix' or 'whole' sets, packed."""
     import pyarrow as pa
@@ -96,6 +97,7 @@ def _sets(batches, what):
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "n": pa.array([len(s) for s in sets], pa.int32()), "c": pa.array([set_id(s) for s in sets], pa.int64()), "packed": pa.array(packed, pa.binary())})
 
 
+@releasing
 def _explode(batches):
     """(token, c, n) of packed sets."""
     import numpy as np
@@ -107,6 +109,7 @@ def _explode(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), np.int64)), pa.array(np.repeat(c, sizes)), pa.array(np.repeat(n, sizes))], names=["token", "c", "n"])
 
 
+@releasing
 def _shared(batches, counted):
     """Of rows sorted by token and c: (c, n, token, df) of the tokens that two classes have."""
     import numpy as np
@@ -128,6 +131,7 @@ def _shared(batches, counted):
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(token[at]), pa.array(np.minimum(df[at], MANY).astype(np.int32))] if counted else []), names=["c", "n"] + ["token", "df"] * counted)
 
 
+@releasing
 def _prefixes(batches):
     """Of shared tokens sorted by c, then by df and token downwards: (token, c) of the prefixes by rarity.
 
@@ -154,6 +158,7 @@ def _prefixes(batches):
             yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(c[at])], names=["token", "c"])
 
 
+@releasing
 def _stars(batches):
     """Of entries sorted by token: edges between the first class of a token and its others."""
     import numpy as np
@@ -266,6 +271,7 @@ def linked(ids, sets, side):
     return degree, edges
 
 
+@releasing
 def _verify(batches):
     """Of rows sorted by unit: (a, b) of spanning edges of the links inside each unit, and (a, null, links)."""
     import numpy as np
