@@ -64,7 +64,8 @@ class Store:
     # ---- commits
 
     def rewrite(self, touched: DataFrame, build: Callable[[DataFrame], DataFrame], version: int | None = None) -> int:
-        """Commits ``build(old rows)`` of the buckets of ``touched`` (rows with the key); returns the version.
+        """Commits ``build(old rows)`` of the buckets of ``touched`` (rows with the key); returns the version.  What is built
+        has keys of these buckets alone.
 
         With ``version`` the commit is that one, from the version before: run again, it gives the same.
         """
@@ -78,6 +79,8 @@ class Store:
             path = f"{self.folder}/data/version={version}"
             new.repartition(min(len(buckets), self.buckets), "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
             there = {int(n.split("=")[1]) for n in files.names(self.spark, path) if n.startswith("bucket=")}
+            if there - set(buckets):
+                raise ValueError("a commit made rows with keys of buckets that it doesn't touch")
             held = {b: v for b, v in held.items() if b not in buckets} | {b: version for b in there}
         self.spark.createDataFrame(sorted(held.items()), _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/version={version}")
         return version

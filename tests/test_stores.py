@@ -63,6 +63,9 @@ def test_a_commit_that_dies_counts_for_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="dead"):
         store.upsert(broken)
     assert held(store.read()) == before
+    with pytest.raises(ValueError, match="doesn't touch"):
+        store.rewrite(rows_of(spark, [(1, "", 0)]), lambda old: rows_of(spark, [(k, "", 0) for k in range(50)]))
+    assert held(store.read()) == before
     store.upsert(rows_of(spark, [(2, "c", 3)]))
     store.vacuum(keep=1)
     assert held(store.read()) == [(1, "a", 1), (2, "c", 3)]
