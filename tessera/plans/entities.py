@@ -30,9 +30,12 @@ _D = f"""d AS (SELECT CAST(id AS VARCHAR) AS id, url, title, lang, replace(md, '
 
 def docs(spark, sf_dir):
     """(id, url, title, lang, md): literal rows, all documents (d<id>) and all pages as Markdown (p<id>)."""
-    rows = values(spark, DOCS, DOC_COLUMNS).select(F.col("id").cast("string").alias("id"), "url", "title", "lang", F.replace("md", F.lit(LINE), F.lit("\n")).alias("md"))
     texts = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.lit("").alias("url"), F.lit("").alias("title"), F.coalesce("lang", F.lit("en")).alias("lang"), C.text(F.col("text")).alias("md"))
-    return rows.union(texts).union(page_docs(spark, sf_dir))
+    return given_docs(spark).union(texts).union(page_docs(spark, sf_dir))
+
+
+def given_docs(spark):
+    return values(spark, DOCS, DOC_COLUMNS).select(F.col("id").cast("string").alias("id"), "url", "title", "lang", F.replace("md", F.lit(LINE), F.lit("\n")).alias("md"))
 
 
 def page_docs(spark, sf_dir):

@@ -219,10 +219,12 @@ def chunk_markdown(spark, sf_dir):
 
 @query(None)
 def chunk_mapreduce(spark, sf_dir):
-    """Records of long documents: facts of every chunk, merged in order into an empty record."""
-    parts = entities.docs(spark, sf_dir).select(F.col("id").alias("site"), "url", "title", "lang", F.posexplode(chunks.chunks(F.col("md"), 25)).alias("pos", "markdown"))
+    """Records of long texts: facts of every chunk, merged in order into an empty record; literal texts in chunks of
+    25 tokens, all pages in chunks of 1,000."""
+    cut = lambda rows, tokens: rows.select(F.col("id").alias("site"), "url", "title", "lang", F.posexplode(chunks.chunks(F.col("md"), tokens)).alias("pos", "markdown"))
+    parts = kept(cut(entities.given_docs(spark), 25).union(cut(entities.page_docs(spark, sf_dir), 1000)), "chunks")
     keyed = parts.withColumn("url", F.concat("url", F.lit("#"), "pos"))
-    found = crawl.facts(keyed).join(keyed.select("site", "url", "pos"), ["site", "url"])
+    found = kept(crawl.facts(keyed).join(keyed.select("site", "url", "pos"), ["site", "url"]), "chunk-facts")
     rows = crawl.merged(found)
     return rows.select("site", "company_name", "address", "email", "phone", F.array_join(F.transform("executives", lambda e: e["name"]), ", ").alias("executives"), F.size("pages_visited").alias("n_chunks"))
 
