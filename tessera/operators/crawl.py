@@ -37,7 +37,8 @@ def facts(docs: DataFrame) -> DataFrame:
     md, none = C.text(F.col("markdown")), F.array().cast("array<string>")
     heading = C.trimmed(F.regexp_extract(md, r"(?m)^#\s+(.+)$", 1))
     title = C.trimmed(F.regexp_extract(C.text(F.col("title")), "^([^|–—-]*)", 1))
-    rows = docs.withColumns({"heading": heading, "company_name": F.when(heading != "", heading).otherwise(title), "found": E.addresses_found(md), "phones": E.phones_found(md), "email": F.lower(C.trimmed(F.regexp_extract(md, P.EMAIL, 0))), "executives": E.executives(md)})
+    rows = C.once(docs, {"heading": heading, "found": E.addresses_found(md), "phones": E.phones_found(md), "email": F.lower(C.trimmed(C.first_email(md))), "executives": E.executives(md)})
+    rows = rows.withColumn("company_name", F.when(F.col("heading") != "", F.col("heading")).otherwise(title))
     name = F.col("company_name")
     sure = F.when(name == "", "low").when((F.col("heading") != "") & (F.length(name) > 3), "high").when(F.length(name) > 8, "medium").otherwise("low")
     legal = F.when(C.matches(name, P.LEGAL_FORM), name).otherwise("")
