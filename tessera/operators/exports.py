@@ -28,21 +28,23 @@ def _or_scalar(items, scalar):
     return F.when(F.size(F.coalesce(items, F.array().cast("array<string>"))) > 0, items).when(scalar != "", F.array(scalar)).otherwise(F.array().cast("array<string>"))
 
 
-def target(records: DataFrame, masked: bool = False) -> DataFrame:
+def target(records: DataFrame, masked: bool = False, as_listed: bool = False) -> DataFrame:
     """The eight columns of the target schema, with the records' other key columns in front (site)."""
-    phones = F.transform("phone_numbers", C.mask_phone) if masked else F.transform("phone_numbers", C.trimmed)
+    entry = (lambda x: x) if as_listed else C.trimmed
+    phones = F.transform("phone_numbers", C.mask_phone) if masked else F.transform("phone_numbers", entry)
     filled = lambda a: F.filter(a, lambda x: x != "")
     people = F.transform("executives", lambda e: F.struct(C.text(e["name"]).alias("name"), C.text(e["role"]).alias("role")))
     return records.select(
         "site", *[_value(k, masked).alias(k) for k in ("company_name", "industry", "description")],
-        _or_scalar(filled(F.transform("addresses", C.trimmed)), C.trimmed(C.text(F.col("address")))).alias("addresses"),
+        _or_scalar(filled(F.transform("addresses", entry)), C.trimmed(C.text(F.col("address")))).alias("addresses"),
         _or_scalar(filled(phones), C.trimmed(_value("phone", masked))).alias("phone_numbers"),
         *[_value(k, masked).alias(k) for k in ("email", "website")], people.alias("executives"),
     )
 
 
-def target_json(records: DataFrame, masked: bool = False) -> DataFrame:
-    rows = target(records, masked)
+def target_json(records: DataFrame, masked: bool = False, as_listed: bool = False) -> DataFrame:
+    """The target schema as JSON; with ``as_listed`` entries of addresses and of unmasked phone_numbers keep their blanks."""
+    rows = target(records, masked, as_listed)
     return rows.select("site", F.to_json(F.struct(*[c for c in rows.columns if c != "site"]), {"ignoreNullFields": "false"}).alias("json"))
 
 
