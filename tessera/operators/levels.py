@@ -57,9 +57,10 @@ def components(edges: DataFrame, levels: Levels) -> DataFrame:
         return edges.select("node").distinct().select("node", F.col("node").alias("component"), F.lit(True).alias("changed"))
 
     def step(labels):
-        hubs = edges.join(labels.select("node", "component"), "node").groupBy("hub").agg(F.min("component").alias("component"))
-        near = edges.join(hubs, "hub").groupBy("node").agg(F.min("component").alias("least"))
+        # merge joins: a level's small tables would else be broadcast through the driver, level by level
+        hubs = edges.join(labels.select("node", "component").hint("merge"), "node").groupBy("hub").agg(F.min("component").alias("component"))
+        near = edges.join(hubs.hint("merge"), "hub").groupBy("node").agg(F.min("component").alias("least"))
         least = F.least("component", F.coalesce("least", "component"))
-        return labels.join(near, "node", "left").select("node", least.alias("component"), (least < F.col("component")).alias("changed"))
+        return labels.join(near.hint("merge"), "node", "left").select("node", least.alias("component"), (least < F.col("component")).alias("changed"))
 
     return levels.run(first, step, lambda rows: rows.filter("changed").isEmpty()).select("node", "component")
