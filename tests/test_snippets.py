@@ -53,3 +53,21 @@ def test_normal_forms_agree(spark):
     rows = spark.createDataFrame([(w or "",) for w in WANTED], "w string").select("w", snippets.normal(F.col("w")).alias("n")).collect()
     assert all(r["n"] == needle(r["w"]) for r in rows)
     assert C.BLANK
+
+
+def test_pages_are_parsed_once_for_all_blocks(monkeypatch):
+    import ahocorasick
+    import pyarrow as pa
+
+    def machine(folder):
+        out = ahocorasick.Automaton()
+        out.add_word(folder, folder)
+        out.make_automaton()
+        return out
+
+    calls, parse = [], snippets.shown
+    monkeypatch.setattr(snippets, "_automaton", machine)
+    monkeypatch.setattr(snippets, "shown", lambda html: calls.append(html) or parse(html))
+    batch = pa.RecordBatch.from_pydict({"page_id": [1, 2], "page": [1, 2], "html": ["<p>Acme corp", "<p>corp"]})
+    rows = [r for b in snippets.find(iter([batch]), ["acme", "corp"]) for r in zip(b.column("page_id").to_pylist(), b.column("snippet").to_pylist())]
+    assert sorted(rows) == [(1, "acme"), (1, "corp"), (2, "corp")] and len(calls) == 2
