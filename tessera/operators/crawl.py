@@ -32,8 +32,10 @@ def page_cap(n=None) -> int:
     return min(6, max(2, int(n + 0.5))) if n == n and abs(n) != float("inf") else PAGES
 
 
-def facts(docs: DataFrame) -> DataFrame:
-    """``docs`` with what their Markdown says: a value and a confidence for each field, and the lists."""
+def facts(docs: DataFrame, fields=tuple(P.FIELDS)) -> DataFrame:
+    """``docs`` with what their Markdown says: a value and a confidence for each of ``fields``, and the lists.
+
+    No field is sought that isn't asked for."""
     md, none = C.text(F.col("markdown")), F.array().cast("array<string>")
     heading = C.trimmed(F.regexp_extract(md, r"(?m)^#\s+(.+)$", 1))
     title = C.trimmed(F.regexp_extract(C.text(F.col("title")), "^([^|–—-]*)", 1))
@@ -54,7 +56,7 @@ def facts(docs: DataFrame) -> DataFrame:
         "linkedin": (E.profile_link(md, P.LINKEDIN), F.lit("low")), "xing": (E.profile_link(md, P.XING), F.lit("low")), "wechat": (E.wechat(md), F.lit("low")),
     }
     cell = lambda k: F.struct(F.lit(k).alias("key"), cells[k][0].alias("value"), cells[k][1].alias("confidence"))
-    return rows.select("site", "url", "title", C.detect_language(C.text(F.col("lang")), md).alias("language"), F.array(*[cell(k) for k in P.FIELDS]).alias("cells"), E.distinct_addresses(none, F.col("found")).alias("addresses"), E.distinct_phones(none, F.col("phones")).alias("phone_numbers"), mails.alias("emails"), "executives")
+    return rows.select("site", "url", "title", C.detect_language(C.text(F.col("lang")), md).alias("language"), F.array(*[cell(k) for k in fields]).alias("cells"), E.distinct_addresses(none, F.col("found")).alias("addresses"), E.distinct_phones(none, F.col("phones")).alias("phone_numbers"), mails.alias("emails"), "executives")
 
 
 def value_of(key: str):

@@ -63,11 +63,12 @@ def prompt_text(spark, sf_dir):
 def page_record(spark, sf_dir):
     """The record of every page alone: its fields, whether it is complete, and when it was made."""
     docs = entities.page_docs(spark, sf_dir).select(F.col("id").alias("site"), "url", "title", "lang", F.col("md").alias("markdown"))
-    found = crawl.facts(docs)
+    names = ("company_name", "legal_name", "description", "address", "email", "website")
+    found = crawl.facts(docs, names)
     complete = F.lit(True)
     for has in crawl.has_of().values():
         complete = complete & has
-    return found.select(F.substring("site", 2, 20).cast("long").alias("page_id"), *[C.text(crawl.value_of(k)).alias(k) for k in ("company_name", "legal_name", "description", "address", "email", "website")], complete.alias("complete"), F.lit("2024-01-15T00:00:00.000Z").alias("extracted_at"))
+    return found.select(F.substring("site", 2, 20).cast("long").alias("page_id"), *[C.text(crawl.value_of(k)).alias(k) for k in names], complete.alias("complete"), F.lit("2024-01-15T00:00:00.000Z").alias("extracted_at"))
 
 
 @query(f"SELECT * FROM ({streams._UNDONE}) WHERE user_id IN (3, 14, 15)")

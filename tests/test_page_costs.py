@@ -41,6 +41,24 @@ def test_markdown_as_by_all_steps(html):
     same(html, C.html_to_markdown(t), C.trimmed(C.replaced(t, P.SANITIZE + P.MARKDOWN)))
 
 
+def test_people_and_matches_as_in_the_whole_text(texts):
+    t = F.col("t")
+    for pattern, groups in ((P.EXEC_BOLD, {"a": 1, "b": 2, "c": 3}), (P.EXEC_DASH, {"a": 1, "b": 2, "c": 3}), (P.EXEC_COMMA, {"a": 1, "b": 2})):
+        whole = F.arrays_zip(*[F.regexp_extract_all(t, F.lit(pattern), F.lit(g)).alias(n) for n, g in ({"all": 0} | groups).items()])
+        same(texts, E._found(t, pattern, groups)(lambda m: F.lit(True)).cast("string"), whole.cast("string"))
+
+
+def test_contacts_as_by_the_plain_patterns(texts):
+    t = F.col("t")
+    all_of = lambda pattern, g: F.regexp_extract_all(t, F.lit(P.java(pattern)), F.lit(g))
+    same(texts, all_of(P.ADDRESS_START + P.ADDRESS_LABELLED, 1), all_of(P.ADDRESS_LABELLED, 1))
+    same(texts, E.phones_found(t), F.array_distinct(F.filter(F.transform(F.regexp_extract_all(t, F.lit(P.PHONE), F.lit(0)), C.trimmed), lambda p: F.length(p) >= 7)))
+    for pattern in (P.LINKEDIN, P.XING):
+        found = C.trimmed(F.regexp_extract(t, P.java(pattern), 0))
+        same(texts, E.profile_link(t, pattern), F.when((found == "") | found.startswith("http"), found).otherwise(F.concat(F.lit("https://"), found)))
+    same(texts, C.squeezed_start(t, 160), F.substring(C.squeezed(t), 1, 160))
+
+
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -49,3 +67,16 @@ def plan(df):
 def test_cells_of_a_page_come_from_one_look(spark, name):
     own = plan(plans.QUERIES[name](spark, SF))
     assert "Join" not in own and own.count("(?is)<iframe") == 1
+
+
+@pytest.mark.parametrize("name", ["missing_fields", "completeness", "page_record"])
+def test_only_wanted_fields_are_sought(spark, name):
+    own = plan(plans.QUERIES[name](spark, SF))
+    assert "xing" not in own and "wechat" not in own
+
+
+def test_facts_of_some_fields(spark):
+    docs = spark.createDataFrame([("s", "https://a.example/x", "T", "en", "# Acme\nmail a@b.example")], "site string, url string, title string, lang string, markdown string")
+    some = crawl.facts(docs, ("email", "company_name")).first()
+    assert [(c.key, c.value) for c in some.cells] == [("email", "a@b.example"), ("company_name", "Acme")]
+    assert [c.key for c in crawl.facts(docs).first().cells] == list(P.FIELDS)
